@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["market"]
+MODULES = ["market", "forecasting"]
 
 
 def load() -> None:

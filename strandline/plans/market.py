@@ -8,10 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.scalar import rnd
 from strandline.operators import features as ft
 from strandline.operators import panel
-from strandline.plans.registry import ctes, query, sql_rnd, table
+from strandline.plans.registry import ctes, query, rounded, sql_rnd, sql_rounded, stable, table
 
 INDEX = "ALL"
 
@@ -29,7 +28,7 @@ def running_bars(daily: DataFrame, key: str) -> DataFrame:
     """Bars from daily (qty, cents): close is the running average price."""
     run = Window.partitionBy(key).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     order = Window.partitionBy(key).orderBy("date")
-    priced = (daily.withColumn("close", rnd(F.sum("cents").over(run) / F.sum("qty").over(run) / 100, 4))
+    priced = (daily.withColumn("close", stable(F.sum("cents").over(run) / F.sum("qty").over(run) / 100, 4))
               .withColumn("open", F.lag("close").over(order)))
     return priced.select(key, "date", "open", F.greatest("open", "close").alias("high"),
                          F.least("open", "close").alias("low"), "close", F.col("qty").cast("double").alias("volume"))
@@ -54,7 +53,7 @@ def fx_bars(spark: SparkSession, sf: str) -> DataFrame:
              .agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"), F.count("*").alias("qty"))
              .withColumn("index_name", F.lit(INDEX)))
     run = Window.partitionBy("index_name").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return daily.select("index_name", "date", rnd(F.sum("cents").over(run) / F.sum("qty").over(run) / 100, 4).alias("close"))
+    return daily.select("index_name", "date", stable(F.sum("cents").over(run) / F.sum("qty").over(run) / 100, 4).alias("close"))
 
 
 def flows(spark: SparkSession, sf: str) -> DataFrame:
@@ -178,14 +177,6 @@ samples AS (SELECT s.*, p."peerRet1", p."peerRet5", p."peerUpShare", s.ret1 - p.
 """
 
 
-def rounded(df: DataFrame, keys: list[str], values: list[str], digits: int = 6) -> DataFrame:
-    return df.select(*keys, *[rnd(v, digits).alias(v) for v in values])
-
-
-def sql_rounded(keys: list[str], values: list[str], source: str, digits: int = 6) -> str:
-    return f"SELECT {', '.join(keys + [f'{sql_rnd(chr(34) + v + chr(34), digits)} AS {chr(34)}{v}{chr(34)}' for v in values])} FROM {source}"
-
-
 # ---- queries -----------------------------------------------------------------------------------------------------
 
 _BAR_VALUES = ["open", "high", "low", "close", "volume"]
@@ -219,7 +210,7 @@ def last_arrival_bars(spark, sf):
     parts = table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("ticker"))
     ticks = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
         "ticker", F.to_date("l_shipdate").alias("date"), "l_orderkey",
-        rnd(F.col("l_extendedprice") / F.col("l_quantity"), 4).alias("close"),
+        stable(F.col("l_extendedprice") / F.col("l_quantity"), 4).alias("close"),
         F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("ingest_seq"))
     return panel.last_arrival(ticks).select("ticker", "date", "close", "l_orderkey")
 
@@ -269,7 +260,7 @@ def peer_statistics(spark, sf):
 def volatility_scale(spark, sf):
     rows = ft.samples(ready_bars(spark, sf)).select("ticker", "date", "vol20",
                                                     F.explode(F.array(*[F.lit(h) for h in ft.HORIZONS])).alias("horizon"))
-    return rows.select("ticker", "date", "horizon", rnd(ft.volatility_scale(F.col("horizon")), 8).alias("scale"))
+    return rows.select("ticker", "date", "horizon", stable(ft.volatility_scale(F.col("horizon")), 8).alias("scale"))
 
 
 @query("history_gate", ctes(SQL_BARS) + f"SELECT ticker, count(*) AS sessions, count(*) > {panel.MIN_HISTORY} AS enough FROM bars GROUP BY ticker")
@@ -316,5 +307,5 @@ def momentum_baseline(spark, sf):
     hit = F.when(F.col("past") != 0, F.when((F.col("past") > 0) == (F.col("actual") > 0), 1.0).otherwise(0.0))
     return (momentum_rows(spark, sf)
             .groupingSets([["horizon"], ["horizon", "ticker"]], "horizon", "ticker")
-            .agg(F.count("*").alias("n"), rnd(F.avg(up)).alias("always_up"), rnd(F.avg(hit)).alias("momentum"))
+            .agg(F.count("*").alias("n"), stable(F.avg(up)).alias("always_up"), stable(F.avg(hit)).alias("momentum"))
             .select("horizon", F.coalesce("ticker", F.lit("ALL")).alias("ticker"), "n", "always_up", "momentum"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,10 +24,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Rounding for comparisons is offset a little from one half: inputs lie on decimal grids, so an exact tie is common and
+# would turn the last bit of a differently ordered sum into a difference.
+ROUND_OFFSET = 0.5003719
+
+
+def stable(c: Column | str, digits: int = 6) -> Column:
+    scale = float(10**digits)
+    c = F.col(c) if isinstance(c, str) else c
+    return F.floor(c * F.lit(scale) + F.lit(ROUND_OFFSET)).cast("double") / F.lit(scale)
+
+
 def sql_rnd(expr: str, digits: int = 6) -> str:
-    """SQL twin of `functions.scalar.rnd`."""
-    scale = f"{float(10**digits):.1f}"
-    return f"floor(({expr}) * {scale} + 0.5) / {scale}"
+    """SQL twin of `stable`."""
+    scale = f"CAST({float(10**digits):.1f} AS DOUBLE)"
+    return f"floor(CAST(({expr}) AS DOUBLE) * {scale} + CAST({ROUND_OFFSET} AS DOUBLE)) / {scale}"
+
+
+def rounded(df: DataFrame, keys: list, values: list[str], digits: int = 6) -> DataFrame:
+    return df.select(*keys, *[stable(v, digits).alias(v) for v in values])
+
+
+def sql_rounded(keys: list[str], values: list[str], source: str, digits: int = 6) -> str:
+    columns = keys + [f'{sql_rnd(chr(34) + v + chr(34), digits)} AS "{v}"' for v in values]
+    return f"SELECT {', '.join(columns)} FROM {source}"
 
 
 def ctes(*parts: str) -> str:

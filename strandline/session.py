@@ -40,3 +40,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{stage_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by keys over every core. For work whose cost is computation, not bytes: adaptive execution would
+    merge such small partitions into one task, an explicit count is left alone."""
+    spark = df.sparkSession
+    width = 2 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(width, *keys)
