@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.scalar import instant_days, kst_date, quarter_index
+from strandline.functions.scalar import instant_days, kst_date, quarter_end, quarter_index
 from strandline.operators.earnings import RiskPolicy
 from strandline.operators.rules import broken_rules
 
@@ -53,7 +53,7 @@ def gate_reasons(c: DataFrame, cfg: ScreenConfig, single_quarter: bool = False)
         horizon = [("FORECAST_HORIZON_NOT_SINGLE_QUARTER", (F.size("forecast_quarters") != 1) | ~first_q.isin(decision_q, decision_q - 1))]
     else:
         horizon = [("FORECAST_HORIZON_NOT_NEXT_FOUR", first_q != decision_q + 1),
-                   ("FORECAST_QUARTER_NOT_FUTURE", F.exists("forecast_quarters", lambda q: q <= decision_q - 1))]
+                   ("FORECAST_QUARTER_NOT_FUTURE", F.exists("forecast_quarters", lambda q: quarter_end(q) <= kst_date("decision_at")))]
     observed = [(k, s) for k, s in (("current_known_at", "current_source_at"), ("prior_known_at", "prior_source_at"),
                                     ("catalyst_known_at", "catalyst_source_at"))]
     time_mismatch = F.lit(False)
@@ -86,7 +86,8 @@ def gate_reasons(c: DataFrame, cfg: ScreenConfig, single_quarter: bool = False)
         ("SOURCE_TIME_MISMATCH", time_mismatch),
         ("LIQUIDITY_DATA_MISSING", F.col("adtv").isNull() & F.lit(cfg.risk.require_liquidity)),
         ("LIQUIDITY_TIME_MISMATCH", F.col("adtv").isNotNull() & (
-            _after("liquidity_as_of", "liquidity_known_at") | _after("liquidity_known_at", "generated_at")
+            _after("liquidity_as_of", "liquidity_known_at") | _after("liquidity_source_at", "liquidity_known_at")
+            | _after("liquidity_known_at", "generated_at")
             | _after("liquidity_known_at", "decision_at"))),
         ("LIQUIDITY_STALE", F.col("adtv").isNotNull()
          & (instant_days("liquidity_as_of", "decision_at") > cfg.risk.max_liquidity_age_days)),

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["market", "forecasting"]
+MODULES = ["market", "forecasting", "strategy"]
 
 
 def load() -> None:

@@ -12,20 +12,9 @@ from strandline.operators import folds as fd
 from strandline.operators import forecast as fc
 from strandline.operators import panel
 from strandline.plans import market as mk
-from strandline.plans.registry import ctes, query, rounded, sql_rnd, stable, table
+from strandline.plans.registry import ctes, query, rounded, sql_rnd, stable, staged, table
 from strandline.session import stage
 
-_STAGED: dict[tuple[str, str, str], DataFrame] = {}
-
-
-def staged(spark, sf: str, name: str, build) -> DataFrame:
-    """A table several queries of one application share, written once to the shared folder."""
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _STAGED:
-        _STAGED[key] = stage(build(), name)
-    return _STAGED[key]
-
-
 def sample_rows(spark, sf) -> DataFrame:
     return staged(spark, sf, "samples", lambda: fd.long_samples(ft.samples(mk.ready_bars(spark, sf))))
 

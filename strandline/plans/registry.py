@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.session import stage
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -57,3 +59,14 @@ def ctes(*parts: str) -> str:
         if part.strip() not in seen:
             seen.append(part.strip())
     return "WITH " + ",\n".join(seen) + "\n"
+
+
+_STAGED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def staged(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+    """A table several queries of one application share, written once to the shared folder."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _STAGED:
+        _STAGED[key] = stage(build(), name)
+    return _STAGED[key]
