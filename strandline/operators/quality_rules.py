@@ -100,8 +100,8 @@ def static_rules(t: va.Tables) -> DataFrame:
     cov = (va.coverage(t).join(blocked, "ds_id", "left_anti")
            .join(t.residual_tri.select("ds_id").distinct().withColumn("_r", F.lit(True)), "ds_id", "left"))
     verdict = (F.when(F.col("covered") > F.col("total") * (1 + va.ROUNDING_TOLERANCE), F.struct(F.lit("COVERAGE_EXCEEDS_TOTAL").alias("code"), F.lit("financials.totalRevenueKRW").alias("path")))
-               .when(F.col("ratio") < MIN_COVERAGE, F.struct(F.lit("COVERAGE_INSUFFICIENT"), F.lit("products")))
-               .when((F.col("residual") > F.col("total") * va.ROUNDING_TOLERANCE) & F.col("_r").isNull(), F.struct(F.lit("RESIDUAL_REQUIRED"), F.lit("residual"))))
+               .when(F.col("ratio") < MIN_COVERAGE, F.struct(F.lit("COVERAGE_INSUFFICIENT").alias("code"), F.lit("products").alias("path")))
+               .when((F.col("residual") > F.col("total") * va.ROUNDING_TOLERANCE) & F.col("_r").isNull(), F.struct(F.lit("RESIDUAL_REQUIRED").alias("code"), F.lit("residual").alias("path"))))
     chain = cov.withColumn("_v", verdict).where(F.col("_v").isNotNull()).select("ds_id", "_v.code", "_v.path")
     return found.unionByName(chain)
 

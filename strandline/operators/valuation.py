@@ -15,6 +15,7 @@ from strandline.operators.rules import union_all
 SCENARIOS = ("bear", "base", "bull")
 # Oldest usable observation, rounding tolerance, grounding grades.
 MAX_QUARTERS_BEFORE_AS_OF, ROUNDING_TOLERANCE = 3, 1e-4
+SCALE_NOISE = 1e-12
 HIGH_GROUNDING, MEDIUM_GROUNDING, SWING_PCT, EXTRAPOLATION_QUARTERS = 0.8, 0.5, 30, 3
 
 
@@ -205,7 +206,7 @@ def competitor_scenarios(products: DataFrame, t: Tables, as_of) -> DataFrame:
 def market_structure(products: DataFrame, competitors: DataFrame) -> DataFrame:
     """Company, competitors and others of each projected market; the parts add up to the market."""
     rivals = competitors.groupBy("ds_id", "product_id", "scenario").agg(
-        F.sum("share").alias("competitor_share"), F.max("raw_sum").alias("_raw"), (F.min("scale") < 1).alias("_scaled"))
+        F.sum("share").alias("competitor_share"), F.max("raw_sum").alias("_raw"), (F.min("scale") < 1 - SCALE_NOISE).alias("_scaled"))
     joined = products.join(rivals, ["ds_id", "product_id", "scenario"], "left").withColumns({
         "competitor_share": F.coalesce("competitor_share", F.lit(0.0)), "competitors_scaled": F.coalesce("_scaled", F.lit(False))})
     known = F.col("share") + F.col("competitor_share")

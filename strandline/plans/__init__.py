@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["market", "forecasting", "strategy"]
+MODULES = ["market", "forecasting", "strategy", "valuing"]
 
 
 def load() -> None:
