@@ -38,7 +38,7 @@ def audit(records: DataFrame, payload: list[str]) -> DataFrame:
 
 def time_guard(records: DataFrame, times: list[str]) -> DataFrame:
     """Forward records containing an observation later than their recording."""
-    late = F.greatest(*[F.col(t) for t in times]) > F.col("recorded_at")
+    late = F.array_max(F.array(*times)) > F.col("recorded_at")
     return records.where((F.col("mode") == "forward") & late).select("id", F.lit("RECORD_FROM_FUTURE").alias("code"))
 
 

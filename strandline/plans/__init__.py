@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["market", "forecasting", "strategy", "valuing"]
+MODULES = ["market", "forecasting", "strategy", "valuing", "reference"]
 
 
 def load() -> None:
