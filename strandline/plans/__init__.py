@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["market", "forecasting", "strategy", "valuing", "reference"]
+MODULES = ["market", "forecasting", "strategy", "valuing", "reference", "text", "feeds"]
 
 
 def load() -> None:
