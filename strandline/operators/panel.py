@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.scalar import tdiv
+from strandline.session import spread
 
 # Daily price limit with tolerance, split ratios and how near a jump must be to one.
 JUMP_UP, JUMP_DOWN = 1.31, 0.69
@@ -109,6 +110,7 @@ def join_flows(bars: DataFrame, flows: DataFrame) -> DataFrame:
 
 
 def log_returns(bars: DataFrame) -> DataFrame:
+    bars = spread(bars, "ticker")
     w = Window.partitionBy("ticker").orderBy("date")
     prev_idx = F.lag("idx").over(w)
     return (bars.withColumn("ret", F.ln(tdiv("close", F.lag("close").over(w))))

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["market", "forecasting", "strategy", "valuing", "reference", "text", "feeds"]
+MODULES = ["market", "forecasting", "strategy", "valuing", "reference", "text", "feeds", "estimates"]
 
 
 def load() -> None:

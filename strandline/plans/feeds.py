@@ -60,7 +60,7 @@ def parse_news_listing(spark, sf):
     at = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 700).cast("int")), "yyyyMMdd")
     items = table(spark, sf, "documents").select(F.col("source").alias("company"), F.struct(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("<b>"), "lang", F.lit("</b>&nbsp;")).alias("title"),
                                                                                             F.col("text").alias("body"), F.concat(at, F.lit("0000")).alias("datetime")).alias("x"))
-    pages = items.groupBy("company", F.pmod(F.hash("x.id"), F.lit(64)).alias("page")).agg(F.collect_list("x").alias("items"))
+    pages = items.groupBy("company", F.floor(F.col("x.id").cast("long") / 100).alias("page")).agg(F.collect_list("x").alias("items"))
     out = rd.parse_news_listing(pages.select("company", F.array(F.struct("items")).alias("groups")))
     return out.select("company", "id", F.col("published_at").cast("timestamp_ntz").alias("published_at"), F.regexp_replace("title", r"[\s ]+$", "").alias("title"))
 

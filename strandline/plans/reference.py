@@ -14,7 +14,7 @@ from strandline.operators import valuation as va
 from strandline.plans import market as mk
 from strandline.plans import strategy as sg
 from strandline.plans import valuing as vl
-from strandline.plans.registry import ctes, query, rounded, sql_rnd, stable, table
+from strandline.plans.registry import ctes, query, rounded, sql_rnd, stable, staged, table
 
 AS_OF = "2000-06-30"
 
@@ -142,7 +142,7 @@ def share_counts(spark, sf):
 
 
 def facts(spark, sf) -> DataFrame:
-    sold = vl.sales(spark, sf).groupBy("nation", "p_type", "q").agg(F.sum("cents").alias("cents"))
+    sold = staged(spark, sf, "sales", lambda: vl.sales(spark, sf)).groupBy("nation", "p_type", "q").agg(F.sum("cents").alias("cents"))
     concept = F.element_at(F.array(*[F.lit(c) for c in fl.REVENUE_CONCEPTS]), (F.length("p_type") % 5 + 1).cast("int"))
     base = sold.select(F.col("nation").alias("company"), concept.alias("concept"), "q", "cents").groupBy("company", "concept", "q").agg(F.sum("cents").alias("val"))
     quarters = base.where((F.col("q") % 4 != 3) | (F.col("company") % 3 == 0)).select("company", "concept", quarter_start("q").alias("start"), quarter_end("q").alias("end"), "val", F.lit("10-Q").alias("form"))
@@ -171,7 +171,8 @@ fr AS (SELECT company, 3 AS months, start, "end", val, 'reported' AS kind FROM f
 @query("facts_revenue", ctes(SQL_FACTS) + f"""SELECT company, months, start, "end", kind, {sql_rnd('val', 0)} AS revenue FROM (SELECT *, row_number() OVER (PARTITION BY company, months ORDER BY "end" DESC, start) AS r FROM fr) WHERE r <= CASE WHEN months = 3 THEN 8 ELSE 2 END""")
 def facts_revenue(spark, sf):
     cutoff = F.lit(f"{AS_OF} 15:00:00").cast("timestamp")
-    out = fl.facts_revenue(fl.earliest_values(fl.chosen_concept(fl.usable_facts(facts(spark, sf), cutoff))))
+    known = staged(spark, sf, "facts", lambda: fl.earliest_values(fl.chosen_concept(fl.usable_facts(facts(spark, sf), cutoff))))
+    out = fl.facts_revenue(known)
     return rounded(out, ["company", "months", "start", "end", "kind"], ["revenue"], 0)
 
 
