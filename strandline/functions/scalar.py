@@ -186,9 +186,13 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFKC")
 
 
+# Control characters an entity could smuggle in are dropped; a no-break space counts as a space.
+_CLEAN = {**{c: None for c in range(32) if c not in (9, 10, 13)}, 0xA0: " "}
+
+
 @F.pandas_udf(T.StringType())
 def decode_entities(s: pd.Series) -> pd.Series:
-    return s.map(html.unescape, na_action="ignore")
+    return s.map(lambda text: html.unescape(text).translate(_CLEAN), na_action="ignore")
 
 
 def sector_key(c: Column | str) -> Column:

@@ -264,8 +264,7 @@ def search_universe(rows: DataFrame, text: str, limit: int = 20) -> DataFrame:
     """Ticker prefix or name part; every row carries the total so a page can say how many there are."""
     needle = text.strip().lower()
     hits = rows.where(F.lower("ticker").startswith(needle) | F.lower("name").contains(needle))
-    total = hits.agg(F.count("*").alias("total"))
-    return hits.join(F.broadcast(total)).orderBy(F.desc("market_cap"), "ticker").limit(limit)
+    return hits.withColumn("total", F.lit(hits.count())).orderBy(F.desc("market_cap"), "ticker").limit(limit)
 
 
 def industry_peers(rows: DataFrame, first: int = 6) -> DataFrame:

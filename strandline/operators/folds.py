@@ -121,7 +121,7 @@ def fit_folds(windows: DataFrame, o: FoldOptions) -> DataFrame:
     weighted = recency_weights(windows.where((F.col("fwd") != 0)), o.half_life)
     names = list(o.features)
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["date", "ticker"], kind="stable")
         if len(pdf) < min(o.min_train, 60):
             return pd.DataFrame()

@@ -221,9 +221,9 @@ SELECT ticker, date, {sql_rnd("close", 4)} AS close FROM raw_bars, last_day WHER
 def unfinished_session(spark, sf):
     """'Now' is 15:39 in Korea on the last day of the data: that day's bars are not final."""
     data = raw_bars(spark, sf)
-    last = data.agg(F.max("date").alias("d"))
-    now = F.to_utc_timestamp(F.concat(F.date_format("d", "yyyy-MM-dd"), F.lit(" 15:39:00")).cast("timestamp"), "Asia/Seoul")
-    return rounded(panel.drop_unfinished_session(data.join(F.broadcast(last)), now), ["ticker", "date"], ["close"], 4)
+    last = table(spark, sf, "lineitem").agg(F.to_date(F.max("l_shipdate"))).first()[0]
+    now = F.to_utc_timestamp(F.lit(f"{last} 15:39:00").cast("timestamp"), "Asia/Seoul")
+    return rounded(panel.drop_unfinished_session(data, now), ["ticker", "date"], ["close"], 4)
 
 
 @query("corporate_actions", ctes(SQL_BARS) + sql_rounded(["ticker", "date", "truncated_before"], _BAR_VALUES + ["split_ratio"], "bars", 4))

@@ -335,11 +335,12 @@ def replay_sessions(spark, sf, runs: DataFrame) -> DataFrame:
                     (F.col("date").cast("timestamp") + F.expr("interval 6 hours")).alias("close_at")))
 
 
-def replay_prices(spark, sf, sessions: DataFrame) -> DataFrame:
-    """Opens and closes as known at each session; brands with a multiple of 12 only have prices on their trading dates."""
+def replay_prices(spark, sf, sessions: DataFrame, selected: DataFrame) -> DataFrame:
+    """Opens and closes of the selected brands as known at each session of their run; brands with a multiple of 12 only
+    have prices on their trading dates."""
     dates = sessions.select("date").distinct()
     bars = mk.bars(spark, sf).select("ticker", "date", "close")
-    probes = bars.select("ticker").distinct().join(F.broadcast(dates))
+    probes = selected.select("run_id", "ticker").join(sessions.select("run_id", "date"), "run_id").select("ticker", "date").distinct()
     close = panel.asof_join(probes, bars, "close", by=["ticker"])
     both = panel.asof_join(close, bars.withColumnRenamed("close", "open"), "open", by=["ticker"], strict=True)
     exact = bars.select("ticker", "date", F.lit(True).alias("_exact"))
@@ -368,7 +369,7 @@ def replay_inputs(spark, sf):
     rows, selected = relaxed(spark, sf)
     runs = staged(spark, sf, "runs", lambda: runs_of(rows))
     sessions = staged(spark, sf, "sessions", lambda: replay_sessions(spark, sf, runs))
-    return runs, selected, sessions, staged(spark, sf, "session-prices", lambda: replay_prices(spark, sf, sessions))
+    return runs, selected, sessions, staged(spark, sf, "session-prices", lambda: replay_prices(spark, sf, sessions, selected))
 
 
 SQL_REPLAY = SQL_SELECT.strip() + "," + mk.SQL_BARS.strip() + "," + mk.SQL_INDEX.strip() + """,

@@ -35,11 +35,10 @@ def build_tables(spark, sf) -> va.Tables:
     types = table(spark, sf, "part").select("p_type").distinct().withColumn("pos", F.row_number().over(Window.orderBy("p_type")) - 1)
     sold = staged(spark, sf, "sales", lambda: sales(spark, sf)).where(F.col("q").between(FIRST_Q, LAST_Q)).join(types, "p_type").join(nations, "nation")
     ds = nations.select(F.col("nation").alias("ds_id"), "region")
-    slug = F.lower("p_type")
+    slug = F.lower(F.col("p_type"))
     currency = F.when(F.col("pos") % 2 == 0, "USD").otherwise("KRW")
     published = F.date_add(quarter_end("q"), 20)
-    market = ds.join(F.broadcast(types))  # nations x part types: both are fixed dimensions
-    entity = market.select("ds_id", "pos", F.concat(F.lit("m-"), slug).alias("market_id"), F.concat(F.lit("p-"), slug).alias("product_id"), "p_type", "region")
+    entity = ds.join(sold.select("region", "p_type", "pos").distinct(), "region").select("ds_id", "pos", F.concat(F.lit("m-"), slug).alias("market_id"), F.concat(F.lit("p-"), slug).alias("product_id"), "p_type", "region")
     regional = sold.groupBy("region", "p_type", "pos", "q").agg((F.sum("cents") * 1.25).alias("gross"))
     is_est = (F.col("q") + F.col("pos")) % 5 == 0
     j = lambda *k: F.row_number().over(Window.partitionBy(*k).orderBy("q")) - 1

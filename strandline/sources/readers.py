@@ -181,12 +181,13 @@ horizons array<struct<horizon:int,probability_up:double,direction:string,confide
 def read_log(spark: SparkSession, path: str, schema: str = FORECAST_LOG) -> DataFrame:
     """JSON Lines log; a torn line is skipped and a missing log is empty."""
     try:
-        rows = spark.read.schema(f"{schema}, _torn string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_torn").json(path)
+        lines = spark.read.text(path)
     except Exception as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
         return spark.createDataFrame([], schema)
-    return rows.where(F.col("_torn").isNull()).drop("_torn")
+    parsed = F.from_json("value", f"{schema}, _torn string", {"columnNameOfCorruptRecord": "_torn"})
+    return lines.where(F.trim("value") != "").select(parsed.alias("r")).select("r.*").where(F.col("_torn").isNull()).drop("_torn")
 
 
 def append_log(rows: DataFrame, path: str) -> None:
