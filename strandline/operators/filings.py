@@ -224,7 +224,7 @@ def cross_rates(rates: DataFrame, day: Column, base: str = "KRW") -> DataFrame:
     """Units of `base` per currency through a common quote, on the last day before `day`."""
     known = rates.where(F.col("date") <= F.date_sub(day, 1))
     last = known.groupBy().agg(F.max("date").alias("date"))
-    on = known.join(F.broadcast(last), "date")
+    on = known.join(last, "date")
     anchor = on.where(F.col("currency") == base).select("date", F.col("rate").alias("_b"))
     return on.join(anchor, "date").where((F.col("currency") != base) & (F.col("rate") > 0)).select(
         "currency", "date", rnd(F.col("_b") / F.col("rate"), 4).alias("per_unit"))

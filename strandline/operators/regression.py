@@ -13,6 +13,10 @@ from strandline.functions.scalar import sigmoid
 from strandline.operators.learners import log_odds
 
 
+# Coefficient tables are broadcast up to this many groups (a few coefficients each), joined by key beyond it.
+MAX_BROADCAST_GROUPS = 50_000
+
+
 def _products(terms: list, weight) -> list:
     return [F.sum(weight * a * b).alias(f"h{i}_{j}") for i, a in enumerate(terms) for j, b in enumerate(terms) if j <= i]
 
@@ -63,7 +67,8 @@ def grouped_logistic(df: DataFrame, keys: list[str], xs: list[str], y: str, w: s
                                          zip(state[keys].itertuples(index=False, name=None), beta)],
                                         schema.replace("n long, ", ""))
         z = sum((F.col("coef")[i] * t for i, t in enumerate(terms)), F.lit(0.0))
-        scored = df.join(F.broadcast(current), keys).withColumn("_p", sigmoid(z))
+        hinted = F.broadcast(current) if len(state) <= MAX_BROADCAST_GROUPS else current
+        scored = df.join(hinted, keys).withColumn("_p", sigmoid(z))
         curvature = F.greatest(F.lit(1e-6), F.col("_p") * (1 - F.col("_p"))) * weight
         sums = (scored.groupBy(*keys).agg(*_products(terms, curvature),
                                           *[F.sum((F.col("_p") - F.col(y)) * weight * t).alias(f"g{i}")
