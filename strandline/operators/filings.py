@@ -165,7 +165,7 @@ def facts_revenue(facts: DataFrame) -> DataFrame:
     plain = lambda df, months: df.select("company", F.lit(months).alias("months"), "start", "end", F.col("val").alias("revenue"), F.lit("reported").alias("kind"))
     rows = union_all([plain(quarters, 3), plain(years, 12), derived])
     newest = F.row_number().over(Window.partitionBy("company", "months").orderBy(F.desc("end"), "start"))
-    return rows.withColumn("_r", newest).where(F.col("_r") <= F.when(F.col("months") == 3, MAX_QUARTERS).otherwise(MAX_YEARS)).drop("_r")
+    return rows.withColumn("_r", newest).where(F.col("_r") <= MAX_QUARTERS).where(F.col("_r") <= F.when(F.col("months") == 3, MAX_QUARTERS).otherwise(MAX_YEARS)).drop("_r")
 
 
 def half_year_filings(docs: DataFrame, elements: dict[str, int], window_days: int, day: Column) -> DataFrame:
@@ -237,7 +237,7 @@ def disclosures(rows: DataFrame) -> DataFrame:
         kind, cap = F.when(name.rlike(pattern), label).otherwise(kind), F.when(name.rlike(pattern), limit).otherwise(cap)
     newest = [F.desc("received_date"), F.desc("receipt")]
     hits = rows.withColumns({"kind": kind, "_cap": cap}).where(F.col("kind").isNotNull())
-    capped = hits.withColumn("_k", F.row_number().over(Window.partitionBy("company", "kind").orderBy(*newest))).where(F.col("_k") <= F.col("_cap"))
+    capped = hits.withColumn("_k", F.row_number().over(Window.partitionBy("company", "kind").orderBy(*newest))).where((F.col("_k") <= 2) & (F.col("_k") <= F.col("_cap")))
     return (capped.withColumn("rank", F.row_number().over(Window.partitionBy("company").orderBy(*newest)))
             .where(F.col("rank") <= MAX_DISCLOSURES).drop("_k", "_cap"))
 
@@ -254,10 +254,9 @@ def classify_securities(rows: DataFrame) -> DataFrame:
 
 
 def universe(rows: DataFrame) -> DataFrame:
-    """Common stocks with a valid code, one row per ticker, largest first per exchange."""
+    """Common stocks with a valid code, one row per ticker, sorted by exchange and size (a range-partitioned sort)."""
     good = classify_securities(rows).where((F.size("rejections") == 0) & F.col("ticker").rlike(TICKER_PATTERN)).drop("rejections")
-    one = latest_by(good, ["ticker"], [F.col("market_cap")])
-    return one.withColumn("rank", F.row_number().over(Window.partitionBy("exchange").orderBy(F.desc("market_cap"), "ticker")))
+    return latest_by(good, ["ticker"], [F.col("market_cap")]).orderBy("exchange", F.desc("market_cap"), "ticker")
 
 
 def search_universe(rows: DataFrame, text: str, limit: int = 20) -> DataFrame:
@@ -268,11 +267,14 @@ def search_universe(rows: DataFrame, text: str, limit: int = 20) -> DataFrame:
 
 
 def industry_peers(rows: DataFrame, first: int = 6) -> DataFrame:
-    """Listed common peers of each company in list order, itself removed; the first few are its competitors."""
+    """Listed common peers of each company, itself removed; the first few in list order are its competitors.
+
+    Only the first few are ranked (a limited window keeps no more per task), then joined back to the whole list."""
     listed = rows.where(F.col("exchange").isin("KOSPI", "KOSDAQ") & (F.col("peer") != F.col("company")))
     one = listed.groupBy("company", "peer").agg(F.min("pos").alias("pos"))
     order = Window.partitionBy("company").orderBy("pos", "peer")
-    return one.withColumn("peer_rank", F.row_number().over(order)).withColumn("is_competitor", F.col("peer_rank") <= first)
+    top = one.withColumn("peer_rank", F.row_number().over(order)).where(F.col("peer_rank") <= first).select("company", "peer", "peer_rank")
+    return one.join(top, ["company", "peer"], "left").withColumn("is_competitor", F.col("peer_rank").isNotNull())
 
 
 def agreed_exchange(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -63,3 +63,8 @@ def evidence_mode(resolved: DataFrame) -> DataFrame:
     """Weakest evidence over a request's inputs: synthetic over historical over forward."""
     order = F.array_position(F.array(*[F.lit(m) for m in EVIDENCE_ORDER]), F.col("evidence_mode"))
     return resolved.groupBy("request_id").agg(F.max_by("evidence_mode", order).alias("evidence_mode"), F.count("*").alias("inputs"))
+
+
+def chronological(records: DataFrame) -> DataFrame:
+    """Records in the order they were written."""
+    return records.orderBy("recorded_at", "id")

@@ -247,9 +247,9 @@ def classify_securities(spark, sf):
     return fl.classify_securities(listing(spark, sf)).select("ticker", F.array_join("rejections", ",").alias("rejections"))
 
 
-@query("universe", ctes(SQL_LISTING) + "SELECT ticker, exchange, c_acctbal AS market_cap, CAST(row_number() OVER (PARTITION BY exchange ORDER BY c_acctbal DESC, ticker) AS INTEGER) AS rank FROM cl WHERE len(rejections) = 0")
+@query("universe", ctes(SQL_LISTING) + "SELECT ticker, exchange, c_acctbal AS market_cap FROM cl WHERE len(rejections) = 0 ORDER BY exchange, market_cap DESC, ticker")
 def universe(spark, sf):
-    return fl.universe(listing(spark, sf)).select("ticker", "exchange", "market_cap", "rank")
+    return fl.universe(listing(spark, sf)).select("ticker", "exchange", "market_cap")
 
 
 @query("search_universe", ctes(SQL_LISTING) + ", h AS (SELECT * FROM cl WHERE ticker LIKE '12%' OR lower(c_name) LIKE '%12%') SELECT ticker, (SELECT count(*) FROM h) AS total FROM h ORDER BY c_acctbal DESC, ticker LIMIT 20")
@@ -258,7 +258,7 @@ def search_universe(spark, sf):
 
 
 @query("industry_peers", """WITH p AS (SELECT o_custkey AS company, l_suppkey AS peer, min(l_orderkey) AS pos FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey % 3 <> 0 AND l_suppkey <> o_custkey GROUP BY 1, 2)
-SELECT company, peer, CAST(row_number() OVER (PARTITION BY company ORDER BY pos, peer) AS INTEGER) AS peer_rank, row_number() OVER (PARTITION BY company ORDER BY pos, peer) <= 6 AS is_competitor FROM p""")
+SELECT company, peer, CASE WHEN r <= 6 THEN r END AS peer_rank, r <= 6 AS is_competitor FROM (SELECT *, CAST(row_number() OVER (PARTITION BY company ORDER BY pos, peer) AS INTEGER) AS r FROM p)""")
 def industry_peers(spark, sf):
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey")
     rows = (lines.join(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
@@ -409,6 +409,17 @@ def consensus_gap(spark, sf):
     return rounded(qu.consensus_gap(values, consensus), ["ticker", "q", "code"], ["revenue_gap_pct", "op_gap_pct"], 5)
 
 
+@query("pe_band", ctes(sg.SQL_STRAT.strip() + "," + mk.SQL_BARS.strip()) + """, l4 AS (SELECT ticker, sum(eps) AS ttm, max(q) - min(q) AS span, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY q DESC) AS r FROM bridge) WHERE r <= 4 GROUP BY 1 HAVING n = 4 AND span = 3 AND ttm > 0),
+c AS (SELECT b.ticker, floor(min(b.close / (ttm / 100)) * 100 + 0.5) / 100 AS lo, floor(max(b.close / (ttm / 100)) * 100 + 0.5) / 100 AS hi FROM bars b JOIN l4 USING (ticker) GROUP BY 1), a AS (SELECT *, CAST(regexp_extract(ticker, '(\\d+)', 1) AS INTEGER) * 10.0 AS base FROM c)
+SELECT ticker, 'PE_OUTSIDE_OBSERVED_RANGE' AS code FROM a WHERE base < lo OR base > hi OR base * 0.8 > hi OR base * 1.2 < lo""")
+def pe_band(spark, sf):
+    eps = sg.base_bridge(spark, sf).select("ticker", "q", (F.col("eps") / 100).alias("eps"))
+    observed = fl.per_reference(mk.bars(spark, sf).select("ticker", "date", "close"), eps)
+    base = sg.brand_number() * 10.0
+    assumed = observed.select("ticker", base.alias("base"), (base * 0.8).alias("bear"), (base * 1.2).alias("bull"))
+    return qu.pe_band(assumed, observed).select("ticker", "code")
+
+
 @query("quality_tier", """WITH t AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 2 = 0 THEN 'verified' ELSE 'provisional' END AS grade, c_custkey % 3 <> 0 AS x, CASE c_custkey % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'low' END AS g, c_custkey % 11 = 0 AS pe, c_custkey % 5 = 0 AS cg FROM customer),
 r AS (SELECT *, list_filter([CASE WHEN grade <> 'verified' THEN 'provisional valuation' END, CASE WHEN NOT x THEN 'single model' END, CASE WHEN g <> 'high' THEN 'data grounding ' || g END, CASE WHEN pe THEN 'PE_OUTSIDE_OBSERVED_RANGE' END, CASE WHEN cg THEN 'CONSENSUS_GAP_LARGE' END], lambda v: v IS NOT NULL) AS rs FROM t)
 SELECT k, CASE WHEN grade IS NULL THEN NULL WHEN len(rs) = 0 THEN 'high' WHEN g = 'low' OR (grade <> 'verified' AND g <> 'high') OR pe THEN 'low' ELSE 'medium' END AS tier, CASE WHEN grade IS NULL THEN 'no valuation' ELSE array_to_string(rs, '|') END AS reasons FROM r""")

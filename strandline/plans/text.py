@@ -225,7 +225,7 @@ def evidence_inventory(spark, sf):
 
 
 @query("evidence_ranking", ctes(SQL_METRICS) + """, f AS (SELECT doc_id, max(CASE WHEN kind = 'market_share' THEN 3 ELSE 0 END) AS f FROM metric GROUP BY 1), s AS (SELECT d.source AS company, d.doc_id, coalesce(f, 0) + """ + " + ".join(f"CASE WHEN contains(text, '{w}') THEN 1 ELSE 0 END" for w in WORDS) + """ AS score FROM documents d LEFT JOIN f USING (doc_id))
-SELECT company, doc_id, score, CAST(row_number() OVER (PARTITION BY company ORDER BY score DESC, doc_id % 700 DESC, doc_id) AS INTEGER) AS rank FROM s""")
+SELECT * FROM (SELECT company, doc_id, score, CAST(row_number() OVER (PARTITION BY company ORDER BY score DESC, doc_id % 700 DESC, doc_id) AS INTEGER) AS rank FROM s) WHERE rank <= 60""")
 def evidence_ranking(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("source").alias("company"), "doc_id", "text", (F.col("doc_id") % 700).alias("published_at"))
     found = co.metric_candidates(co.sentences(docs), NUMBER, SHARE, GROWTH)

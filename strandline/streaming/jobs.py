@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from strandline.functions.scalar import content_hash
 from strandline.operators import forecast as fc
 from strandline.operators import panel
+from strandline.operators import records as rc
 
 
 def _write(df: DataFrame, path: str, batch_id: int) -> None:
@@ -62,17 +63,16 @@ def score_arrivals(stream: DataFrame, log: DataFrame, bars_path: str, scores_pat
 
 def ingest_records(stream: DataFrame, payload: list[str], times: list[str], path: str, rejects_path: str, checkpoint: str,
                    **trigger) -> StreamingQuery:
-    """Store new records with their hash; repeated ids and forward records from the future go to the reject folder."""
+    """Store new records with their hash; repeated ids and forward records from the future go to the reject folder.
+
+    Ids are checked against the stored records, so no stream state grows with them."""
     schema = stream.withColumn("content_hash", content_hash(payload)).schema
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        hashed = batch.withColumn("content_hash", content_hash(payload))
-        stored = _stored(spark, path, schema).select("id").distinct().withColumn("_known", F.lit(True))
-        late = (F.col("mode") == "forward") & (F.array_max(F.array(*times)) > F.col("recorded_at"))
-        marked = hashed.join(stored, "id", "left").withColumn("code", F.when(F.col("_known"), "RECORD_ID_CONFLICT").when(late, "RECORD_FROM_FUTURE")).drop("_known")
-        _write(marked.where(F.col("code").isNull()).drop("code").select(*[f.name for f in schema]), path, batch_id)
-        _write(marked.where(F.col("code").isNotNull()), rejects_path, batch_id)
-
-    return (stream.dropDuplicates(["id"]).writeStream.foreachBatch(step)
-            .option("checkpointLocation", checkpoint).trigger(**trigger).start())
+        stored = _stored(batch.sparkSession, path, schema)
+        accepted, conflicts = rc.append(stored, rc.with_hash(batch, payload))
+        late = rc.time_guard(accepted, times)
+        _write(accepted.join(late.select("id"), "id", "left_anti").select(*[f.name for f in schema]), path, batch_id)
+        _write(conflicts.select("id", "code").unionByName(late), rejects_path, batch_id)
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**trigger).start()
