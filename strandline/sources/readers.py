@@ -147,16 +147,15 @@ def parse_finance_tables(rows: DataFrame) -> DataFrame:
     return cells.join(columns, ["company", "column"])
 
 
-def read_code_list(spark: SparkSession, path: str, schema: str, encoding: str = "UTF-8", header_lines: int = 2) -> DataFrame:
-    """Delimited code list with leading header lines."""
-    lines = spark.read.option("encoding", encoding).csv(path, schema=schema, quote='"', mode="DROPMALFORMED")
-    first = lines.columns[0]
-    return lines.withColumn("_n", F.monotonically_increasing_id()).where((F.col("_n") >= header_lines) & F.col(first).isNotNull()).drop("_n")
+def read_code_list(spark: SparkSession, path: str, schema: str, key_pattern: str, encoding: str = "UTF-8") -> DataFrame:
+    """Delimited code list; leading title and header lines are the rows whose first column is no code."""
+    rows = spark.read.csv(path, schema=schema, quote='"', encoding=encoding, mode="PERMISSIVE")
+    return rows.where(F.coalesce(F.col(rows.columns[0]).rlike(key_pattern), F.lit(False)))
 
 
 def read_fact_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Tab-separated UTF-16 facts with one header line."""
-    return spark.read.csv(path, schema=schema, sep="\t", encoding="UTF-16", header=True, quote='"')
+    """Tab-separated UTF-16 facts with one header line, one small file per filing (two-byte text cannot be split by lines)."""
+    return spark.read.csv(path, schema=schema, sep="\t", encoding="UTF-16", header=True, quote='"', multiLine=True)
 
 
 def read_html_files(spark: SparkSession, path: str) -> DataFrame:

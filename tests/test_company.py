@@ -159,3 +159,14 @@ def test_selection_equals_the_rule_on_the_whole_list(spark):
     docs = [{"company": "c", "doc_id": i, "kind": kinds[(i * 7) % len(kinds)], "priority": i, "text": "x" * (150 + (i * 137) % 900)} for i in range(300)]
     got = co.select_documents(spark.createDataFrame(docs), total_chars=12_000, doc_chars=600, max_docs=25, max_news=4).collect()
     assert {(r["doc_id"], r["chars"]) for r in got} == brute_selection(docs, 12_000, 600, 25, 4, co.KIND_SHARE)
+
+
+def test_delimited_and_markup_files(spark, tmp_path):
+    (tmp_path / "codes.csv").write_text('"Downloaded","x"\n"Code","Name"\n"E00001","A, Ltd"\n"E00002","B"\n', encoding="utf-8")
+    codes = rd.read_code_list(spark, str(tmp_path / "codes.csv"), "code string, name string", r"^E\d{5}$")
+    assert sorted(tuple(r) for r in codes.collect()) == [("E00001", "A, Ltd"), ("E00002", "B")]
+    (tmp_path / "facts.tsv").write_text('element\tvalue\n"NetSales"\t"12"\n', encoding="utf-16")
+    assert tuple(rd.read_fact_table(spark, str(tmp_path / "facts.tsv"), "element string, value double").first()) == ("NetSales", 12.0)
+    (tmp_path / "html").mkdir()
+    (tmp_path / "html" / "p.html").write_text("<article><p>한글</p></article>", encoding="utf-8")
+    assert co.articles(rd.read_html_files(spark, str(tmp_path / "html"))).first()["text"] == "한글"
