@@ -77,3 +77,18 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
             return edges.selectExpr("hi AS node", "lo AS root").unionByName(
                 edges.selectExpr("lo AS node", "lo AS root").distinct())
         mark = tuple(now)
+
+
+def linked_classes(classes: DataFrame, verified: DataFrame) -> DataFrame:
+    """(class, class_id, n_links, n_copies) from classes of copies (class, rep, n) and verified rows (class, links, other):
+    `links` counts documents linked to the class, `other` is a class of its local component. class_id is the least rep that
+    links reach; the links of copies among themselves are n - 1 for each."""
+    joined = components(verified.where("class <> other"), "class", "other")
+    members = (classes.select("class", "rep", "n")
+               .join(verified.groupBy("class").agg(F.sum("links").alias("links")), "class", "left")
+               .join(joined.withColumnRenamed("node", "class"), "class", "left")
+               .withColumn("root", F.coalesce("root", "class")))
+    names = members.groupBy("root").agg(F.min("rep").alias("class_id"))
+    return members.join(names, "root").select(
+        "class", "class_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+        (F.col("n") - 1).alias("n_copies"))

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.groups import clustered, components, local_roots, whole_groups
+from strandline.llm.groups import clustered, components, linked_classes, local_roots, whole_groups
 from strandline.llm.shingles import WORDS, mix, set_key, shingle_set
 from strandline.session import stage
 
@@ -171,15 +171,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         shingle, "root long, class long, rep long, n long, size int, shingles binary"), "shingles")
     tiles = clustered(_tiles(shingled, similarity).drop("rep"), "root", "b1", "i1", "b2", "i2")
     verified = stage(tiles.mapInPandas(_verifier(similarity), "class long, links long, other long"), "verified")
-    joined = components(verified.where("class <> other"), "class", "other")
-
-    members = (classes.select("class", "rep", "n")
-               .join(verified.groupBy("class").agg(F.sum("links").alias("links")), "class", "left")
-               .join(joined.withColumnRenamed("node", "class"), "class", "left")
-               .withColumn("root", F.coalesce("root", "class")))
-    names = members.groupBy("root").agg(F.min("rep").alias("class_id"))
-    members = members.join(names, "root").select(
-        "class", "class_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), (F.col("n") - 1).alias("n_copies"))
+    members = linked_classes(classes, verified)
     return (known.select("doc_id", "class").join(members, "class").select("doc_id", "class_id", "n_links", "n_copies")
             .unionByName(signed.where("class IS NULL").selectExpr("doc_id", "doc_id AS class_id", "0L AS n_links",
                                                                   "0L AS n_copies")))
