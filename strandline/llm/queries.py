@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import byte_bpe, cap_filters, html_text, jaccard, language, neighbours, packing, toxicity
+from strandline.llm import byte_bpe, cap_filters, html_text, jaccard, language, lm_scores, neighbours, packing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,3 +81,11 @@ def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_byte_bpe")
 def byte_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
+
+
+@query("op10_cross_entropy_difference")
+def cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the documents labelled as of good quality; background: all documents."""
+    docs = table(spark, sf_dir, "documents")
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    return lm_scores.scored(docs, lm_scores.fit(docs, good))
