@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import byte_bpe, cap_filters, html_text, jaccard, language, lm_scores, neighbours, packing, toxicity
+from strandline.llm import byte_bpe, cap_filters, html_text, jaccard, language, licences, lm_scores, neighbours, packing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,6 +61,12 @@ def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), 20, F.col("vec_id") % 20 == 0)
 
 
+@query("op5_licence_scan", licences.scan_sql())
+def licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "licence", "dice", "segment", F.size("matches").cast("long").alias("n_matches"))
+
+
 @query("op6_main_text")
 def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
