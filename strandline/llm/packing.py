@@ -87,6 +87,11 @@ def windows(sizes: list[int], capacity: int) -> list[list[int]]:
         k += 1
 
 
+def _lower(text: str) -> str:
+    """Lower case letter by letter, as the tokenizer does: Python alone would write a last sigma in its final form."""
+    return text.replace("\u03a3", "\u03c3").lower()
+
+
 class WordTokens:
     """Ids of a text as little-endian 32-bit bytes. The tokenizer's words never span white space and each ends in a token
     that is marked as word end, so stretches between white space are remembered, and their words that are new are encoded
@@ -113,10 +118,10 @@ class WordTokens:
         """Words of a unit. Letters alone, or before one plain mark, are told without the pattern."""
         body, mark = (unit[:-1], unit[-1]) if unit[-1] in ".,;:!?" else (unit, "")
         if body.isascii() or unicodedata.is_normalized("NFC", unit):
-            lower = body.lower()
+            lower = _lower(body)
             if lower.isalpha():
                 return [lower, mark] if mark else [lower]
-        return self.words.findall(unicodedata.normalize("NFC", unit).lower())
+        return self.words.findall(_lower(unicodedata.normalize("NFC", unit)))
 
     def _learn(self, units: list[str]) -> None:
         split = list(map(self._split, units))
