@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.scalar import content_hash
@@ -16,13 +16,17 @@ def with_hash(records: DataFrame, payload: list[str]) -> DataFrame:
     return records.withColumn("content_hash", content_hash(payload))
 
 
-def append(existing: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected): an id already stored, or repeated in the batch with a later arrival, is refused."""
-    first = incoming.groupBy("id").agg(F.min("recorded_at").alias("recorded_at"))
-    fresh = incoming.join(first, ["id", "recorded_at"], "left_semi").dropDuplicates(["id"])
-    accepted = fresh.join(existing.select("id"), "id", "left_anti")
-    rejected = incoming.join(accepted.select("id", "recorded_at"), ["id", "recorded_at"], "left_anti").withColumn("code", F.lit("RECORD_ID_CONFLICT"))
-    return accepted, rejected
+def append(existing: DataFrame, incoming: DataFrame, arrival: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected): the first of an id is accepted unless the id is stored already, every other row is refused.
+
+    First by recording time, then arrival (a column, where there is one), then content; rows equal in all are one another's
+    repeats, all but one of them refused."""
+    order = ["recorded_at", *([arrival] if arrival else []), *(["content_hash"] if "content_hash" in incoming.columns else [])]
+    ranked = incoming.withColumn("_turn", F.row_number().over(Window.partitionBy("id").orderBy(*order)))
+    known = ranked.join(existing.select("id", F.lit(True).alias("_stored")).distinct(), "id", "left")
+    wins = (F.col("_turn") == 1) & F.col("_stored").isNull()
+    return (known.where(wins).select(*incoming.columns),
+            known.where(~wins).select(*incoming.columns, F.lit("RECORD_ID_CONFLICT").alias("code")))
 
 
 def audit(records: DataFrame, payload: list[str]) -> DataFrame:

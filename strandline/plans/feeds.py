@@ -118,7 +118,7 @@ def stream_scores(spark, sf):
     batch_bars = panel.last_arrival(events.select(F.col("event_type").alias("ticker"), F.to_date("ts").alias("date"), (F.col("value") + 1).alias("close"), F.col("event_id").alias("ingest_seq")))
     log, base = event_log(batch_bars), _folder(spark)
     jobs.score_arrivals(event_stream(spark, sf), log, f"{base}/bars", f"{base}/scores", f"{base}/cp", availableNow=True).awaitTermination()
-    out = spark.read.schema(fc.score_log(log, batch_bars).schema).option("recursiveFileLookup", True).parquet(f"{base}/scores")
+    out = jobs.current_scores(spark, f"{base}/scores", jobs.score_schema(log))
     return rounded(out, ["ticker", "as_of_date", "horizon"], ["actual_return_pct"], 5)
 
 

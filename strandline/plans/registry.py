@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,9 +65,22 @@ def ctes(*parts: str) -> str:
 _STAGED: dict[tuple[str, str, str], DataFrame] = {}
 
 
+def _state(spark: SparkSession, folder: str) -> str:
+    """Digest of the tables' files as the input's own file system lists them, one level of part files included."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    seen = []
+    for entry in system.listStatus(path):
+        files = system.listStatus(entry.getPath()) if entry.isDirectory() else [entry]
+        seen += [f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}" for f in files]
+    return hashlib.md5("\n".join(sorted(seen)).encode()).hexdigest()
+
+
 def staged(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
-    """A table several queries of one application share, written once to the shared folder."""
-    key = (spark.sparkContext.applicationId, sf, name)
+    """A table several queries of one application share, written once to the shared folder. The key holds the state of the
+    input files (name, length, time of change), so a changed table is staged anew."""
+    key = (spark.sparkContext.applicationId, sf, _state(spark, sf), name)
     if key not in _STAGED:
         _STAGED[key] = stage(build(), name)
     return _STAGED[key]

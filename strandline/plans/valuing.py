@@ -14,7 +14,7 @@ from strandline.operators import repair as ry
 from strandline.operators import valuation as va
 from strandline.plans.registry import ctes, query, rounded, sql_rnd, stable, staged, table
 
-FIRST_Q, LAST_Q, AS_OF = 7990, 8005, "2001-11-15"
+FIRST_Q, LAST_Q, AS_OF = 7980, 8007, "2002-05-15"
 
 
 def as_of():
@@ -46,27 +46,27 @@ def build_tables(spark, sf) -> va.Tables:
            .withColumn("method", F.when(is_est, "share_implied"))
            .withColumn("revenue", F.when(is_est, F.col("gross") * 0.75).otherwise(F.col("gross")))
            .select("ds_id", "market_id", j("ds_id", "market_id").alias("j"), "q", "revenue", F.lit("quarterly").alias("basis"), "method", published.alias("published_at")))
-    own = (entity.join(sold.select(F.col("nation").alias("ds_id"), "p_type", "q", "cents"), ["ds_id", "p_type"]).where(F.col("q") >= 7998)
+    own = (entity.join(sold.select(F.col("nation").alias("ds_id"), "p_type", "q", "cents"), ["ds_id", "p_type"]).where(F.col("q") >= 7980)
            .select("ds_id", "product_id", j("ds_id", "product_id").alias("j"), "q", F.col("cents").alias("revenue"), currency.alias("currency"),
-                   F.lit("quarterly").alias("basis"), F.when(F.col("q") == 7999, "article_synthesis").alias("method"), published.alias("published_at")))
+                   F.lit("quarterly").alias("basis"), F.when(F.col("q") == 8001, "article_synthesis").alias("method"), published.alias("published_at")))
     rivals = (entity.join(nations.select(F.col("nation").alias("rival"), "region"), "region").where(F.col("rival") != F.col("ds_id"))
               .withColumn("competitor_id", F.concat(F.lit("c-"), F.col("rival").cast("string"), F.lit("-"), slug))
               .withColumn("cpos", F.row_number().over(Window.partitionBy("ds_id").orderBy("pos", "rival")) - 1))
     crev = (rivals.join(sold.select(F.col("nation").alias("rival"), "p_type", "q", "cents"), ["rival", "p_type"])
-            .where(~((F.col("rival") % 7 == 0) & (F.col("q") > 8001)))
+            .where(~((F.col("rival") % 7 == 0) & (F.col("q") > 8003)))
             .select("ds_id", "competitor_id", j("ds_id", "competitor_id").alias("j"), "q", F.col("cents").alias("revenue"),
                     F.when(F.col("rival") % 5 == 1, "JPY").otherwise(currency).alias("currency"), F.lit("quarterly").alias("basis"),
                     F.when((F.col("rival") + F.col("q")) % 11 == 0, "model_knowledge").alias("method"), published.alias("published_at")))
     n = F.col("ds_id")
     fx_rate = (1000 + 10 * n).cast("double")
     krw = own.where(F.col("q") == LAST_Q).groupBy("ds_id").agg(F.sum(F.col("revenue") * F.when(F.col("currency") == "USD", fx_rate).otherwise(1.0)).alias("k"))
-    fin = krw.select("ds_id", F.lit(LAST_Q).alias("q"), (F.col("k") * 1.25).alias("total_revenue"), F.to_date(F.lit("2001-08-10")).alias("published_at"))
+    fin = krw.select("ds_id", F.lit(LAST_Q).alias("q"), (F.col("k") * 1.25).alias("total_revenue"), F.to_date(F.lit("2002-02-10")).alias("published_at"))
     growth = va.scenarios({"annual_growth": (0.0, 0.05, 0.1), "cyclical": (0.95, 1.0, 1.05)})
     tri = lambda df, keys, values: df.select(*keys, va.scenarios(values).alias("_s")).select(*keys, "_s.*")
     return va.Tables(
-        quote=ds.select("ds_id", (50000 + 1000 * n).cast("double").alias("price"), F.to_date(F.lit("2001-11-12")).alias("as_of"), F.to_date(F.lit("2001-11-12")).alias("published_at")),
-        shares=ds.select("ds_id", (1000000 + 1000 * n).cast("double").alias("diluted"), F.to_date(F.lit("2001-06-30")).alias("as_of"), F.to_date(F.lit("2001-08-10")).alias("published_at")),
-        fx=ds.select("ds_id", F.lit(0).alias("pos"), F.lit("USD").alias("currency"), fx_rate.alias("krw_per_unit"), F.to_date(F.lit("2001-11-01")).alias("as_of"), F.to_date(F.lit("2001-11-01")).alias("published_at")),
+        quote=ds.select("ds_id", (50000 + 1000 * n).cast("double").alias("price"), F.to_date(F.lit("2002-05-12")).alias("as_of"), F.to_date(F.lit("2002-05-12")).alias("published_at")),
+        shares=ds.select("ds_id", (1000000 + 1000 * n).cast("double").alias("diluted"), F.to_date(F.lit("2001-12-31")).alias("as_of"), F.to_date(F.lit("2002-02-10")).alias("published_at")),
+        fx=ds.select("ds_id", F.lit(0).alias("pos"), F.lit("USD").alias("currency"), fx_rate.alias("krw_per_unit"), F.to_date(F.lit("2002-05-01")).alias("as_of"), F.to_date(F.lit("2002-05-01")).alias("published_at")),
         financials=fin,
         market=entity.select("ds_id", "pos", "market_id", F.concat(F.lit("Market "), "p_type").alias("name"), F.concat(F.lit("All "), "p_type").alias("scope"), currency.alias("currency"),
                              F.lit(1.05).alias("s1"), F.lit(0.95).alias("s2"), F.lit(0.975).alias("s3"), F.lit(1.025).alias("s4")),
@@ -91,8 +91,8 @@ def lifted(spark, sf) -> va.Tables:
 
 
 def reported_eps(t: va.Tables) -> DataFrame:
-    rows = t.quote.select("ds_id", F.explode(F.array(F.lit(8003), F.lit(8004), F.lit(8005))).alias("q"))
-    return rows.where((F.col("ds_id") % 4 != 0) | (F.col("q") != 8004)).withColumn("eps", (100 + F.col("ds_id")).cast("double"))
+    rows = t.quote.select("ds_id", F.explode(F.array(F.lit(8005), F.lit(8006), F.lit(8007))).alias("q"))
+    return rows.where((F.col("ds_id") % 4 != 0) | (F.col("q") != 8006)).withColumn("eps", (100 + F.col("ds_id")).cast("double"))
 
 
 SQL_VAL = f"""
@@ -103,15 +103,15 @@ sold AS (SELECT s_nationkey AS nation, region, l.p_type, pos, slug, q, cents FRO
 ent AS (SELECT nation AS ds_id, region, pos, slug, 'm-' || slug AS market_id, 'p-' || slug AS product_id, CASE WHEN pos % 2 = 0 THEN 'USD' ELSE 'KRW' END AS currency, CASE WHEN pos % 2 = 0 THEN CAST(1000 + 10 * nation AS DOUBLE) ELSE 1.0 END AS fx FROM nat, types),
 gross AS (SELECT region, pos, q, sum(cents) * 1.25 AS gross FROM sold GROUP BY 1, 2, 3),
 obs0 AS (SELECT ds_id, e.pos, market_id, currency, fx, q, CASE WHEN (q + e.pos) % 5 = 0 THEN 'share_implied' END AS method, CASE WHEN (q + e.pos) % 5 = 0 THEN gross * 0.75 ELSE gross END AS raw_revenue FROM ent e JOIN gross g ON e.region = g.region AND e.pos = g.pos),
-own AS (SELECT e.ds_id, e.pos, product_id, market_id, currency, fx, q, cents AS revenue, CASE WHEN q = 7999 THEN 'article_synthesis' END AS method FROM ent e JOIN sold s ON s.nation = e.ds_id AND s.pos = e.pos WHERE q >= 7998),
+own AS (SELECT e.ds_id, e.pos, product_id, market_id, currency, fx, q, cents AS revenue, CASE WHEN q = 8001 THEN 'article_synthesis' END AS method FROM ent e JOIN sold s ON s.nation = e.ds_id AND s.pos = e.pos WHERE q >= 7980),
 crev AS (SELECT e.ds_id, e.pos, market_id, 'c-' || s.nation || '-' || e.slug AS competitor_id, s.nation AS rival, s.q, s.cents AS revenue, CASE WHEN s.nation % 5 = 1 THEN 'JPY' ELSE e.currency END AS ccy, e.currency, CASE WHEN (s.nation + s.q) % 11 = 0 THEN 'model_knowledge' END AS method
-  FROM ent e JOIN sold s ON s.region = e.region AND s.pos = e.pos AND s.nation <> e.ds_id WHERE NOT (s.nation % 7 = 0 AND s.q > 8001)),
+  FROM ent e JOIN sold s ON s.region = e.region AND s.pos = e.pos AND s.nation <> e.ds_id WHERE NOT (s.nation % 7 = 0 AND s.q > 8003)),
 riv AS (SELECT e.ds_id, e.pos, e.market_id, n.nation AS rival, 'c-' || n.nation || '-' || e.slug AS competitor_id FROM ent e JOIN nat n ON n.region = e.region AND n.nation <> e.ds_id),
 psum AS (SELECT ds_id, market_id, q, sum(c) AS company, sum(r) AS competitors, sum(c) + sum(r) AS total, count(rk) AS nr FROM (SELECT ds_id, market_id, q, revenue AS c, 0.0 AS r, NULL AS rk FROM own UNION ALL SELECT ds_id, market_id, q, 0.0, revenue, 1 FROM crev WHERE ccy = currency) GROUP BY 1, 2, 3),
 obs AS (SELECT o.*, CASE WHEN method IS NOT NULL AND raw_revenue < coalesce(total, 0.0) THEN raw_revenue END AS lifted_from, CASE WHEN method IS NOT NULL AND raw_revenue < coalesce(total, 0.0) THEN total ELSE raw_revenue END AS revenue FROM obs0 o LEFT JOIN psum p USING (ds_id, market_id, q)),
 fin AS (SELECT ds_id, {LAST_Q} AS q, sum(revenue * fx) * 1.25 AS total_revenue, sum(revenue * fx) AS covered FROM own WHERE q = {LAST_Q} GROUP BY 1),
 sc AS (SELECT * FROM (VALUES ('bear', 0.0, 0.95, -0.02, 0.05, -0.01, 0.0, 0.02, 8.0), ('base', 0.05, 1.0, 0.0, 0.1, 0.0, 0.02, 0.04, 10.0), ('bull', 0.1, 1.05, 0.02, 0.15, 0.1, 0.04, 0.06, 12.0)) v(scenario, growth, cyc, sdelta, margin, cdelta, rgrowth, rmargin, pe)),
-tgt AS (SELECT f.ds_id, least(8007, greatest(8006, f.q + 1, max(o.q) + 1)) AS target_q FROM fin f JOIN obs o ON o.ds_id = f.ds_id GROUP BY f.ds_id, f.q),
+tgt AS (SELECT f.ds_id, least(8009, greatest(8008, f.q + 1, max(o.q) + 1)) AS target_q FROM fin f JOIN obs o ON o.ds_id = f.ds_id GROUP BY f.ds_id, f.q),
 lat AS (SELECT ds_id, market_id, max(q) AS latest_q, max_by(revenue, q) AS latest_revenue, max_by(coalesce(method, ''), q) AS latest_method FROM obs GROUP BY 1, 2),
 proj AS (SELECT e.ds_id, e.market_id, e.product_id, e.pos, e.fx, scenario, sdelta, margin, cdelta, target_q, latest_q, latest_revenue,
   latest_revenue / [1.05, 0.95, 0.975, 1.025][latest_q % 4 + 1] * pow(1 + (pow(1 + growth, 0.25) - 1), target_q - latest_q) * [1.05, 0.95, 0.975, 1.025][target_q % 4 + 1] * cyc AS projected
@@ -119,7 +119,7 @@ proj AS (SELECT e.ds_id, e.market_id, e.product_id, e.pos, e.fx, scenario, sdelt
 anch AS (SELECT w.ds_id, w.product_id, w.market_id, max(w.q) AS anchor_q, max_by(w.revenue, w.q) AS product_revenue, max_by(o.revenue, w.q) AS market_revenue, max_by(w.revenue / o.revenue, w.q) AS share FROM own w JOIN obs o ON o.ds_id = w.ds_id AND o.market_id = w.market_id AND o.q = w.q GROUP BY 1, 2, 3),
 ps AS (SELECT p.*, least(0.5, greatest(0.125, a.share + sdelta)) AS share, projected * least(0.5, greatest(0.125, a.share + sdelta)) * fx AS revenue_krw FROM proj p JOIN anch a ON a.ds_id = p.ds_id AND a.product_id = p.product_id),
 canc AS (SELECT r.ds_id, r.competitor_id, r.market_id, max(c.q) AS anchor_q, max_by(c.revenue / o.revenue, c.q) AS share0 FROM riv r LEFT JOIN (crev c JOIN obs o ON o.ds_id = c.ds_id AND o.market_id = c.market_id AND o.q = c.q AND c.ccy = c.currency) ON c.ds_id = r.ds_id AND c.competitor_id = r.competitor_id GROUP BY 1, 2, 3),
-cst AS (SELECT *, CASE WHEN anchor_q IS NULL THEN 'no_common_quarter' WHEN 8007 - anchor_q > 3 THEN 'too_old' ELSE 'used' END AS status FROM canc),
+cst AS (SELECT *, CASE WHEN anchor_q IS NULL THEN 'no_common_quarter' WHEN 8009 - anchor_q > 3 THEN 'too_old' ELSE 'used' END AS status FROM canc),
 cs AS (SELECT c.ds_id, c.competitor_id, p.product_id, p.scenario, p.projected, p.fx, p.share AS company_share, least(1.0, greatest(0.0, share0 + cdelta)) AS raw_share FROM cst c JOIN ps p ON p.ds_id = c.ds_id AND p.market_id = c.market_id WHERE status = 'used'),
 cs2 AS (SELECT *, sum(raw_share) OVER (PARTITION BY ds_id, product_id, scenario) AS raw_sum FROM cs),
 cs3 AS (SELECT *, CASE WHEN raw_sum > greatest(0.0, 1 - company_share) AND raw_sum > 0 THEN greatest(0.0, 1 - company_share) / raw_sum ELSE 1.0 END AS scale FROM cs2),
@@ -243,7 +243,7 @@ def groundedness(spark, sf):
 
 
 @query("provenance", ctes(SQL_SERIES) + """SELECT DISTINCT ds_id, CASE kind WHEN 'market' THEN 'markets' WHEN 'product' THEN 'products' ELSE 'competitors' END AS title, CAST(last_day(make_date(CAST(q // 4 AS INTEGER), CAST(q % 4 * 3 + 3 AS INTEGER), 1)) AS DATE) + 20 AS published_at FROM ser
- UNION SELECT nation, 'quote', DATE '2001-11-12' FROM nat UNION SELECT nation, 'shares', DATE '2001-08-10' FROM nat UNION SELECT ds_id, 'financials', DATE '2001-08-10' FROM fin UNION SELECT nation, 'fx', DATE '2001-11-01' FROM nat""")
+ UNION SELECT nation, 'quote', DATE '2002-05-12' FROM nat UNION SELECT nation, 'shares', DATE '2002-02-10' FROM nat UNION SELECT ds_id, 'financials', DATE '2002-02-10' FROM fin UNION SELECT nation, 'fx', DATE '2002-05-01' FROM nat""")
 def provenance(spark, sf):
     return va.provenance(lifted(spark, sf))
 
@@ -358,7 +358,7 @@ def static_rules(spark, sf):
 SELECT ds_id, CASE WHEN published_at > DATE '{AS_OF}' THEN 'FUTURE_EVIDENCE' ELSE 'STALE_EVIDENCE' END AS code, path FROM src WHERE published_at > DATE '{AS_OF}' OR DATE '{AS_OF}' - published_at > 730
 UNION ALL SELECT nation, 'STALE_EVIDENCE', 'quote.asOf' FROM nat WHERE nation % 12 = 7 UNION ALL SELECT nation, 'FUTURE_EVIDENCE', 'quote.asOf' FROM nat WHERE nation % 12 = 8
 UNION ALL SELECT ds_id, 'FUTURE_EVIDENCE', path || '.quarter' FROM bser WHERE {_QE} > DATE '{AS_OF}'
-UNION ALL SELECT ds_id, 'STALE_EVIDENCE', 'products[' || pos || '].revenue' FROM banch WHERE 8007 - anchor_q > 3""")
+UNION ALL SELECT ds_id, 'STALE_EVIDENCE', 'products[' || pos || '].revenue' FROM banch WHERE 8009 - anchor_q > 3""")
 def dated_rules(spark, sf):
     return qr.dated_rules(spoiled_lifted(spark, sf), as_of())
 
@@ -378,22 +378,22 @@ def disordered(spark, sf) -> va.Tables:
     """Series in reverse order with a duplicate quarter, and an as-of before the last quarters."""
     t = tables(spark, sf)
     flip = lambda df: df.withColumn("j", 40 - F.col("j"))
-    twice = lambda df: df.unionByName(df.where(F.col("q") == 8000).withColumns({"revenue": F.col("revenue") * 2, "j": F.lit(99)}))
+    twice = lambda df: df.unionByName(df.where(F.col("q") == 8002).withColumns({"revenue": F.col("revenue") * 2, "j": F.lit(99)}))
     return replace(t, product_rev=twice(flip(t.product_rev)), market_obs=twice(t.market_obs), product=t.product.withColumn("share_max", F.lit(0.15)))
 
 
-REPAIR_AS_OF = "2001-05-15"
+REPAIR_AS_OF = "2001-11-15"
 
 
 @query("repair_log", ctes(SQL_VAL) + f""", rs AS (SELECT ds_id, market_id AS id, q FROM obs0 UNION ALL SELECT ds_id, product_id, q FROM own UNION ALL SELECT ds_id, competitor_id, q FROM crev),
 rn AS (SELECT ds_id, id, count(*) AS n, count(CASE WHEN {_QE} <= DATE '{REPAIR_AS_OF}' THEN 1 END) AS e FROM rs GROUP BY 1, 2),
-dw AS (SELECT ds_id, product_id, pos, market_id, currency, fx, q, CASE WHEN q = 8000 THEN revenue * 2 ELSE revenue END AS revenue FROM own WHERE {_QE} <= DATE '{REPAIR_AS_OF}' AND true),
+dw AS (SELECT ds_id, product_id, pos, market_id, currency, fx, q, CASE WHEN q = 8002 THEN revenue * 2 ELSE revenue END AS revenue FROM own WHERE {_QE} <= DATE '{REPAIR_AS_OF}' AND true),
 dc AS (SELECT * FROM crev WHERE {_QE} <= DATE '{REPAIR_AS_OF}'),
-dob AS (SELECT ds_id, market_id, q, method, CASE WHEN q = 8000 THEN raw_revenue * 2 ELSE raw_revenue END AS raw FROM obs0 WHERE {_QE} <= DATE '{REPAIR_AS_OF}'),
+dob AS (SELECT ds_id, market_id, q, method, CASE WHEN q = 8002 THEN raw_revenue * 2 ELSE raw_revenue END AS raw FROM obs0 WHERE {_QE} <= DATE '{REPAIR_AS_OF}'),
 dsum AS (SELECT ds_id, market_id, q, sum(revenue) AS total FROM (SELECT ds_id, market_id, q, revenue FROM dw UNION ALL SELECT ds_id, market_id, q, revenue FROM dc WHERE ccy = currency) GROUP BY 1, 2, 3),
 dlift AS (SELECT o.ds_id, o.market_id, o.q, CASE WHEN method IS NOT NULL AND raw < coalesce(total, 0.0) THEN total ELSE raw END AS revenue FROM dob o LEFT JOIN dsum s ON s.ds_id = o.ds_id AND s.market_id = o.market_id AND s.q = o.q),
 da AS (SELECT w.ds_id, w.product_id, max_by(w.revenue / l.revenue, w.q) AS share FROM dw w JOIN dlift l ON l.ds_id = w.ds_id AND l.market_id = w.market_id AND l.q = w.q GROUP BY 1, 2)
-SELECT ds_id, 'SERIES_SORTED' AS code, id, CAST(0 AS BIGINT) AS n FROM (SELECT DISTINCT ds_id, market_id AS id FROM obs0 WHERE q = 8000 UNION SELECT DISTINCT ds_id, product_id FROM own) UNION ALL SELECT ds_id, 'UNFINISHED_QUARTERS_DROPPED', id, n - e FROM rn WHERE n <> e AND (e >= 4 OR id NOT LIKE 'm-%') AND (e >= 1 OR id NOT LIKE 'p-%')
+SELECT ds_id, 'SERIES_SORTED' AS code, id, CAST(0 AS BIGINT) AS n FROM (SELECT DISTINCT ds_id, market_id AS id FROM obs0 WHERE q = 8002 UNION SELECT DISTINCT ds_id, product_id FROM own) UNION ALL SELECT ds_id, 'UNFINISHED_QUARTERS_DROPPED', id, n - e FROM rn WHERE n <> e AND (e >= 4 OR id NOT LIKE 'm-%') AND (e >= 1 OR id NOT LIKE 'p-%')
 UNION ALL SELECT ds_id, 'SHARE_BOUNDS_WIDENED', product_id, CAST(0 AS BIGINT) FROM da WHERE share <= 1 AND (share < 0.125 OR share > 0.15)""")
 def repair_log(spark, sf):
     return ry.relax(disordered(spark, sf), F.to_date(F.lit(REPAIR_AS_OF)))[1]

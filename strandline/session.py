@@ -26,9 +26,12 @@ def get_spark(app: str = "strandline", master: str | None = None, **conf: str) -
 
 
 def stage_dir(spark: SparkSession) -> str:
-    """Shared folder for staged tables: the cluster's setting, a temporary one only where none is set."""
+    """Shared folder for staged tables: the session's `spark.checkpoint.dir`. Without one, only a local master gets a temporary
+    folder: there driver and tasks are one process, on a cluster they would not see each other's files."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="strandline-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

@@ -1,66 +1,97 @@
 """Structured Streaming jobs. Each equals its batch operator on the same input.
 
-A micro-batch writes its own folder, named by its id and overwritten on a retry, so a lost executor or a restarted query
-neither loses nor repeats rows."""
+A micro-batch writes its own folder, named by its id and replaced on a retry. It reads only folders of earlier batches, so what a
+failed attempt of itself left behind changes nothing. Folders are parted by a hash of the key: a batch reads the parts of the
+keys it touches."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from strandline.functions.scalar import content_hash
 from strandline.operators import forecast as fc
 from strandline.operators import panel
 from strandline.operators import records as rc
 
+PARTS = 64
+SCORE_KEYS = ["ticker", "as_of_date", "horizon"]
 
-def _write(df: DataFrame, path: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
+def _part(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int")
 
-def _stored(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Everything written by earlier batches; empty before the first."""
+
+def _write(df: DataFrame, path: str, batch_id: int, key: str) -> None:
+    df.withColumn("part", _part(key)).write.mode("overwrite").partitionBy("part").parquet(f"{path}/batch={batch_id}")
+
+
+def _stored(spark: SparkSession, path: str, schema: StructType, before: int | None = None, touched: DataFrame | None = None,
+            key: str = "ticker") -> DataFrame:
+    """Rows of earlier batches with their `batch`, of the parts that `touched` keys fall in; empty before the first."""
+    full = StructType([*schema.fields]).add("batch", "long").add("part", "integer")
     try:
-        return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
+        rows = spark.read.schema(full).option("basePath", path).parquet(path)
     except Exception as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        return spark.createDataFrame([], schema)
+        rows = spark.createDataFrame([], full)
+    if before is not None:
+        rows = rows.where(F.col("batch") < before)
+    if touched is not None:
+        rows = rows.where(F.col("part").isin([r[0] for r in touched.select(_part(key)).distinct().collect()]))  # at most PARTS
+    return rows.drop("part")
 
 
 def ingest_bars(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Append arriving bars (ticker, date, ..., ingest_seq), one row per batch, ticker and date; late and repeated bars
     are kept in the log and resolved by `current_bars`, so no watermark drops them."""
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        _write(panel.last_arrival(batch).select(*batch.columns), path, batch_id)
+        _write(panel.last_arrival(batch).select(*batch.columns), path, batch_id, "ticker")
 
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def current_bars(spark: SparkSession, path: str, schema, now=None) -> DataFrame:
+def current_bars(spark: SparkSession, path: str, schema: StructType, now=None, through: int | None = None,
+                 touched: DataFrame | None = None) -> DataFrame:
     """Bars as of now: last arrival per ticker and date, today's unfinished session held back."""
-    rows = panel.last_arrival(_stored(spark, path, schema))
+    stored = _stored(spark, path, schema, None if through is None else through + 1, touched)
+    rows = panel.last_arrival(stored.drop("batch"))
     return rows if now is None else panel.drop_unfinished_session(rows, now)
 
 
+def current_scores(spark: SparkSession, path: str, schema: StructType, before: int | None = None,
+                   touched: DataFrame | None = None) -> DataFrame:
+    """The latest score of each forecast and horizon: a later batch replaces what late bars changed."""
+    rows = _stored(spark, path, schema, before, touched)
+    latest = rows.groupBy(*SCORE_KEYS).agg(F.max_by(F.struct(*[f.name for f in schema]), "batch").alias("_row"))
+    return latest.select("_row.*")
+
+
 def score_arrivals(stream: DataFrame, log: DataFrame, bars_path: str, scores_path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Score logged forecasts as their sessions arrive. State is the difference of the log and the scores written."""
+    """Score logged forecasts as their sessions arrive, and again where a late bar changes a score. A batch writes the scores of
+    its tickers that are new or differ from the latest ones; read them by `current_scores`."""
     schema = stream.schema
-    scored_schema = fc.score_log(log, log.sparkSession.createDataFrame([], "ticker string, date date, close double")).schema
+    scored_schema = score_schema(log)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        _write(panel.last_arrival(batch).select(*batch.columns), bars_path, batch_id)
+        _write(panel.last_arrival(batch).select(*batch.columns), bars_path, batch_id, "ticker")
         touched = batch.select("ticker").distinct()
-        done = _stored(spark, scores_path, scored_schema).select("ticker", "as_of_date", "horizon")
-        bars = current_bars(spark, bars_path, schema).join(touched, "ticker", "left_semi")
-        fresh = fc.score_log(log.join(touched, "ticker", "left_semi"), bars).where(F.col("status") == "scored")
-        _write(fresh.join(done, ["ticker", "as_of_date", "horizon"], "left_anti"), scores_path, batch_id)
+        known = current_scores(spark, scores_path, scored_schema, batch_id, touched)
+        bars = current_bars(spark, bars_path, schema, through=batch_id, touched=touched).join(touched, "ticker", "left_semi")
+        scores = fc.score_log(log.join(touched, "ticker", "left_semi"), bars).where(F.col("status") == "scored")
+        _write(scores.select(*scored_schema.names).subtract(known.select(*scored_schema.names)), scores_path, batch_id, "ticker")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+def score_schema(log: DataFrame) -> StructType:
+    return fc.score_log(log, log.sparkSession.createDataFrame([], "ticker string, date date, close double")).schema
+
+
 def ingest_records(stream: DataFrame, payload: list[str], times: list[str], path: str, rejects_path: str, checkpoint: str,
                    **trigger) -> StreamingQuery:
     """Store new records with their hash; repeated ids and forward records from the future go to the reject folder.
@@ -69,10 +100,10 @@ def ingest_records(stream: DataFrame, payload: list[str], times: list[str], path
     schema = stream.withColumn("content_hash", content_hash(payload)).schema
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        stored = _stored(batch.sparkSession, path, schema)
+        stored = _stored(batch.sparkSession, path, schema, batch_id, batch.select("id"), "id")
         accepted, conflicts = rc.append(stored, rc.with_hash(batch, payload))
         late = rc.time_guard(accepted, times)
-        _write(accepted.join(late.select("id"), "id", "left_anti").select(*[f.name for f in schema]), path, batch_id)
-        _write(conflicts.select("id", "code").unionByName(late), rejects_path, batch_id)
+        _write(accepted.join(late.select("id"), "id", "left_anti").select(*[f.name for f in schema]), path, batch_id, "id")
+        _write(conflicts.select("id", "code").unionByName(late), rejects_path, batch_id, "id")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**trigger).start()

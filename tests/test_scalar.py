@@ -1,10 +1,11 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import scalar as sc
-from strandline.functions.quantiles import grouped_quantiles, refined_quantiles
+from strandline.functions.quantiles import grouped_quantiles
 from strandline.operators import corpus as co
 from strandline.operators import grounding as gr
 
@@ -57,14 +58,16 @@ def test_amounts_names_and_ids(spark):
     assert tuple(row[6]) == ("US", "MU") and row[7] is None
 
 
-def test_refined_quantiles_equal_the_exact_ones(spark):
-    rows = spark.range(30_000).select((F.col("id") % 3).alias("k"), F.when(F.col("id") % 4 == 0, 0.25).otherwise(F.rand(7)).alias("v")).persist()
-    probs = {"lo": 0.01, "mid": 0.5, "hi": 0.99}
-    want = {r["k"]: r for r in grouped_quantiles(rows, ["k"], "v", probs, largest=1).collect()}
-    for r in refined_quantiles(rows, ["k"], "v", probs).collect():
-        for name in probs:
-            assert r[name] == pytest.approx(want[r["k"]][name], abs=1e-12)
-    rows.unpersist()
+def test_quantiles_equal_numpy_at_every_size(spark):
+    sizes = [*range(1, 60), 105, 199, 305, 500, 1003, 4001]
+    rows = [(n, float((i * 7919) % n // 2)) for n in sizes for i in range(n)] + [(7, None)]
+    probs = {"p01": 0.01, "p10": 0.1, "p50": 0.5, "p90": 0.9, "p99": 0.99}
+    got = grouped_quantiles(spark.createDataFrame(rows, "k int, v double"), ["k"], "v", probs).collect()
+    assert sorted(r["k"] for r in got) == sizes
+    values = {n: [v for k, v in rows if k == n and v is not None] for n in sizes}
+    for r in got:
+        for name, p in probs.items():
+            assert r[name] == pytest.approx(np.quantile(values[r["k"]], p), abs=1e-9), (r["k"], name)
 
 
 def test_floor_quantile_takes_the_lower_order_statistic(spark):

@@ -1,5 +1,7 @@
 import datetime as dt
+import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from strandline.operators import forecast as fc
@@ -37,7 +39,7 @@ def test_forecasts_stay_pending_until_their_session_arrives(spark, tmp_path):
     jobs.score_arrivals(stream, log, f"{tmp_path}/bars", f"{tmp_path}/scores", f"{tmp_path}/cp", availableNow=True).awaitTermination()
     bars = spark.createDataFrame([r for b in batches for r in b], BARS)
     batch = fc.score_log(log, bars)
-    got = spark.read.schema(batch.schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/scores")
+    got = jobs.current_scores(spark, f"{tmp_path}/scores", jobs.score_schema(log)).select(*batch.columns)
     want = batch.where("status = 'scored'").orderBy("horizon").collect()
     assert [tuple(r) for r in got.orderBy("horizon").collect()] == [tuple(r) for r in want]
     assert [round(r["actual_return_pct"], 6) for r in want] == [10.0, -50.0] and [r["direction_hit"] for r in want] == [True, False]
@@ -57,3 +59,45 @@ def test_records_are_stored_once_and_not_from_the_future(spark, tmp_path):
     read = lambda p, s: spark.read.schema(s).option("recursiveFileLookup", True).parquet(f"{tmp_path}/{p}").collect()
     assert sorted((r["id"], r["ticker"]) for r in read("rec", "id string, ticker string")) == [("1", "A"), ("3", "A")]
     assert sorted((r["id"], r["code"]) for r in read("rej", "id string, code string")) == [("1", "RECORD_ID_CONFLICT"), ("2", "RECORD_FROM_FUTURE")]
+
+
+def drop_last_commit(folder):
+    commits = [f for f in os.listdir(f"{folder}/commits") if f.isdigit()]
+    os.remove(f"{folder}/commits/{max(commits, key=int)}")
+    crc = f"{folder}/commits/.{max(commits, key=int)}.crc"
+    if os.path.exists(crc):
+        os.remove(crc)
+
+
+@pytest.mark.parametrize("restarts", [2])
+def test_a_batch_that_was_written_but_not_committed_gives_the_same_rows_again(spark, tmp_path, restarts):
+    at = lambda h: dt.datetime(2026, 1, 1, h)
+    schema = "id string, ticker string, mode string, recorded_at timestamp, known_at timestamp"
+    batches = [[("1", "A", "forward", at(5), at(4))], [("1", "B", "forward", at(7), at(1)), ("3", "A", "forward", at(5), at(2))]]
+    stream = feed(spark, tmp_path, batches, schema)
+    bars = feed(spark, f"{tmp_path}/b", [[("A", day(0), 100.0, 1), ("A", day(1), 110.0, 2)], [("A", day(2), 50.0, 3)]], BARS)
+    entries = F.array(F.struct(F.lit(1).alias("horizon"), F.lit(0.7).alias("probability_up"), F.lit("up").alias("direction"), F.lit("low").alias("confidence"),
+                               F.lit(5.0).alias("expected_return_pct"), F.lit(-1.0).alias("range_lo"), F.lit(20.0).alias("range_hi")))
+    log = spark.createDataFrame([("A", day(0)), ("A", day(1))], "ticker string, as_of_date date").withColumn("horizons", entries)
+    for turn in range(1 + restarts):
+        jobs.ingest_records(stream, ["ticker"], ["known_at"], f"{tmp_path}/rec", f"{tmp_path}/rej", f"{tmp_path}/cp", availableNow=True).awaitTermination()
+        jobs.score_arrivals(bars, log, f"{tmp_path}/bars", f"{tmp_path}/scores", f"{tmp_path}/cp2", availableNow=True).awaitTermination()
+        read = lambda p: spark.read.parquet(f"{tmp_path}/{p}").select("id").collect()
+        assert sorted(r["id"] for r in read("rec")) == ["1", "3"] and [r["id"] for r in read("rej")] == ["1"]
+        assert jobs.current_bars(spark, f"{tmp_path}/bars", bars.schema).count() == 3
+        scores = jobs.current_scores(spark, f"{tmp_path}/scores", jobs.score_schema(log)).collect()
+        assert sorted(round(r["actual_return_pct"], 4) for r in scores) == [-54.5455, 10.0]
+        if turn < restarts:
+            drop_last_commit(f"{tmp_path}/cp")
+            drop_last_commit(f"{tmp_path}/cp2")
+
+
+def test_a_late_bar_rescores_its_session(spark, tmp_path):
+    batches = [[("A", day(0), 100.0, 1), ("A", day(2), 110.0, 2)], [("A", day(1), 50.0, 3)]]
+    entries = F.array(F.struct(F.lit(1).alias("horizon"), F.lit(0.7).alias("probability_up"), F.lit("up").alias("direction"), F.lit("low").alias("confidence"),
+                               F.lit(5.0).alias("expected_return_pct"), F.lit(-1.0).alias("range_lo"), F.lit(20.0).alias("range_hi")))
+    log = spark.createDataFrame([("A", day(0))], "ticker string, as_of_date date").withColumn("horizons", entries)
+    jobs.score_arrivals(feed(spark, tmp_path, batches, BARS), log, f"{tmp_path}/bars", f"{tmp_path}/scores", f"{tmp_path}/cp", availableNow=True).awaitTermination()
+    got = jobs.current_scores(spark, f"{tmp_path}/scores", jobs.score_schema(log)).collect()
+    want = fc.score_log(log, spark.createDataFrame([r for b in batches for r in b], BARS)).collect()
+    assert [round(r["actual_return_pct"], 4) for r in got] == [round(r["actual_return_pct"], 4) for r in want] == [-50.0]
