@@ -399,7 +399,8 @@ def repair_log(spark, sf):
     return ry.relax(disordered(spark, sf), F.to_date(F.lit(REPAIR_AS_OF)))[1]
 
 
-@query("assumed_residual", ctes(SQL_VAL) + f""", w AS (SELECT o.ds_id, s.scenario, sum(o.revenue * fx * s.margin) / sum(o.revenue * fx) AS margin FROM own o, sc s WHERE o.q = {LAST_Q} AND o.ds_id % 3 = 0 GROUP BY 1, 2)
+@query("assumed_residual", ctes(SQL_VAL) + f""", w AS (SELECT o.ds_id, s.scenario, sum(o.revenue * fx * s.margin) / sum(o.revenue * fx) AS margin FROM own o, sc s WHERE o.q = {LAST_Q} AND o.ds_id % 3 = 0
+  AND NOT EXISTS (SELECT 1 FROM ent e WHERE e.ds_id = o.ds_id AND NOT EXISTS (SELECT 1 FROM own x WHERE x.ds_id = e.ds_id AND x.product_id = e.product_id AND x.q = {LAST_Q})) GROUP BY 1, 2)
 SELECT ds_id, scenario, 0.0 AS annual_growth, {sql_rnd('least(0.6, greatest(-0.5, margin))')} AS margin FROM w UNION ALL SELECT nation, scenario, {sql_rnd('rgrowth')}, {sql_rnd('rmargin')} FROM nat, sc WHERE nation % 3 <> 0""")
 def assumed_residual(spark, sf):
     out, _ = ry.relax(tables(spark, sf), as_of())
