@@ -18,19 +18,28 @@ DROPPED = r"(?is)<!--.*?-->|<(script|style|noscript|iframe|button)\b.*?</\1>"
 BLOCK = r"(?i)</?(?:p|div|br|li|tr|h\d|figure|figcaption|article|section|title)\b[^>]*>"
 # Default keyword lists, research firms and figure patterns of market news.
 RELEVANT = ("제품", "시장", "점유율", "성장", "업황", "시황", "규모", "전망", "수요", "출하", "공급", "market", "share")
-SCORE_PATTERNS = ((r"(?i)트렌드포스|TrendForce|옴디아|Omdia|카운터포인트|Counterpoint|IDC|가트너|Gartner|WSTS|SEMI|IHS|Canalys", 4),
+FIRMS = (r"(?i)트렌드포스|TrendForce|옴디아|Omdia|카운터포인트|Counterpoint|IDC|가트너|Gartner|SNE\s*리서치|SNE\s*Research|테크인사이츠|TechInsights|욜|Yole|WSTS|SEMI"
+         r"|스트래티지\s*애널리틱스|Strategy\s*Analytics|마크라인즈|MarkLines|프리시던스|Precedence|포춘\s*비즈니스|Fortune\s*Business|마켓츠앤마켓츠|MarketsandMarkets"
+         r"|디스플레이서치|유비리서치|IHS|S&P\s*글로벌|캐널리스|Canalys|시너지\s*리서치|Synergy")
+SCORE_PATTERNS = ((FIRMS, 4),
                   (r"(?i)점유율|market\s*share", 2), (r"시장\s*규모|(글로벌|세계|전\s*세계)\s*\S{0,12}\s*(시장\s*)?매출", 2),
                   (r"\d[\d,.]*\s*(조|억|만)?\s*(달러|원|위안|엔)", 1), (r"\d+(\.\d+)?\s*%", 1), (r"\d\s*분기|Q[1-4]", 1))
 SHARE_WORDS, GROWTH_WORDS, SIZE_WORDS = r"점유율|점유|market\s*share", r"성장률|cagr|성장", r"시장\s*규모|market\s*size|시장은|시장의\s*크기"
+NEWS_SIZE_WORDS = r"(글로벌|세계|전\s*세계|전체|업계)\s*[^\s,.]{0,12}\s*(시장\s*)?(매출|규모|매출액)"
+REVENUE_WORDS, VOLUME_WORDS = r"(?i)매출|revenue|금액\s*기준", r"(?i)출하|판매량|수량|물량|대수|units?\b|shipments?|볼륨"
+MONEY_PARTS = r"(?i)^(\d[\d,]*(?:\.\d+)?)\s*(조|억|천억|백만|천만|만|천)?\s*(원|달러|USD|US\$|\$|KRW|엔|위안|유로)$"
 PERCENT = r"-?\d+(?:\.\d+)?\s*%"
 MONEY = r"\d[\d,]*(?:\.\d+)?\s*(?:조|억|천억|백만|천만|만|천)?\s*(?:원|달러|USD|US\$|\$|KRW|엔|위안|유로)"
 PERIOD = r"\d{4}\s*년(?:\s*\d\s*분기)?|Q[1-4]\s*\d{4}|\d{4}\s*Q[1-4]|\d\s*분기"
-KEYWORD_REACH, PER_KIND = 40, 5
-# Section categories by heading, with their section budgets.
-SECTIONS = (("shares", r"주식의\s*총수|발행\s*(할\s*)?주식|주당\s*(순?이익|순?손익|이익|손실)|희석|자본금|우선주|자기\s*주식|주식\s*수", 8),
-            ("business", r"사업의\s*(내용|개요)|주요\s*(제품|상품|서비스)|매출\s*(실적|현황|구성)|시장\s*(점유|규모|현황|의\s*특성)|산업의\s*(특성|현황)|경쟁|사업\s*부문", 10),
-            ("capex", r"(?i)시설\s*투자|자본적\s*지출|설비\s*투자|투자\s*계획|CAPEX", 4), ("debt", r"차입금\s*(만기|현황)|만기\s*(도래|구조|일정)|상환\s*일정", 4),
-            ("cashflow", r"현금\s*흐름(표)?", 4), ("investments", r"타법인\s*(출자|투자)|출자\s*현황|투자\s*현황", 4))
+KEYWORD_REACH = 40
+# Section categories by heading.
+SECTIONS = (("shares", r"주식의\s*총수|발행\s*(할\s*)?주식|주당\s*(순?이익|순?손익|이익|손실)|기본\s*주당|희석|자본금|우선주|비지배\s*지분|자기\s*주식|주식\s*수"),
+            ("business", r"사업의\s*(내용|개요)|주요\s*(제품|상품|서비스)|제품.*서비스|매출\s*(및|과)?\s*수주|매출\s*(실적|현황|구성)|시장\s*(점유|규모|현황|의\s*특성)|산업의\s*(특성|현황)|시장점유|경쟁|사업\s*부문|신규\s*사업|판매\s*(현황|조직)?"),
+            ("investments", r"타법인\s*(출자|투자)|출자\s*현황|투자\s*현황"), ("capex", r"(?i)시설\s*투자|자본적\s*지출|설비\s*투자|투자\s*계획|CAPEX"),
+            ("debt", r"차입금\s*(만기|현황)|만기\s*(도래|구조|일정)|상환\s*일정|채무\s*만기"), ("cashflow", r"현금\s*흐름(표)?"),
+            ("committed_financing", r"약정\s*(한도|현황)|신용\s*한도|한도\s*대출|미사용\s*(약정|한도)|자금\s*조달\s*계획"),
+            ("restricted_cash", r"사용\s*(이\s*)?제한.{0,6}(예금|현금)|제한\s*된?\s*(예금|현금)"))
+UNIT_NEAR = r"단위\s*[:：]\s*([^)\]\n|]{1,30})"
 # Names that are table furniture, not products.
 NOT_PRODUCT = r"^(합\s*계|총\s*계|소\s*계|계|기타|구분|합계|해당\s*없음|-)$"
 GENERIC_PRODUCT = r"^(기타|상품|제품|서비스|용역|임대|합계|소계|내수|수출|해외|국내|공통|구분|계$)"
@@ -134,19 +143,23 @@ def consistent_dates(news: DataFrame, cutoff: Column) -> DataFrame:
 
 
 def sections(pages: DataFrame, heading: str = "h[1-6]|title", categories=SECTIONS) -> DataFrame:
-    """Sections by heading with their category, under the per-category budgets of a document."""
+    """Sections by heading with their category and their number `n` among the document's sections of it."""
     cut = F.split(F.regexp_replace("html", DROPPED, ""), rf"(?i)(?=<(?:{heading})\b)")
     parts = pages.select("page_id", F.posexplode(cut).alias("pos", "part"))
     title = F.array_join(lines_of(F.regexp_extract("part", rf"(?is)^<(?:{heading})\b[^>]*>(.*?)</", 1)), " ")
     body = F.regexp_replace("part", rf"(?is)^<(?:{heading})\b[^>]*>.*?</(?:{heading})>", "")
-    kind, budget = F.lit(None), F.lit(0)
-    for name, pattern, limit in reversed(categories):
-        kind, budget = F.when(F.col("title").rlike(pattern), name).otherwise(kind), F.when(F.col("title").rlike(pattern), limit).otherwise(budget)
-    rows = (parts.withColumns({"title": title, "body": body}).withColumns({"category": kind, "_budget": budget})
-            .where(F.col("category").isNotNull()))
+    kind = F.lit(None)
+    for name, pattern in reversed(categories):
+        kind = F.when(F.col("title").rlike(pattern), name).otherwise(kind)
+    rows = parts.withColumns({"title": title, "body": body}).withColumn("category", kind).where(F.col("category").isNotNull())
     order = Window.partitionBy("page_id", "category").orderBy("pos")
-    return (rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= F.col("_budget"))
-            .withColumn("text", F.array_join(lines_of(F.col("body")), "\n")).drop("part", "_budget"))
+    return rows.withColumn("n", F.row_number().over(order)).withColumn("text", F.array_join(lines_of(F.col("body")), "\n")).drop("part")
+
+
+def unit_near(*texts: Column) -> Column:
+    """The unit named in the first of the texts that names one, null where none does."""
+    found = [F.trim(F.regexp_replace(F.regexp_extract(t, UNIT_NEAR, 1), r"\s+", " ")) for t in texts]
+    return F.coalesce(*[F.when(f != "", f) for f in found])
 
 
 def table_rows(sections_: DataFrame, max_rows: int | None = None) -> DataFrame:
@@ -184,10 +197,10 @@ def _last_start(text: Column, words: str) -> Column:
 
 
 def metric_candidates(sents: DataFrame, value: str = PERCENT, share: str = SHARE_WORDS, growth: str = GROWTH_WORDS) -> DataFrame:
-    """Values attributed to the nearest keyword in the 40 characters before them, at most five per sentence."""
+    """Values attributed to the nearest keyword in the 40 characters before them, with the fields of a figure."""
     usable = sents.where(F.col("sentence").rlike(rf"(?i){share}|{growth}") & F.col("sentence").rlike(value))
     cut = usable.withColumns({"_seg": F.split("sentence", value), "_val": F.regexp_extract_all("sentence", F.lit(f"({value})"), F.lit(1))})
-    ks = F.sequence(F.lit(0), F.least(F.size("_val"), F.lit(PER_KIND)) - 1)
+    ks = F.sequence(F.lit(0), F.size("_val") - 1)
 
     def before(k):
         pieces = F.zip_with(F.slice("_seg", 1, k + 1), F.concat(F.slice("_val", 1, k), F.array(F.lit(""))), lambda a, b: F.concat(a, b))
@@ -199,29 +212,56 @@ def metric_candidates(sents: DataFrame, value: str = PERCENT, share: str = SHARE
     placed = hits.withColumn("_w", window).withColumns({"_s": _last_start(F.col("_w"), share), "_g": _last_start(F.col("_w"), growth)})
     return (placed.where((F.col("_s") >= 0) | (F.col("_g") >= 0))
             .withColumn("kind", F.when(F.col("_s") > F.col("_g"), "market_share").otherwise("growth_rate"))
-            .withColumn("basis", basis(F.col("sentence"))).drop("before", "_w", "_s", "_g"))
+            .transform(lambda d: figure_fields(d, F.regexp_replace(F.regexp_replace("raw", "[%,]", ""), r"\s+", ""), F.lit("%"), F.lit(None).cast("string"),
+                                               F.when(F.col("kind") == "market_share", measure(F.col("sentence")))))
+            .drop("before", "_w", "_s", "_g"))
+
+
+def figure_fields(rows: DataFrame, number: Column, unit: Column, scale: Column, measured: Column) -> DataFrame:
+    """Add label (the text before a figure), value, unit, scale, measure, basis, period hint and the firm a sentence cites."""
+    s = F.col("sentence")
+    label = F.trim(F.when(F.length("before") > KEYWORD_REACH, F.substring("before", -KEYWORD_REACH, KEYWORD_REACH)).otherwise(F.col("before")))
+    some = lambda c: F.when(c != "", c)
+    return rows.withColumns({"label": label, "value": number.try_cast("double"), "unit": unit, "scale": scale,
+                             "measure": measured, "basis": basis(s), "period_hint": some(F.regexp_extract(s, PERIOD, 0)), "cites": some(F.regexp_extract(s, FIRMS, 0))})
 
 
 def basis(s: Column) -> Column:
-    quarter, yoy = s.rlike(r"(?i)분기|quarter|QoQ|Q[1-4]"), s.rlike(r"(?i)전년\s*(동기)?\s*대비|YoY|전년\s*동기")
-    annual = s.rlike(r"(?i)연간|연평균|연도별|annual|yearly|per\s*year|CAGR")
-    return F.when(quarter & yoy, "yoy").when(quarter, "quarterly").when(yoy, "yoy").when(annual, "annual").otherwise("unspecified")
+    """A quarterly wording is year on year only with "the same period of last year" or YoY."""
+    quarter, same = s.rlike(r"(?i)분기|quarter|QoQ|Q[1-4]"), s.rlike(r"(?i)전년\s*동기|YoY")
+    yoy, annual = s.rlike(r"(?i)전년\s*(동기)?\s*대비|YoY"), s.rlike(r"(?i)연간|연평균|연도별|annual|yearly|per\s*year|CAGR")
+    return F.when(quarter & same, "yoy").when(quarter, "quarterly").when(yoy, "yoy").when(annual, "annual").otherwise("unspecified")
 
 
-def market_sizes(sents: DataFrame, money: str = MONEY, words: str = SIZE_WORDS) -> DataFrame:
-    """Money amounts in sentences about market size, at most five each."""
-    rows = sents.where(F.col("sentence").rlike(rf"(?i){words}"))
-    found = F.slice(F.regexp_extract_all("sentence", F.lit(f"({money})"), F.lit(1)), 1, PER_KIND)
-    return rows.select("doc_id", "sent_no", F.posexplode(found).alias("k", "raw")).withColumn("kind", F.lit("market_size"))
+def measure(s: Column) -> Column:
+    revenue, volume = s.rlike(REVENUE_WORDS), s.rlike(VOLUME_WORDS)
+    return F.when(revenue == volume, "unspecified").when(revenue, "revenue").otherwise("volume")
+
+
+def market_sizes(sents: DataFrame, money: str = MONEY, words: str = SIZE_WORDS, parts: str = MONEY_PARTS, news: bool = False) -> DataFrame:
+    """Money amounts in sentences about market size, with the fields of a figure; news wordings of a market total if `news`."""
+    rows = sents.where(F.col("sentence").rlike(rf"(?i){words}") | (F.col("sentence").rlike(NEWS_SIZE_WORDS) if news else F.lit(False)))
+    cut = rows.withColumns({"_seg": F.split("sentence", money), "_val": F.regexp_extract_all("sentence", F.lit(f"({money})"), F.lit(1))})
+    before = lambda k: F.array_join(F.zip_with(F.slice("_seg", 1, k + 1), F.concat(F.slice("_val", 1, k), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    hits = cut.where(F.size("_val") > 0).select("doc_id", "sent_no", "sentence", F.explode(F.transform(F.sequence(F.lit(0), F.size("_val") - 1), lambda k: F.struct(
+        k.alias("k"), F.get("_val", k).alias("raw"), before(k).alias("before")))).alias("m")).select("doc_id", "sent_no", "sentence", "m.*")
+    part = lambda i: F.regexp_extract("raw", parts, i)
+    some = lambda c: F.when(c != "", c)
+    return figure_fields(hits.withColumn("kind", F.lit("market_size")), F.regexp_replace(part(1), ",", ""), some(part(3)), some(part(2)),
+                         F.lit(None).cast("string")).drop("before")
 
 
-def assemble_metrics(metrics: DataFrame, per_item: int = 12, total: int = 150) -> DataFrame:
-    """Distinct figures, capped per document and per company, newest documents first."""
-    one = metrics.dropDuplicates(["company", "doc_id", "kind", "raw", "sentence"])
+def assemble_metrics(metrics: DataFrame, per_item: int | None = None, total: int | None = None) -> DataFrame:
+    """Distinct figures with their number in the document (`item_rank`) and in the company (`rank`), newest documents first; cut
+    where the caller asks."""
+    same = Window.partitionBy("company", "doc_id", "kind", "raw", "sentence").orderBy("sent_no", "k")
+    one = metrics.withColumn("_same", F.row_number().over(same)).where("_same = 1").drop("_same")
     item = Window.partitionBy("company", "doc_id").orderBy("sent_no", "kind", "k")
     whole = Window.partitionBy("company").orderBy(F.desc("published_at"), "doc_id", "sent_no", "kind", "k")
-    return (one.withColumn("_i", F.row_number().over(item)).where(F.col("_i") <= per_item)
-            .withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= total).drop("_i"))
+    rows = one.withColumn("item_rank", F.row_number().over(item))
+    rows = rows if per_item is None else rows.where(F.col("item_rank") <= per_item)
+    rows = rows.withColumn("rank", F.row_number().over(whole))
+    return rows if total is None else rows.where(F.col("rank") <= total)
 
 
 def product_candidates(rows: DataFrame, header: str = "품목|제품|상품|서비스") -> DataFrame:

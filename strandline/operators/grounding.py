@@ -18,11 +18,12 @@ PRODUCT_REVENUE_PATH = r"^products\[\d+\]\.revenue\[\d+\]\.revenue$"
 ASSUMPTION_LABEL, ESTIMATE_LABEL = "MODEL_ASSUMPTION:", "MODEL_ESTIMATE:"
 HARD_CODES = ("NO_DATASET_NO_REASON", "DATASET_SCHEMA", "SYNTHETIC_DATASET", "TICKER_MISMATCH", "FUTURE_DATE", "FUTURE_SOURCE", "NOT_QUARTERLY")
 # Words that say which event, basis or sector a quote is about.
-EVENT_WORDS = {"earnings_release": r"(?i)실적\s*발표|잠정\s*실적|경영\s*실적|결산\s*발표|earnings\s*(release|call)",
+EVENT_WORDS = {"earnings_release": r"(?i)실적\s*발표|잠정\s*실적|경영\s*실적|영업\s*\(?잠정\)?\s*실적|결산\s*발표|결산\s*실적\s*공시\s*예고|earnings\s*(release|call)",
                "guidance_update": r"(?i)가이던스|실적\s*전망\s*(수정|변경)|전망치\s*(수정|변경)|guidance",
-               "other_scheduled_disclosure": r"(?i)공시\s*예정|이사회\s*(결의|개최)|주주총회|발표\s*예정|scheduled\s*disclosure"}
+               "other_scheduled_disclosure": r"(?i)공시\s*예정|이사회\s*(결의|개최)|주주총회|정기\s*보고서\s*제출|발표\s*예정|scheduled\s*disclosure"}
 CONSOLIDATED, DILUTED, BASIC = r"(?i)연결|consolidated", r"(?i)희석|diluted", r"(?i)기본\s*주당|\bbasic\b"
-FINANCIAL_SECTOR = r"(?i)은행|증권|보험|금융지주|카드|캐피탈|저축은행|\bbank|insurance|securities"
+FINANCIAL_SECTOR = r"은행|저축은행|보험|생명보험|화재해상|손해보험|캐피탈|카드사|금융지주|증권(?!거래소|시장)"
+EARLIER_FIGURE_PATH = r"^(markets\[\d+\]\.observations\[\d+\]|competitors\[\d+\]\.revenue\[\d+\]|products\[\d+\]\.revenue\[\d+\])\.revenue$"
 
 
 def check_citations(citations: DataFrame, documents: DataFrame, as_of: Column) -> DataFrame:
@@ -91,7 +92,7 @@ def estimate_rules(estimates: DataFrame, paths: DataFrame, documents: DataFrame)
     known = paths.select("ds_id", F.col("path").alias("ref"), F.lit(True).alias("_p"))
     docs = documents.select(F.col("doc_id").cast("string").alias("ref"), F.lit(True).alias("_d")).distinct()
     looked = refs.join(known, ["ds_id", "ref"], "left").join(docs, "ref", "left")
-    basis = looked.groupBy("ds_id", "path").agg(F.countDistinct(F.when(F.col("_d"), F.col("ref"))).alias("docs"), F.max(F.col("_p").isNotNull() | F.col("_d").isNotNull()).alias("any"),
+    basis = looked.groupBy("ds_id", "path").agg(F.countDistinct(F.when(F.col("_d"), F.col("ref"))).alias("docs"), F.max(F.col("ref").rlike(EARLIER_FIGURE_PATH) | F.col("_d").isNotNull()).alias("earlier"),
                                                 F.max(F.col("ref").rlike(PRODUCT_REVENUE_PATH)).alias("product"))
     rows = estimates.join(basis, ["ds_id", "path"], "left")
 
@@ -104,7 +105,7 @@ def estimate_rules(estimates: DataFrame, paths: DataFrame, documents: DataFrame)
         hit(looked, F.col("ref") == F.col("path"), "ESTIMATE_SELF_REFERENCE"),
         hit(looked, (F.col("ref") != F.col("path")) & F.col("_p").isNull() & F.col("_d").isNull(), "ESTIMATE_BASIS_UNKNOWN"),
         hit(rows, ((m == "share_implied") & ~F.coalesce("product", F.lit(False))) | ((m == "article_synthesis") & (F.coalesce("docs", F.lit(0)) < 2))
-            | ((m == "prior_extrapolation") & ~F.coalesce("any", F.lit(False))), "ESTIMATE_BASIS_MISMATCH")])
+            | ((m == "prior_extrapolation") & ~F.coalesce("earlier", F.lit(False))), "ESTIMATE_BASIS_MISMATCH")])
 
 
 def verdict(datasets: DataFrame, issues: DataFrame) -> DataFrame:
@@ -184,8 +185,9 @@ def event_anchored(rows: DataFrame) -> DataFrame:
 
 
 def strategy_sources(sources: DataFrame, documents: DataFrame, as_of: Column, kinds: tuple[str, ...]) -> DataFrame:
-    """(id, code): a strategy source is a real document of an allowed kind known on its published day, by the as-of day."""
-    docs = documents.select("url", F.col("published_at").alias("_d"))
+    """(id, code): a strategy source is a real document of an allowed kind known on its published day, by the as-of day. The first
+    document of a url (smallest id) stands for it."""
+    docs = documents.groupBy("url").agg(F.min_by("published_at", "doc_id").alias("_d"))
     rows = sources.join(docs, "url", "left")
     known = F.to_date(F.from_utc_timestamp("known_at", "Asia/Seoul"))
     code = (F.when(F.col("_d").isNull(), "NOT_A_DOCUMENT").when(~F.col("kind").isin(*kinds), "KIND_NOT_ALLOWED")
@@ -194,12 +196,13 @@ def strategy_sources(sources: DataFrame, documents: DataFrame, as_of: Column, ki
 
 
 def financial_sector(rows: DataFrame) -> DataFrame:
-    return rows.where(F.concat_ws(" ", "sector", "name").rlike(FINANCIAL_SECTOR))
+    return rows.where(F.coalesce(F.col("name").rlike(FINANCIAL_SECTOR), F.lit(False)) | F.coalesce(F.col("sector").rlike(FINANCIAL_SECTOR), F.lit(False)))
 
 
 def complete_forecasts(forecasts: DataFrame, segments: DataFrame, cited: DataFrame) -> DataFrame:
-    """(id, block, code): forecasts lacking a bridge assumption or a cited segment; liquidity and funding fall alone."""
-    uncited = segments.join(cited.select("path"), "path", "left_anti").select("id").distinct()
+    """(id, block, code): forecasts lacking a bridge assumption or a cited segment; liquidity and funding fall alone. A path is
+    cited for the forecast of its id only."""
+    uncited = segments.join(cited.select("id", "path"), ["id", "path"], "left_anti").select("id").distinct()
     flag = lambda df, block, code: df.select("id", F.lit(block).alias("block"), F.lit(code).alias("code"))
     return union_all([
         flag(forecasts.where(~F.col("has_bridge_assumption")), "forecast", "BRIDGE_ASSUMPTION_MISSING"), flag(uncited, "forecast", "SEGMENT_UNCITED"),

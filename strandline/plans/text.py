@@ -86,14 +86,14 @@ def page_articles(spark, sf):
     return co.articles(table(spark, sf, "pages")).select("page_id", "url", F.col("published_at").cast("timestamp_ntz").alias("published_at"), "text")
 
 
-SECTION_KINDS = (("long", r"\p{L}{12,}", 1), ("short", r".", 2))
+SECTION_KINDS = (("long", r"\p{L}{12,}"), ("short", r"."))
 _HEAD = r"(?is)<(?:h[1-6]|title)\b[^>]*>(.*?)</"
 
 
 @query("page_sections", f"""WITH p AS (SELECT page_id, unnest(list_slice(string_split(regexp_replace(regexp_replace(html, '{_DROP}', '', 'g'), '(?i)(<(?:h[1-6]|title)\\b)', chr(1) || '\\1', 'g'), chr(1)), 1, 1000)) AS part, generate_subscripts(string_split(regexp_replace(regexp_replace(html, '{_DROP}', '', 'g'), '(?i)(<(?:h[1-6]|title)\\b)', chr(1) || '\\1', 'g'), chr(1)), 1) - 1 AS pos FROM pages),
 t AS (SELECT page_id, pos, array_to_string({sql_lines("regexp_extract(part, '" + _HEAD + "', 1)")}, ' ') AS title FROM p WHERE regexp_matches(part, '(?i)^<(?:h[1-6]|title)\\b')),
 c AS (SELECT *, CASE WHEN regexp_matches(title, '\\p{{L}}{{12,}}') THEN 'long' WHEN title <> '' THEN 'short' END AS category FROM t)
-SELECT page_id, CAST(pos AS INTEGER) AS pos, title, category, CAST(n AS INTEGER) AS n FROM (SELECT *, row_number() OVER (PARTITION BY page_id, category ORDER BY pos) AS n FROM c WHERE category IS NOT NULL) WHERE n <= CASE WHEN category = 'long' THEN 1 ELSE 2 END""")
+SELECT page_id, CAST(pos AS INTEGER) AS pos, title, category, CAST(n AS INTEGER) AS n FROM (SELECT *, row_number() OVER (PARTITION BY page_id, category ORDER BY pos) AS n FROM c WHERE category IS NOT NULL)""")
 def page_sections(spark, sf):
     return co.sections(table(spark, sf, "pages"), categories=SECTION_KINDS).select("page_id", "pos", "title", "category", "n")
 
@@ -135,28 +135,33 @@ def sentences(spark, sf):
 
 SQL_METRICS = SQL_SENT.strip() + f""",
 mv AS (SELECT doc_id, source, sent_no, sentence, regexp_split_to_array(sentence, '{NUMBER}') AS seg, regexp_extract_all(sentence, '{NUMBER}') AS val FROM sent WHERE regexp_matches(sentence, '(?i){SHARE}|{GROWTH}') AND regexp_matches(sentence, '{NUMBER}')),
-mk AS (SELECT *, unnest(range(0, least(5, len(val)))) AS k FROM mv),
+mk AS (SELECT *, unnest(range(0, len(val))) AS k FROM mv),
 mb AS (SELECT doc_id, source, sent_no, sentence, k, val[k + 1] AS raw, right(array_to_string(list_transform(range(0, k + 1), lambda i: seg[i + 1] || CASE WHEN i < k THEN val[i + 1] ELSE '' END), ''), 40) AS w FROM mk),
 ms AS (SELECT *, CASE WHEN regexp_matches(w, '(?i){SHARE}') THEN length(regexp_extract(w, '(?is)^(.*)(?:{SHARE})', 1)) ELSE -1 END AS s, CASE WHEN regexp_matches(w, '(?i){GROWTH}') THEN length(regexp_extract(w, '(?is)^(.*)(?:{GROWTH})', 1)) ELSE -1 END AS g FROM mb),
 metric AS (SELECT *, CASE WHEN s > g THEN 'market_share' ELSE 'growth_rate' END AS kind FROM ms WHERE s >= 0 OR g >= 0)
 """
 
 
-@query("metric_candidates", ctes(SQL_METRICS) + "SELECT doc_id, CAST(sent_no AS INTEGER) AS sent_no, CAST(k AS INTEGER) AS k, raw, kind FROM metric")
+SQL_BASIS = """CASE WHEN regexp_matches(sentence, '(?i)분기|quarter|QoQ|Q[1-4]') THEN CASE WHEN regexp_matches(sentence, '(?i)전년\\s*동기|YoY') THEN 'yoy' ELSE 'quarterly' END
+  WHEN regexp_matches(sentence, '(?i)전년\\s*(동기)?\\s*대비|YoY') THEN 'yoy' WHEN regexp_matches(sentence, '(?i)연간|연평균|연도별|annual|yearly|per\\s*year|CAGR') THEN 'annual' ELSE 'unspecified' END"""
+
+
+@query("metric_candidates", ctes(SQL_METRICS) + f"SELECT doc_id, CAST(sent_no AS INTEGER) AS sent_no, CAST(k AS INTEGER) AS k, raw, kind, trim(w) AS label, TRY_CAST(regexp_replace(raw, '[%,]|\\s', '', 'g') AS DOUBLE) AS value, {SQL_BASIS} AS basis FROM metric")
 def metric_candidates(spark, sf):
-    return co.metric_candidates(co.sentences(table(spark, sf, "documents")), NUMBER, SHARE, GROWTH).select("doc_id", "sent_no", "k", "raw", "kind")
+    return co.metric_candidates(co.sentences(table(spark, sf, "documents")), NUMBER, SHARE, GROWTH).select("doc_id", "sent_no", "k", "raw", "kind", "label", "value", "basis")
 
 
-@query("metric_assembly", ctes(SQL_METRICS) + """, one AS (SELECT DISTINCT ON (source, doc_id, kind, raw, sentence) source, doc_id, sent_no, k, kind, raw FROM metric ORDER BY source, doc_id, kind, raw, sentence, sent_no, k),
-it AS (SELECT source, doc_id, count(*) AS n FROM one GROUP BY 1, 2) SELECT source AS company, CAST(least(150, sum(least(12, n))) AS BIGINT) AS figures FROM it GROUP BY 1""")
+@query("metric_assembly", ctes(SQL_METRICS) + """, one AS (SELECT DISTINCT ON (source, doc_id, kind, raw, sentence) source, doc_id, sent_no, k, kind, raw FROM metric ORDER BY source, doc_id, kind, raw, sentence, sent_no, k)
+SELECT source AS company, doc_id, CAST(sent_no AS INTEGER) AS sent_no, CAST(k AS INTEGER) AS k, kind, CAST(row_number() OVER (PARTITION BY source, doc_id ORDER BY sent_no, kind, k) AS INTEGER) AS item_rank,
+  CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id % 700 DESC, doc_id, sent_no, kind, k) AS INTEGER) AS rank FROM one""")
 def metric_assembly(spark, sf):
     docs = table(spark, sf, "documents")
     found = co.metric_candidates(co.sentences(docs), NUMBER, SHARE, GROWTH)
     dated = found.join(docs.select("doc_id", F.col("source").alias("company"), (F.col("doc_id") % 700).alias("published_at")), "doc_id")
-    return co.assemble_metrics(dated).groupBy("company").agg(F.count("*").alias("figures"))
+    return co.assemble_metrics(dated).select("company", "doc_id", "sent_no", "k", "kind", "item_rank", "rank")
 
 
-@query("market_sizes", ctes(SQL_SENT) + f"SELECT doc_id, CAST(sent_no AS INTEGER) AS sent_no, len(list_slice(regexp_extract_all(sentence, '{NUMBER}'), 1, 5)) AS amounts FROM sent WHERE regexp_matches(sentence, '(?i){GROWTH}') AND regexp_matches(sentence, '{NUMBER}')")
+@query("market_sizes", ctes(SQL_SENT) + f"SELECT doc_id, CAST(sent_no AS INTEGER) AS sent_no, len(regexp_extract_all(sentence, '{NUMBER}')) AS amounts FROM sent WHERE regexp_matches(sentence, '(?i){GROWTH}') AND regexp_matches(sentence, '{NUMBER}')")
 def market_sizes(spark, sf):
     return co.market_sizes(co.sentences(table(spark, sf, "documents")), NUMBER, GROWTH).groupBy("doc_id", "sent_no").agg(F.count("*").alias("amounts"))
 
@@ -372,16 +377,18 @@ def strategy_sources(spark, sf):
     d, k = documents(spark, sf), F.col("doc_id")
     rows = d.select(k.alias("id"), F.when(k % 8 == 0, "https://none.example.com").otherwise(F.col("url")).alias("url"), F.when(k % 5 == 0, "model_knowledge").otherwise("filing").alias("kind"),
                     (F.date_add("published_at", F.when(k % 7 == 0, 1).otherwise(0)).cast("timestamp") + F.expr("interval 3 hours")).alias("known_at"))
-    return gr.strategy_sources(rows, d, F.to_date(F.lit(DOC_AS_OF)), ("filing", "press_release"))
+    again = d.withColumns({"doc_id": F.col("doc_id") + 10**9, "published_at": F.date_add("published_at", 400)})  # each url is listed twice
+    return gr.strategy_sources(rows, d.unionByName(again), F.to_date(F.lit(DOC_AS_OF)), ("filing", "press_release"))
 
 
-@query("forecast_completeness", """SELECT c_custkey AS id, 'forecast' AS block, 'BRIDGE_ASSUMPTION_MISSING' AS code FROM customer WHERE c_custkey % 6 = 0 UNION ALL SELECT DISTINCT o_custkey, 'forecast', 'SEGMENT_UNCITED' FROM orders WHERE o_orderkey % 10 = 0
+@query("forecast_completeness", """SELECT c_custkey AS id, 'forecast' AS block, 'BRIDGE_ASSUMPTION_MISSING' AS code FROM customer WHERE c_custkey % 6 = 0 UNION ALL SELECT DISTINCT o_custkey, 'forecast', 'SEGMENT_UNCITED' FROM orders o WHERE NOT EXISTS (SELECT 1 FROM orders c WHERE c.o_custkey = o.o_custkey AND c.o_orderkey % 40 = o.o_orderkey % 40 AND (c.o_orderkey + c.o_custkey) % 10 <> 0)
 UNION ALL SELECT c_custkey, 'liquidity', 'LIQUIDITY_UNGROUNDED' FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT c_custkey, 'funding', 'FUNDING_UNGROUNDED' FROM customer WHERE c_custkey % 7 = 0""")
 def forecast_completeness(spark, sf):
     k = F.col("c_custkey")
     forecasts = table(spark, sf, "customer").select(k.alias("id"), (k % 6 != 0).alias("has_bridge_assumption"), F.lit(True).alias("has_liquidity"), (k % 5 != 0).alias("liquidity_cited"), F.lit(True).alias("has_funding"), (k % 7 != 0).alias("funding_cited"))
-    segs = table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("path"))
-    return gr.complete_forecasts(forecasts, segs, segs.where(F.col("path") % 10 != 0))
+    o = table(spark, sf, "orders")  # forecasts share their paths
+    segs = o.select(F.col("o_custkey").alias("id"), (F.col("o_orderkey") % 40).alias("path"))
+    return gr.complete_forecasts(forecasts, segs, o.where((F.col("o_orderkey") + F.col("o_custkey")) % 10 != 0).select(F.col("o_custkey").alias("id"), (F.col("o_orderkey") % 40).alias("path")))
 
 
 @query("financial_sector", "SELECT c_custkey AS id FROM customer WHERE c_mktsegment = 'BUILDING'")
