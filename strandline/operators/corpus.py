@@ -336,14 +336,15 @@ def statement_row_budget(rows: DataFrame, budgets: dict[str, int]) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(order)).where((F.col("n") <= max(budgets.values())) & (F.col("n") <= cap))
 
 
-def evidence_rank(docs: DataFrame, metrics: DataFrame, words: tuple[str, ...], keep: int = MAX_DOCS) -> DataFrame:
-    """The documents a company can use at most, by figure score (sizes 3, shares 3) plus keyword coverage, newest first."""
+def evidence_rank(docs: DataFrame, metrics: DataFrame, words: tuple[str, ...], keep: int | None = None) -> DataFrame:
+    """A company's documents with their `rank`, by figure score (sizes 3, shares 3) plus keyword coverage, newest first."""
     fig = metrics.groupBy("doc_id").agg((F.max(F.when(F.col("kind") == "market_size", 3).otherwise(0))
                                          + F.max(F.when(F.col("kind") == "market_share", 3).otherwise(0))).alias("_f"))
     covered = sum((F.when(F.col("text").contains(w), 1).otherwise(0) for w in words), F.lit(0))
     order = Window.partitionBy("company").orderBy(F.desc("score"), F.desc("published_at"), "doc_id")
-    return (docs.join(fig, "doc_id", "left").withColumn("score", F.coalesce("_f", F.lit(0)) + covered)
-            .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep).drop("_f"))
+    ranked = (docs.join(fig, "doc_id", "left").withColumn("score", F.coalesce("_f", F.lit(0)) + covered)
+              .withColumn("rank", F.row_number().over(order)).drop("_f"))
+    return ranked if keep is None else ranked.where(F.col("rank") <= keep)
 
 
 SELECTED = "company string, doc_id long, kind string, chars int, truncated boolean"

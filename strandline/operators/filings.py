@@ -12,7 +12,6 @@ from strandline.operators.rules import union_all
 # Report kinds and the month distance from the fiscal year end that each period has.
 REPORT_PATTERN = r"(사업|반기|분기)보고서\s*\((\d{4})\.(\d{2})\)"
 CORRECTION_WORD, ATTACHMENT_WORD = "정정", "첨부"
-MAX_PERIODS = 8
 # Rows that do not add up over periods, and rows counted as money.
 NON_ADDITIVE = r"(?i)PerShare|주당|WeightedAverage|가중평균|주식\s*수|NumberOf\w*Shares|률|비율|Ratio|Margin"
 RATE_WORD = r"(^|[^A-Za-z])Rate\b|[a-z]Rate\b"
@@ -22,8 +21,8 @@ REVENUE_TAG, REVENUE_NAME = r"^(ifrs-full|ifrs)_Revenue$", r"^(매출액|수익\
 REVENUE_CONCEPTS = ("RevenueFromContractWithCustomerExcludingAssessedTax", "Revenues",
                     "RevenueFromContractWithCustomerIncludingAssessedTax", "SalesRevenueNet", "SalesRevenueGoodsNet")
 DOMESTIC_FORM, ANNUAL_FORM = r"^10-[QK]", "10-K"
-QUARTER_DAYS, YEAR_DAYS, MAX_QUARTERS, MAX_YEARS = (80, 100), (350, 380), 8, 2
-# Disclosure kinds with their caps, newest first, and the overall cap.
+QUARTER_DAYS, YEAR_DAYS = (80, 100), (350, 380)
+# Disclosure kinds, and how many of each and in all a display shows.
 DISCLOSURE_KINDS = (("earnings_schedule", r"기업설명회|\(IR\)개최|IR개최|결산실적공시예고", 2),
                     ("earnings_guidance", r"실적등에대한전망|영업실적전망", 1), ("preliminary_earnings", r"\(잠정\)실적|잠정실적", 1))
 MAX_DISCLOSURES = 4
@@ -55,14 +54,15 @@ def filings_as_of(filings: DataFrame, day: Column, date_only: bool = True) -> Da
     return filings.where(received & (F.col("period_end") <= day))
 
 
-def latest_versions(filings: DataFrame, keep: int = MAX_PERIODS) -> DataFrame:
-    """Newest version per (company, type, end), the newest `keep` periods of each company."""
+def latest_versions(filings: DataFrame, keep: int | None = None) -> DataFrame:
+    """Newest version per (company, type, end) with the period's `rank`, newest first; cut where the caller asks."""
     newest = latest_by(filings, ["company", "period_type", "period_end"], [F.col("received_date"), F.col("receipt")])
     order = Window.partitionBy("company").orderBy(F.desc("period_end"), "period_type")
-    return newest.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
+    ranked = newest.withColumn("rank", F.row_number().over(order))
+    return ranked if keep is None else ranked.where(F.col("rank") <= keep)
 
 
-def with_documents(filings: DataFrame, available: DataFrame, keep: int = MAX_PERIODS) -> DataFrame:
+def with_documents(filings: DataFrame, available: DataFrame, keep: int | None = None) -> DataFrame:
     """Newest version that has a document; a period without any gives its place to the next one."""
     return latest_versions(filings.join(available.select("receipt").distinct(), "receipt", "left_semi"), keep)
 
@@ -152,7 +152,8 @@ def earliest_values(facts: DataFrame) -> DataFrame:
 
 
 def facts_revenue(facts: DataFrame) -> DataFrame:
-    """Quarters, years and the fourth quarter as year less its three contained quarters; newest 8 and 2."""
+    """Quarters, years and the fourth quarter as year less its three contained quarters, with the `rank` of each
+    length, newest first."""
     length = F.datediff("end", "start")
     quarters = facts.where(length.between(*QUARTER_DAYS))
     years = facts.where(length.between(*YEAR_DAYS) & F.col("form").startswith(ANNUAL_FORM))
@@ -165,7 +166,7 @@ def facts_revenue(facts: DataFrame) -> DataFrame:
     plain = lambda df, months: df.select("company", F.lit(months).alias("months"), "start", "end", F.col("val").alias("revenue"), F.lit("reported").alias("kind"))
     rows = union_all([plain(quarters, 3), plain(years, 12), derived])
     newest = F.row_number().over(Window.partitionBy("company", "months").orderBy(F.desc("end"), "start"))
-    return rows.withColumn("_r", newest).where(F.col("_r") <= MAX_QUARTERS).where(F.col("_r") <= F.when(F.col("months") == 3, MAX_QUARTERS).otherwise(MAX_YEARS)).drop("_r")
+    return rows.withColumn("rank", newest)
 
 
 def half_year_filings(docs: DataFrame, elements: dict[str, int], window_days: int, day: Column) -> DataFrame:
@@ -204,8 +205,10 @@ def yearly_growth(rows: DataFrame, value: str) -> DataFrame:
     return rows.withColumn("growth_pct", F.when((before == F.col("year") - 1) & (prev > 0), (F.col(value) / prev - 1) * 100))
 
 
-def recent_closes(closes: DataFrame, day: Column, days: int = 200) -> DataFrame:
-    return closes.where((F.col("date") <= day) & (F.datediff(day, "date") <= days))
+def recent_closes(closes: DataFrame, day: Column, days: int | None = None) -> DataFrame:
+    """Closes up to a day, of the last `days` days where given."""
+    known = closes.where(F.col("date") <= day)
+    return known if days is None else known.where(F.datediff(day, "date") <= days)
 
 
 def per_reference(closes: DataFrame, actuals: DataFrame) -> DataFrame:
@@ -230,16 +233,17 @@ def cross_rates(rates: DataFrame, day: Column, base: str = "KRW") -> DataFrame:
         "currency", "date", rnd(F.col("_b") / F.col("rate"), 4).alias("per_unit"))
 
 
-def disclosures(rows: DataFrame) -> DataFrame:
-    """Classified disclosures under the per-kind caps, newest first, at most four per company."""
+def disclosures(rows: DataFrame, capped: bool = False) -> DataFrame:
+    """Classified disclosures with their `kind_rank` and `rank`, newest first; under the display's caps where asked."""
     name, kind, cap = F.regexp_replace("report_name", r"\s+", ""), F.lit(None), F.lit(0)
     for label, pattern, limit in reversed(DISCLOSURE_KINDS):
         kind, cap = F.when(name.rlike(pattern), label).otherwise(kind), F.when(name.rlike(pattern), limit).otherwise(cap)
     newest = [F.desc("received_date"), F.desc("receipt")]
     hits = rows.withColumns({"kind": kind, "_cap": cap}).where(F.col("kind").isNotNull())
-    capped = hits.withColumn("_k", F.row_number().over(Window.partitionBy("company", "kind").orderBy(*newest))).where((F.col("_k") <= 2) & (F.col("_k") <= F.col("_cap")))
-    return (capped.withColumn("rank", F.row_number().over(Window.partitionBy("company").orderBy(*newest)))
-            .where(F.col("rank") <= MAX_DISCLOSURES).drop("_k", "_cap"))
+    hits = hits.withColumn("kind_rank", F.row_number().over(Window.partitionBy("company", "kind").orderBy(*newest)))
+    hits = hits.where(F.col("kind_rank") <= F.col("_cap")) if capped else hits
+    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("company").orderBy(*newest))).drop("_cap")
+    return ranked.where(F.col("rank") <= MAX_DISCLOSURES) if capped else ranked
 
 
 def classify_securities(rows: DataFrame) -> DataFrame:
@@ -259,11 +263,11 @@ def universe(rows: DataFrame) -> DataFrame:
     return latest_by(good, ["ticker"], [F.col("market_cap")]).orderBy("exchange", F.desc("market_cap"), "ticker")
 
 
-def search_universe(rows: DataFrame, text: str, limit: int = 20) -> DataFrame:
+def search_universe(rows: DataFrame, text: str, limit: int) -> DataFrame:
     """Ticker prefix or name part; every row carries the total so a page can say how many there are."""
     needle = text.strip().lower()
     hits = rows.where(F.lower("ticker").startswith(needle) | F.lower("name").contains(needle))
-    return hits.withColumn("total", F.lit(hits.count())).orderBy(F.desc("market_cap"), "ticker").limit(limit)
+    return hits.withColumn("total", hits.agg(F.count("*")).scalar()).orderBy(F.desc("market_cap"), "ticker").limit(limit)
 
 
 def industry_peers(rows: DataFrame, first: int = 6) -> DataFrame:
@@ -411,12 +415,3 @@ def funding_plan(rows: DataFrame, keys: list[str]) -> DataFrame:
         (F.col("taxes_ytd") / n).alias("cash_taxes"), (F.col("interest_ytd") / n).alias("cash_interest"),
         ((F.col("generated_ytd") - F.col("op_ytd") - F.col("depreciation_ytd") + F.coalesce(working, F.lit(0.0))) / n).alias("other_cash_flow"),
         (debt / 4).alias("principal_due"), (F.col("payouts_ytd") / n).alias("payouts"), debt.alias("current_debt"))
-
-
-def name_mentions(names: DataFrame) -> DataFrame:
-    """Distinct normalised company names of at least two characters."""
-    return names.select("company", company_key("name").alias("key")).where(F.length("key") >= 2).distinct()
-
-
-def implied_growth(a: Column, b: Column) -> Column:
-    return (tdiv(a, b) - 1) * 100

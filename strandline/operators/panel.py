@@ -19,7 +19,6 @@ SPLIT_TOLERANCE = 0.08
 # The session is final at 15:40 in Korea; features start at row 61.
 SESSION_FINAL_MINUTE = 15 * 60 + 40
 MIN_HISTORY = 61
-MAX_PEERS = 40
 
 
 def latest_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -123,11 +122,10 @@ def enough_history(bars: DataFrame) -> DataFrame:
             .withColumn("enough", F.col("sessions") > MIN_HISTORY))
 
 
-def peer_pool(universe: DataFrame, targets: DataFrame, count: int = 20) -> DataFrame:
+def peer_pool(universe: DataFrame, targets: DataFrame, count: int) -> DataFrame:
     """Largest other listings on each target's exchange.
 
     Only the count+1 largest of an exchange can be anyone's peers, so the list is cut per exchange before the join."""
-    count = min(count, MAX_PEERS)
     by_size = Window.partitionBy("exchange").orderBy(F.desc("market_cap"), "ticker")
     top = (universe.withColumn("_rank", F.row_number().over(by_size)).where(F.col("_rank") <= count + 1)
            .select("exchange", F.col("ticker").alias("peer"), "market_cap", "_rank"))

@@ -55,7 +55,7 @@ def classify_reports(spark, sf):
 
 def _latest_sql(where: str) -> str:
     return f"""SELECT company, period_type, period_end, receipt, received_date, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY company ORDER BY period_end DESC, period_type) AS rank FROM
- (SELECT *, row_number() OVER (PARTITION BY company, period_type, period_end ORDER BY received_date DESC, receipt DESC) AS v FROM known {where}) WHERE v = 1) WHERE rank <= 8"""
+ (SELECT *, row_number() OVER (PARTITION BY company, period_type, period_end ORDER BY received_date DESC, receipt DESC) AS v FROM known {where}) WHERE v = 1)"""
 
 
 @query("latest_versions", ctes(SQL_FILINGS) + _latest_sql(""))
@@ -168,12 +168,12 @@ fr AS (SELECT company, 3 AS months, start, "end", val, 'reported' AS kind FROM f
 """
 
 
-@query("facts_revenue", ctes(SQL_FACTS) + f"""SELECT company, months, start, "end", kind, {sql_rnd('val', 0)} AS revenue FROM (SELECT *, row_number() OVER (PARTITION BY company, months ORDER BY "end" DESC, start) AS r FROM fr) WHERE r <= CASE WHEN months = 3 THEN 8 ELSE 2 END""")
+@query("facts_revenue", ctes(SQL_FACTS) + f"""SELECT company, months, start, "end", kind, {sql_rnd('val', 0)} AS revenue, CAST(row_number() OVER (PARTITION BY company, months ORDER BY "end" DESC, start) AS INTEGER) AS rank FROM fr""")
 def facts_revenue(spark, sf):
     cutoff = F.lit(f"{AS_OF} 15:00:00").cast("timestamp")
     known = staged(spark, sf, "facts", lambda: fl.earliest_values(fl.chosen_concept(fl.usable_facts(facts(spark, sf), cutoff))))
     out = fl.facts_revenue(known)
-    return rounded(out, ["company", "months", "start", "end", "kind"], ["revenue"], 0)
+    return rounded(out, ["company", "months", "start", "end", "kind", "rank"], ["revenue"], 0)
 
 
 @query("second_half", ctes(mk.SQL_RAW) + f""", h AS (SELECT ticker, year(date) AS y, sum(cents) AS yr, sum(CASE WHEN month(date) <= 6 THEN cents END) AS h1 FROM daily GROUP BY 1, 2) SELECT ticker AS company, true AS consolidated, make_date(CAST(y AS INTEGER), 12, 31) AS period_end, {sql_rnd('CAST(yr - h1 AS DOUBLE)', 0)} AS revenue FROM h WHERE h1 IS NOT NULL""")
@@ -201,7 +201,7 @@ def yearly_growth(spark, sf):
 
 
 @query("per_reference", ctes(sg.SQL_STRAT.strip() + "," + mk.SQL_BARS.strip()) + f""", l4 AS (SELECT ticker, sum(eps) AS ttm, max(q) - min(q) AS span, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY q DESC) AS r FROM bridge) WHERE r <= 4 GROUP BY 1 HAVING n = 4 AND span = 3 AND ttm > 0),
-c AS (SELECT b.ticker, b.date, b.close / (ttm / 100) AS per FROM bars b JOIN l4 USING (ticker) WHERE b.date <= DATE '2001-06-30' AND DATE '2001-06-30' - b.date <= 200)
+c AS (SELECT b.ticker, b.date, b.close / (ttm / 100) AS per FROM bars b JOIN l4 USING (ticker) WHERE b.date <= DATE '2001-06-30')
 SELECT ticker, count(*) AS sessions, floor(max_by(per, date) * 100 + 0.5) / 100 AS current, floor(min(per) * 100 + 0.5) / 100 AS min_per, floor(max(per) * 100 + 0.5) / 100 AS max_per, floor(quantile_cont(per, 0.5) * 100 + 0.5) / 100 AS median_per FROM c GROUP BY 1""")
 def per_reference(spark, sf):
     eps = sg.base_bridge(spark, sf).select("ticker", "q", (F.col("eps") / 100).alias("eps"))
@@ -217,12 +217,12 @@ def cross_rates(spark, sf):
 
 
 @query("disclosures", """WITH d AS (SELECT o_custkey AS company, CAST(o_orderdate AS DATE) AS received_date, o_orderkey AS receipt, CASE o_orderpriority WHEN '1-URGENT' THEN 'earnings_schedule' WHEN '2-HIGH' THEN 'earnings_guidance' WHEN '3-MEDIUM' THEN 'preliminary_earnings' END AS kind FROM orders),
-k AS (SELECT *, row_number() OVER (PARTITION BY company, kind ORDER BY received_date DESC, receipt DESC) AS n FROM d WHERE kind IS NOT NULL), c AS (SELECT * FROM k WHERE n <= CASE WHEN kind = 'earnings_schedule' THEN 2 ELSE 1 END)
-SELECT company, receipt, kind, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY company ORDER BY received_date DESC, receipt DESC) AS rank FROM c) WHERE rank <= 4""")
+k AS (SELECT *, row_number() OVER (PARTITION BY company, kind ORDER BY received_date DESC, receipt DESC) AS n FROM d WHERE kind IS NOT NULL)
+SELECT company, receipt, kind, CAST(n AS INTEGER) AS kind_rank, CAST(row_number() OVER (PARTITION BY company ORDER BY received_date DESC, receipt DESC) AS INTEGER) AS rank FROM k""")
 def disclosures(spark, sf):
     name = F.when(F.col("o_orderpriority") == "1-URGENT", "기업설명회 (IR) 개최").when(F.col("o_orderpriority") == "2-HIGH", "영업실적 전망").when(F.col("o_orderpriority") == "3-MEDIUM", "영업(잠정)실적").otherwise("기타")
     rows = orders(spark, sf).select(F.col("o_custkey").alias("company"), F.col("d").alias("received_date"), F.col("o_orderkey").alias("receipt"), name.alias("report_name"))
-    return fl.disclosures(rows).select("company", "receipt", "kind", "rank")
+    return fl.disclosures(rows).select("company", "receipt", "kind", "kind_rank", "rank")
 
 
 # ---- universe ----------------------------------------------------------------------------------------------------
@@ -254,7 +254,7 @@ def universe(spark, sf):
 
 @query("search_universe", ctes(SQL_LISTING) + ", h AS (SELECT * FROM cl WHERE ticker LIKE '12%' OR lower(c_name) LIKE '%12%') SELECT ticker, (SELECT count(*) FROM h) AS total FROM h ORDER BY c_acctbal DESC, ticker LIMIT 20")
 def search_universe(spark, sf):
-    return fl.search_universe(listing(spark, sf), "12").select("ticker", "total")
+    return fl.search_universe(listing(spark, sf), "12", 20).select("ticker", "total")
 
 
 @query("industry_peers", """WITH p AS (SELECT o_custkey AS company, l_suppkey AS peer, min(l_orderkey) AS pos FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey % 3 <> 0 AND l_suppkey <> o_custkey GROUP BY 1, 2)

@@ -167,10 +167,10 @@ def market_sizes(spark, sf):
 
 
 @query("clean_product_names", r"""WITH p AS (SELECT p_brand AS company, p_partkey AS pos, 1 AS part_no, p_name AS n FROM part UNION ALL SELECT p_brand, p_partkey, 2, p_type FROM part), g AS (SELECT company, lower(n) AS key, min((pos, part_no, n)) AS f FROM p WHERE length(n) BETWEEN 2 AND 20 GROUP BY 1, 2)
-SELECT company, CAST(rank AS INTEGER) AS rank, f[3] AS name FROM (SELECT *, row_number() OVER (PARTITION BY company ORDER BY f[1], f[2]) AS rank FROM g) WHERE rank <= 10""".replace("f[3]", "f3").replace("ORDER BY f[1], f[2]", "ORDER BY f1, f2").replace("min((pos, part_no, n)) AS f FROM", "arg_min(n, pos * 10 + part_no) AS f3, min(pos * 10 + part_no) AS f1, 0 AS f2 FROM"))
+SELECT company, CAST(rank AS INTEGER) AS rank, f[3] AS name FROM (SELECT *, row_number() OVER (PARTITION BY company ORDER BY f[1], f[2]) AS rank FROM g)""".replace("f[3]", "f3").replace("ORDER BY f[1], f[2]", "ORDER BY f1, f2").replace("min((pos, part_no, n)) AS f FROM", "arg_min(n, pos * 10 + part_no) AS f3, min(pos * 10 + part_no) AS f1, 0 AS f2 FROM"))
 def clean_product_names(spark, sf):
     rows = table(spark, sf, "part").select(F.col("p_brand").alias("company"), F.col("p_partkey").alias("pos"), F.concat("p_name", F.lit(" 사업부, "), "p_type", F.lit(" 등")).alias("name"))
-    return co.clean_product_names(rows, 10)
+    return co.clean_product_names(rows)
 
 
 @query("expand_queries", """SELECT p_brand AS company, 'company' AS source, p_brand || t AS query FROM (SELECT DISTINCT p_brand FROM part), (SELECT unnest([' 전망', ' 성장률', ' 시장 점유율']) AS t) UNION ALL SELECT p_brand, 'product', p_type || t FROM (SELECT DISTINCT p_brand, p_type FROM part), (SELECT unnest([' 세계 시장 규모', ' 점유율 매출 분기']) AS t)""")
@@ -230,7 +230,7 @@ def evidence_inventory(spark, sf):
 
 
 @query("evidence_ranking", ctes(SQL_METRICS) + """, f AS (SELECT doc_id, max(CASE WHEN kind = 'market_share' THEN 3 ELSE 0 END) AS f FROM metric GROUP BY 1), s AS (SELECT d.source AS company, d.doc_id, coalesce(f, 0) + """ + " + ".join(f"CASE WHEN contains(text, '{w}') THEN 1 ELSE 0 END" for w in WORDS) + """ AS score FROM documents d LEFT JOIN f USING (doc_id))
-SELECT * FROM (SELECT company, doc_id, score, CAST(row_number() OVER (PARTITION BY company ORDER BY score DESC, doc_id % 700 DESC, doc_id) AS INTEGER) AS rank FROM s) WHERE rank <= 60""")
+SELECT company, doc_id, score, CAST(row_number() OVER (PARTITION BY company ORDER BY score DESC, doc_id % 700 DESC, doc_id) AS INTEGER) AS rank FROM s""")
 def evidence_ranking(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("source").alias("company"), "doc_id", "text", (F.col("doc_id") % 700).alias("published_at"))
     found = co.metric_candidates(co.sentences(docs), NUMBER, SHARE, GROWTH)

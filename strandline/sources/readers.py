@@ -167,7 +167,7 @@ def parse_news_listing(rows: DataFrame) -> DataFrame:
     """(company, groups of items) to news rows; entities and tags are removed from titles and snippets."""
     items = rows.select("company", F.posexplode("groups").alias("g", "group")).select("company", "g", F.posexplode("group.items").alias("i", "x"))
     at = F.try_to_timestamp(F.concat("x.datetime", F.lit("+0900")), F.lit("yyyyMMddHHmmZ"))
-    return items.select("company", F.col("x.id").alias("id"), (F.col("g") * 10000 + F.col("i")).alias("pos"), strip_tags("x.title").alias("title"), strip_tags("x.body").alias("snippet"),
+    return items.select("company", F.col("x.id").alias("id"), (F.col("g").cast("long") * (1 << 31) + F.col("i")).alias("pos"), strip_tags("x.title").alias("title"), strip_tags("x.body").alias("snippet"),
                         at.alias("published_at")).where(F.col("published_at").isNotNull())
 
 
@@ -197,7 +197,3 @@ def write_summary(parts: dict[str, DataFrame], path: str) -> None:
     """Daily summary: each part as one JSON document under its section name, replacing the last one."""
     packed = [df.select(F.lit(name).alias("section"), F.to_json(F.struct(*df.columns)).alias("row")) for name, df in parts.items()]
     union_all(packed).write.mode("overwrite").partitionBy("section").json(path)
-
-
-def known_on(day: Column, date: str = "date") -> Column:
-    return F.col(date) <= day
