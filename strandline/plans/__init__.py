@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["market", "forecasting", "strategy", "valuing", "reference", "text", "feeds", "estimates"]
+MODULES = ["market", "forecasting", "strategy", "valuing", "reference", "text", "feeds", "estimates", "sources"]
 
 
 def load() -> None:
