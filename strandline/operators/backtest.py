@@ -3,13 +3,16 @@ actual, past). Per-ticker and pooled results come from one grouping-sets aggrega
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.quantiles import grouped_quantiles
 from strandline.functions.scalar import clamp, logit, p_value_above, pct, tdiv
+from strandline.operators import fold_maps as fm
 from strandline.operators.folds import FoldOptions, fold_schedule, fold_table
 from strandline.operators.regression import grouped_logistic
+from strandline.session import stage
 
 POOLED = "ALL"
 # Reliability bins, share of confident predictions, effective sample and p-value behind an edge.
@@ -117,16 +120,32 @@ def calibrate_returns(rows: DataFrame, keys: list[str], min_rows: int = 100) ->
 
 
 def range_coverage(oos: DataFrame, o: FoldOptions = FoldOptions()) -> DataFrame:
-    """Share of realised returns inside an 80% range built only from outcomes closed strictly before the row's date."""
-    schedule = fold_schedule(oos, o.calibration_min_rows, o.step, strict=True)
-    folds = fold_table(schedule)
-    dates = oos.groupBy("horizon", "date").count().drop("count")
-    reach = (folds.join(dates, "horizon").where(F.col("date") < F.col("fold_date"))
-             .select("horizon", "date", "fold", "fold_date"))
-    known = oos.join(reach, ["horizon", "date"]).where(F.col("end_date") < F.col("fold_date"))
-    bands = calibrate_returns(known, ["horizon", "fold"], o.calibration_min_rows)
-    scored = (unit_moves(oos).join(schedule.select("horizon", "date", "fold"), ["horizon", "date"])
-              .join(bands.select("horizon", "fold", "slope", "icpt", "q_lo", "q_hi"), ["horizon", "fold"]))
+    """Share of realised returns inside an 80% range built only from outcomes closed strictly before the row's date.
+
+    Per fold the calibration line comes from sums, the band from quantiles of its residuals, both over one row per prediction."""
+    schedule = stage(fold_schedule(oos, o.calibration_min_rows, o.step, strict=True), "coverage-folds")
+    days = fm.fold_days(fold_table(schedule))
+    units = unit_moves(oos)
+    rows = stage(units.select("horizon", F.unix_date("end_date").alias("end_day"), "zr", "za"), "coverage-rows")
+
+    def moments(h, c, known):
+        w = (known & ~np.isnan(c["zr"] + c["za"])[:, None]).astype(float)
+        x, y = np.nan_to_num(c["zr"]), np.nan_to_num(c["za"])
+        return {"n": known.sum(0), "m": w.sum(0), "x": w.T @ x, "y": w.T @ y, "xx": w.T @ (x * x), "xy": w.T @ (x * y)}
+
+    sums, line = fm.fold_sums(rows, days, moments, ["n", "m", "x", "y", "xx", "xy"], strict=True), {}
+    for h, s in sums.items():
+        m = np.maximum(s["m"], 1)
+        mx, my = s["x"] / m, s["y"] / m
+        var = s["xx"] / m - mx * mx
+        slope = np.clip(np.divide(s["xy"] / m - mx * my, var, out=np.zeros_like(var), where=var > 0), 0.0, 1.0)
+        line[h] = slope, my - slope * mx
+    bands = fm.fold_quantiles(rows, days, lambda h, c: c["za"][:, None] - (line[h][1][None, :] + line[h][0][None, :] * c["zr"][:, None]),
+                              {"q_lo": 0.1, "q_hi": 0.9}, strict=True)
+    table = [(int(h), int(fold), float(line[h][0][i]), float(line[h][1][i]), float(bands[h]["q_lo"][i]), float(bands[h]["q_hi"][i]))
+             for h, (folds, _) in days.items() for i, fold in enumerate(folds) if sums[h]["n"][i] >= o.calibration_min_rows]
+    fitted = oos.sparkSession.createDataFrame(table, "horizon int, fold int, slope double, icpt double, q_lo double, q_hi double")
+    scored = (units.join(schedule.select("horizon", "date", "fold"), ["horizon", "date"]).join(fitted, ["horizon", "fold"]))
     center = F.col("icpt") + F.col("slope") * F.col("zr")
     inside = F.col("za").between(center + F.col("q_lo"), center + F.col("q_hi"))
     return _named(by_ticker_and_pooled(scored.withColumn("_in", _flag(inside))).agg(

@@ -9,15 +9,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.scalar import clamp, logit, sigmoid
-from strandline.functions.quantiles import grouped_quantiles
+from strandline.operators import fold_maps as fm
 from strandline.operators import learners
 from strandline.operators.features import ALL_FEATURES, HORIZONS, volatility_scale
-from strandline.operators.regression import grouped_logistic, grouped_ridge
 from strandline.session import spread, stage
 
 
@@ -207,20 +207,71 @@ def fold_date_weights(rows: DataFrame, folds: DataFrame, half_life: float) -> Da
 
 
 def fit_meta(oos: DataFrame, folds: DataFrame, o: FoldOptions) -> DataFrame:
-    """Stage-two coefficients per (horizon, fold) on all rows known at the fold, fitted from distributed moments."""
-    inputs = meta_inputs(oos)
-    weights = stage(fold_date_weights(oos, folds, o.half_life), "fold-weights")
-    windows = (spread(inputs, "horizon", "date").join(weights, ["horizon", "date"]).where(F.col("end_date") <= F.col("fold_date"))
-               .select("horizon", "fold", "m_logit", "m_past", "m_last", "r", "m_move", "up", "actual", "weight"))
-    limits = grouped_quantiles(windows, ["horizon", "fold"], "actual", {"lo": 0.01, "hi": 0.99})
-    clipped = (windows.join(limits, ["horizon", "fold"])
-               .withColumn("target", clamp("actual", F.col("lo"), F.col("hi"))))
-    regression = grouped_ridge(clipped, ["horizon", "fold"], ["r", "m_move"], "target", "weight", 1e-6)
-    classifier = grouped_logistic(windows, ["horizon", "fold"], ["m_logit", "m_past", "m_last"], "up", "weight",
-                                  lam_per_row=1e-3)
-    return (classifier.select("horizon", "fold", "n", F.col("coef").alias("cls"))
-            .join(regression.select("horizon", "fold", F.col("coef").alias("reg")), ["horizon", "fold"])
-            .where(F.col("n") >= o.meta_min_rows))
+    """Stage-two coefficients per (horizon, fold) on all rows known at the fold: a ridge on the clipped return and Newton steps of a
+    logistic regression, from sums per fold over one row per prediction."""
+    folds = stage(folds.select("horizon", "fold", "fold_date"), "meta-folds")
+    days = fm.fold_days(folds)
+    inputs = meta_inputs(oos).withColumns({"day": F.unix_date("date"), "end_day": F.unix_date("end_date")})
+    rows = stage(inputs.select("horizon", "day", "end_day", "m_logit", "m_past", "m_last", "r", "m_move", "up", "actual"), "meta-rows")
+    dated = fold_date_weights(oos, folds, o.half_life).select("horizon", "fold", F.unix_date("date").alias("day"), "weight").toPandas()
+    calendar = {}
+    for h, part in dated.groupby("horizon"):
+        fold_at = {f: i for i, f in enumerate(days[h][0])}
+        dates = np.unique(part["day"])
+        table = np.zeros((len(dates) + 1, len(fold_at)))  # the last row: a date without weight
+        table[np.searchsorted(dates, part["day"]), part["fold"].map(fold_at)] = part["weight"]
+        calendar[h] = dates, table
+
+    def weights(h, c, known):
+        dates, table = calendar[h]
+        at = np.minimum(np.searchsorted(dates, c["day"]), len(dates) - 1)
+        return table[np.where(dates[at] == c["day"], at, len(dates))] * known
+
+    limits = fm.fold_quantiles(rows, days, lambda h, c: c["actual"][:, None], {"lo": 0.01, "hi": 0.99})
+    reg_terms = lambda c: np.column_stack([c["r"], c["m_move"], np.ones(len(c["r"]))])
+    cls_terms = lambda c: np.column_stack([c["m_logit"], c["m_past"], c["m_last"], np.ones(len(c["r"]))])
+
+    def products(w, x):
+        return {f"h{i}_{j}": w.T @ (x[:, i] * x[:, j]) for i in range(x.shape[1]) for j in range(i + 1)}
+
+    def ridge_sums(h, c, known):
+        w, x = weights(h, c, known), reg_terms(c)
+        y = np.clip(c["actual"][:, None], limits[h]["lo"][None, :], limits[h]["hi"][None, :])
+        rhs = (w * np.where(known, y, 0)).T @ x
+        return {"n": known.sum(0), "w": w.sum(0), "up": w.T @ c["up"], **products(w, x), **{f"c{i}": rhs[:, i] for i in range(3)}}
+
+    names = lambda k: [f"h{i}_{j}" for i in range(k) for j in range(i + 1)]
+    base = fm.fold_sums(rows, days, ridge_sums, ["n", "w", "up", *names(3), "c0", "c1", "c2"])
+    matrix = lambda s, k: np.stack([np.stack([s[f"h{max(i, j)}_{min(i, j)}"] for j in range(k)], -1) for i in range(k)], -2)
+    used = {h: s["n"] >= max(1, o.meta_min_rows) for h, s in base.items()}
+    reg, cls = {}, {}
+    for h, s in base.items():
+        penalty = 1e-6 * s["n"][:, None, None] * np.diag([1.0, 1.0, 0.0]) + ~used[h][:, None, None] * np.eye(3)
+        reg[h] = np.linalg.solve(matrix(s, 3) + penalty, np.stack([s["c0"], s["c1"], s["c2"]], -1)[..., None])[..., 0]
+        rate = np.divide(s["up"], s["w"], out=np.full(len(s["w"]), 0.5), where=s["w"] > 0)
+        cls[h] = np.zeros((len(rate), 4))
+        cls[h][:, 3] = [learners.log_odds(r) for r in rate]
+
+    def newton_sums(h, c, known):
+        w, x = weights(h, c, known), cls_terms(c)
+        p = 1 / (1 + np.exp(-np.clip(x @ cls[h].T, -700, 700)))
+        slope = ((p - c["up"][:, None]) * w).T @ x
+        return {**products(np.maximum(1e-6, p * (1 - p)) * w, x), **{f"g{i}": slope[:, i] for i in range(4)}}
+
+    for _ in range(30):
+        sums, largest = fm.fold_sums(rows, days, newton_sums, [*names(4), "g0", "g1", "g2", "g3"]), 0.0
+        for h, s in sums.items():
+            penalty = 1e-3 * base[h]["n"][:, None] * np.array([1.0, 1.0, 1.0, 0.0])
+            curve = matrix(s, 4) + penalty[:, :, None] * np.eye(4) + ~used[h][:, None, None] * np.eye(4)
+            move = np.linalg.solve(curve, (np.stack([s[f"g{i}"] for i in range(4)], -1) + penalty * cls[h])[..., None])[..., 0]
+            move[~used[h]] = 0
+            cls[h] = cls[h] - move
+            largest = max(largest, float(np.abs(move).max()) if move.size else 0.0)
+        if largest < 1e-8:
+            break
+    fitted = [(int(h), int(fold), int(s["n"][i]), [float(v) for v in cls[h][i]], [float(v) for v in reg[h][i]])
+              for h, s in base.items() for i, fold in enumerate(days[h][0]) if used[h][i]]
+    return oos.sparkSession.createDataFrame(fitted, "horizon int, fold int, n long, cls array<double>, reg array<double>")
 
 
 def apply_meta(rows: DataFrame) -> DataFrame:
