@@ -25,6 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.memories import held
+
 CAPACITY = 2048
 PIECE = 512
 FINE = 16  # size of the last pieces of a lot: differencing levels windows to about half of it
@@ -32,7 +34,7 @@ FINE_SHARE = 0.08
 LOT = 32
 SLACK = 8
 STRETCH = 1_000_000  # characters encoded together
-CACHE_UNITS, CACHE_WORDS = 800_000, 500_000
+CACHE_UNITS, CACHE_WORDS = 700_000, 400_000
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "sequence_tokens long")
 # Fixed value: the word pattern of the tokenizer, after its normal form (NFC, lower case).
@@ -155,13 +157,8 @@ class WordTokens:
                 for text, units, ids in zip(texts, split, found)]
 
 
-_tokenizers: dict[str, WordTokens] = {}
-
-
 def word_tokens(path: str) -> WordTokens:
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokens(path)
-    return _tokenizers[path]
+    return held(("words", path), lambda: WordTokens(path))
 
 
 def spans(lengths: list[int], most: int) -> Iterator[slice]:

@@ -13,6 +13,7 @@ batch's texts form one stream, with a reset at every text, multiplied blockwise
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from dataclasses import dataclass, field
 from itertools import chain
@@ -23,13 +24,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from strandline.llm.memories import held
 from strandline.llm.packing import spans
 from strandline.llm.shingles import mix, shingle_set
 
 SAMPLE = {1: 800, 0: 2400}  # most labelled documents of a class that a fit sees
 CHAINS = 300  # most documents of a class among them that train the chain
 STRETCH = 2_000_000  # characters scored together
-CACHE_WORDS = 600_000
+CACHE_WORDS = 500_000
 PURE = 0.95  # least share of toxic documents among those that have a feature tied to them
 THRESHOLD = 0.3
 _WORD = re.compile(r"\w+")
@@ -113,10 +115,7 @@ class ToxicityModel:
     bias: float
     move: np.ndarray
     first: float
-    _known: dict[str, float] = field(default_factory=dict, repr=False)
-
-    def __getstate__(self):
-        return {**self.__dict__, "_known": {}}
+    name: str = field(default_factory=lambda: uuid.uuid4().hex, repr=False)  # tells models apart in a worker's memory
 
     def word(self, word: str) -> float:
         """Log-odds that the word alone is toxic: the weights of its `features`."""
@@ -130,7 +129,7 @@ class ToxicityModel:
 
     def marginals(self, texts: list[str]) -> list[np.ndarray]:
         words = [_WORD.findall(t) for t in texts]
-        known = self._known
+        known = held(("toxicity", self.name), dict)
         new = set(chain.from_iterable(words)).difference(known)
         if len(known) + len(new) > CACHE_WORDS:
             known.clear()
