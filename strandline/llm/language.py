@@ -22,7 +22,8 @@ STRETCH = 1200
 BLOCK = 4000
 LEVEL = 6
 MARGIN = 0.002
-NARROW, ROTATIONS = 0.05, 8
+NARROW = 0.05
+CONTEXTS, FINE_LEVEL = 8, 12
 UNKNOWN = "und"
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -38,9 +39,10 @@ class LanguageModel:
 
     dictionaries: dict[str, bytes]
     _compressors: list = field(default_factory=list, repr=False)
+    _fine: list = field(default_factory=list, repr=False)
 
     def __getstate__(self):
-        return {"dictionaries": self.dictionaries, "_compressors": []}
+        return {"dictionaries": self.dictionaries, "_compressors": [], "_fine": []}
 
     def compressors(self) -> list:
         if not self._compressors:
@@ -58,15 +60,29 @@ class LanguageModel:
         blocks = [raw[i:i + BLOCK] for i in range(0, len(raw), BLOCK)]
         return [sum(len(c.compress(b)) for b in blocks) for c in self.compressors()]
 
+    def _contexts(self) -> list[list[tuple[bytes, int]]]:
+        """Per language a few stretches of its dictionary, each with its own compressed size."""
+        if not self._fine:
+            for raw in self.dictionaries.values():
+                stretches = [raw[len(raw) * k // CONTEXTS:][:BLOCK] for k in range(CONTEXTS)]
+                self._fine.append([(s, len(self._plain().compress(s))) for s in stretches])
+        return self._fine
+
+    @staticmethod
+    def _plain():
+        import zstandard
+
+        return zstandard.ZstdCompressor(level=FINE_LEVEL, write_content_size=False, write_checksum=False)
+
     def ranked(self, raw: bytes) -> list[tuple[int, str]]:
-        """Languages by size. Where a text of one block is nearly tied, the sizes of its rotations by words are added: they
-        tell differences below one byte."""
+        """Languages by size. Where a text of one block is nearly tied, the bytes are added that it costs behind stretches of each
+        dictionary: there it shares their entropy codes, which tells a text too short to be compressed by itself."""
         sizes = self.sizes(raw)
         best = sorted(sizes)[:2]
-        words = raw.split()
-        if len(best) == 2 and best[1] - best[0] <= NARROW * best[0] and len(raw) <= BLOCK and len(words) > 1:
-            for turn in sorted({k * len(words) // ROTATIONS for k in range(1, ROTATIONS)} - {0}):
-                sizes = [a + b for a, b in zip(sizes, self.sizes(b" ".join(words[turn:] + words[:turn])))]
+        if len(best) == 2 and best[1] - best[0] <= NARROW * best[0] and len(raw) <= BLOCK:
+            plain = self._plain()
+            more = [sum(len(plain.compress(s + b" " + raw)) - own for s, own in stretches) for stretches in self._contexts()]
+            sizes = [a + b for a, b in zip(sizes, more)]
         return sorted(zip(sizes, self.dictionaries))
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
