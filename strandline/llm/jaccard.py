@@ -27,6 +27,7 @@ from strandline.session import stage
 
 SIMILARITY, RECALL, ROWS = 0.8, 0.9995, 7
 CELL = 32  # classes of a cell, about
+SALTS = 16
 COLUMNS = 65_536  # shingles compared at a time within a tile
 
 
@@ -76,7 +77,11 @@ def _tiles(classes: DataFrame, similarity: float) -> DataFrame:
     counts = dealt.groupBy("root", "b1").agg(F.ceil(F.count("*") / F.lit(CELL)).cast("int").alias("cells"))
     after = counts.select("root", (F.col("b1") - 1).alias("b1"), F.col("cells").alias("above"))
     below = counts.select("root", (F.col("b1") + 1).alias("b1"), F.col("cells").alias("under"))
-    dealt = (dealt.join(counts.join(after, ["root", "b1"], "left").join(below, ["root", "b1"], "left"), ["root", "b1"])
+    # Salted: a group's rows meet its counts in SALTS places, not in one.
+    counts = (counts.join(after, ["root", "b1"], "left").join(below, ["root", "b1"], "left")
+              .withColumn("salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})"))))
+    dealt = (dealt.withColumn("salt", F.expr(f"pmod(xxhash64(class, 7), {SALTS})").cast("int"))
+             .join(counts, ["root", "b1", "salt"])
              .withColumn("i", F.expr("pmod(xxhash64(class), cells)").cast("int")))
     tile = "named_struct('b1', {}, 'i1', {}, 'b2', {}, 'i2', {})"
     return dealt.withColumn("tile", F.explode(F.expr(
