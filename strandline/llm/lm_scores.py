@@ -10,6 +10,7 @@ probability) / (the first word's count + STRENGTH); the word's is add-one smooth
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from strandline.llm.memories import held
 from strandline.llm.packing import spans
 from strandline.session import stage
 
@@ -29,12 +31,20 @@ WORD_SHARE, SHAPE_SHARE, PAIR_SHARE = 2e-5, 2e-5, 3e-6
 STRENGTH = 8.0
 STRETCH = 2_000_000  # characters worked on together
 HELD = 400_000  # keys a counting task holds before it passes them on
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
+BROADCAST_IDS = 8_000_000  # most target ids that are sent to the tasks (about 128 MB); more are joined by a shuffle
 START, UNKNOWN = 0, 1
 _UPPER, _LOWER, _DIGIT = regex.compile(r"\p{Lu}+"), regex.compile(r"\p{Ll}+"), regex.compile(r"\p{N}+")
 
 
 def shape(word: str) -> str:
+    """Runs of upper-case letters, lower-case letters and digits as one A, a and 0; other characters stay."""
+    body, mark = (word, "") if word[-1:].isalnum() else (word[:-1], word[-1:])
+    if body.isalpha():  # most words; letters of no case count as lower case here
+        if body.islower():
+            return "a" + mark
+        if body.istitle() and len(body) > 1:
+            return "Aa" + mark
     return _DIGIT.sub("0", _LOWER.sub("a", _UPPER.sub("A", word)))
 
 
@@ -44,10 +54,7 @@ class Vocabulary:
 
     words: dict[str, int]
     shapes: dict[str, int]
-    _known: dict[str, int] = field(default_factory=dict, repr=False)
-
-    def __getstate__(self):
-        return {"words": self.words, "shapes": self.shapes, "_known": {}}
+    name: str = field(default_factory=lambda: uuid.uuid4().hex, repr=False)  # tells vocabularies apart in a worker's memory
 
     def __len__(self) -> int:
         return 2 + len(self.words) + len(self.shapes)
@@ -55,7 +62,7 @@ class Vocabulary:
     def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all tokens of the texts in one array, and the number of tokens of each text."""
         split = [t.split() for t in texts]
-        known = self._known
+        known = held(("words", self.name), dict)
         new = set(chain.from_iterable(split)).difference(known)
         if len(known) + len(new) > CACHE_WORDS:
             known.clear()
@@ -83,26 +90,17 @@ def _whole(texts) -> Iterator[tuple[slice, list[str]]]:
 
 
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Word and shape counts of a partition's rows, passed on whenever HELD keys are held."""
-    seen, aimed = Counter(), Counter()
+    """Word counts of a partition's rows, passed on whenever HELD words are held."""
+    seen: Counter = Counter()
 
     def out() -> pd.DataFrame:
-        shapes, aimed_shapes = Counter(), Counter()
-        for w, c in seen.items():
-            shapes[shape(w)] += c
-        for w, c in aimed.items():
-            aimed_shapes[shape(w)] += c
-        rows = [(False, w, c, aimed.get(w, 0)) for w, c in seen.items()] + [
-            (True, s, c, aimed_shapes.get(s, 0)) for s, c in shapes.items()]
-        seen.clear(), aimed.clear()
-        return pd.DataFrame(rows, columns=["shape", "token", "n", "n_target"])
+        frame = pd.DataFrame({"token": list(seen), "n": np.fromiter(seen.values(), np.int64, len(seen))})
+        seen.clear()
+        return frame
 
     for batch in batches:
-        for text, target in zip(batch["text"], batch["target"]):
-            words = (text or "").split()
-            seen.update(words)
-            if target:
-                aimed.update(words)
+        for text in batch["text"]:
+            seen.update((text or "").split())
             if len(seen) > HELD:
                 yield out()
     if seen:
@@ -175,16 +173,18 @@ def fit(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str =
     aimed = target.select(F.col(doc_id).cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct().withColumn(
         "target", F.lit(True))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    marked = stage(rows.join(aimed, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target")), "marked")
-
-    tokens = stage(marked.mapInPandas(_count_words, "shape boolean, token string, n long, n_target long")
-                   .groupBy("shape", "token").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")), "tokens")
-    total = tokens.where("NOT shape").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    common = tokens.where(F.col("n") >= F.when(F.col("shape"), F.lit(SHAPE_SHARE * total)).otherwise(F.lit(WORD_SHARE * total)))
+    few = aimed.count() <= BROADCAST_IDS
+    marked = rows.join(F.broadcast(aimed) if few else aimed, "doc_id", "left").select(
+        "text", F.coalesce("target", F.lit(False)).alias("target"))
+    shapes_of = pandas_udf(lambda words: words.map(shape), "string")
+
+    tokens = stage(rows.select("text").mapInPandas(_count_words, "token string, n long").groupBy("token").agg(
+        F.sum("n").alias("n")), "tokens")
+    total = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     # At most 1/WORD_SHARE words and 1/SHAPE_SHARE shapes can pass.
-    kept = sorted((r["shape"], r["token"]) for r in common.select("shape", "token").collect())
-    words = [t for is_shape, t in kept if not is_shape]
-    shapes = [t for is_shape, t in kept if is_shape]
+    words = sorted(r["token"] for r in tokens.where(F.col("n") >= F.lit(WORD_SHARE * total)).select("token").collect())
+    folded = tokens.groupBy(shapes_of("token").alias("token")).agg(F.sum("n").alias("n"))
+    shapes = sorted(r["token"] for r in folded.where(F.col("n") >= F.lit(SHAPE_SHARE * total)).select("token").collect())
     vocabulary = Vocabulary({w: i + 2 for i, w in enumerate(words)}, {s: i + 2 + len(words) for i, s in enumerate(shapes)})
     size = len(vocabulary)
 
