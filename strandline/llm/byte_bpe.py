@@ -15,6 +15,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,9 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from strandline.llm.memories import held
 from strandline.llm.packing import spans
 
-CACHE_UNITS, CACHE_MATCHES = 700_000, 300_000
+CACHE_UNITS, CACHE_MATCHES = 350_000, 250_000  # units are held twice at most: the present and the aged memory
 STRETCH = 1_000_000  # characters encoded together
 WIDEST = 64  # bytes of a match that is merged together with others
 NONE = 1 << 60
@@ -162,7 +164,8 @@ class PairRanks:
 
 
 class ByteBpe:
-    """Encoder and decoder over one rank file; memories are bounded, a full one starts afresh."""
+    """Encoder and decoder over one rank file; memories are bounded: a full one is set aside and
+    a new one takes from it what is met again."""
 
     def __init__(self, path: str, pattern: str):
         import regex
@@ -173,7 +176,8 @@ class ByteBpe:
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]")
                                      .replace(r"\S", f"[^{SPACE}]"))
         self.units: dict[str, str] = {}  # unit: its ids, written as decimals with commas
-        self.matches: dict[str, str] = {}
+        self.aged: tuple[dict[str, str], dict[str, bytes]] = {}, {}  # the memory before the present one
+        self.matches: dict[str, tuple[str, bytes]] = {}  # match: its ids so written, their bytes
         self.raw: dict[str, bytes] = {}  # ids of a unit: their bytes
 
     def encode(self, text: str) -> list[int]:
@@ -182,8 +186,15 @@ class ByteBpe:
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join([self.tokens[i] for i in ids])
 
+    def _split(self, unit: str) -> list[str]:
+        """Matches of a unit. Letters with a space before or a plain mark after are told without the pattern."""
+        body, mark = (unit[:-1], unit[-1]) if unit[-1] in ".,;:!?" else (unit, "")
+        if body.isalpha() or body[:1] == " " and body[1:].isalpha():
+            return [body, mark] if mark else [body]
+        return self.pattern.findall(unit)
+
     def _learn(self, units: list[str]) -> None:
-        split = list(map(self.pattern.findall, units))
+        split = list(map(self._split, units))
         known = self.matches
         new = list({m for matches in split for m in matches if m not in known})
         if len(known) + len(new) > CACHE_MATCHES:
@@ -194,39 +205,45 @@ class ByteBpe:
         open_ = [i for i, x in enumerate(ids) if not x]
         for i, merged in zip(open_, self.pairs.merge_many([raw[i] for i in open_])):
             ids[i] = merged
-        known.update(zip(new, [str(x)[1:-1].replace(" ", "") for x in ids]))
+        known.update((m, (str(x)[1:-1].replace(" ", ""), self.decode(x))) for m, x in zip(new, ids))
+        units_, raw_ = self.units, self.raw
         for unit, matches in zip(units, split):
-            self.units[unit] = written = ",".join([known[m] for m in matches])
-            if written not in self.raw:
-                self.raw[written] = self.decode(map(int, written.split(",")))
+            if len(matches) == 1:
+                written, decoded = known[matches[0]]
+            else:
+                parts = [known[m] for m in matches]
+                written, decoded = ",".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
+            units_[unit], raw_[written] = written, decoded
 
     def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """Per text: number of ids, SHA-256 of the decimal ids joined by commas, SHA-256 of the decoded bytes."""
         split = list(map(_UNITS.findall, texts))
-        found = [list(map(self.units.get, units)) for units in split]
-        missing = {u for units, known in zip(split, found) if None in known for u, k in zip(units, known) if k is None}
-        if missing:
-            if len(self.units) + len(missing) > CACHE_UNITS:
-                self.units, self.raw = {}, {}
-                missing = {u for units in split for u in units}
-            self._learn(list(missing))
+        wanted = set(chain.from_iterable(split))
+        missing = wanted.difference(self.units)
+        if len(self.units) + len(missing) > CACHE_UNITS:
+            self.aged, self.units = (self.units, self.raw), {}
+            self.raw, missing = {}, wanted
+        units_, raw_ = self.aged
+        new = []
+        for unit in missing:
+            written = units_.get(unit)
+            if written is None:
+                new.append(unit)
+            else:
+                self.units[unit], self.raw[written] = written, raw_[written]
+        if new:
+            self._learn(new)
         out = []
-        for units, known in zip(split, found):
-            parts = list(map(self.units.__getitem__, units)) if None in known else known
+        for units in split:
+            parts = list(map(self.units.__getitem__, units))
             ids = ",".join(parts)
             out.append((ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(),
                         hashlib.sha256(b"".join(map(self.raw.__getitem__, parts))).hexdigest()))
         return out
 
 
-_coders: dict[tuple[str, str], ByteBpe] = {}
-
-
 def coder(path: str, pattern: str) -> ByteBpe:
-    key = path, pattern
-    if key not in _coders:
-        _coders[key] = ByteBpe(path, pattern)
-    return _coders[key]
+    return held(("bytes", path, pattern), lambda: ByteBpe(path, pattern))
 
 
 def encode_column(text, path: str, pattern: str):
