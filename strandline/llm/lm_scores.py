@@ -1,17 +1,19 @@
 """Cross-entropy difference: how much more a text looks like a target corpus than like the background.
 
-Two bigram models of one form are counted in the same passes: the target from the rows marked so, the background from all
-rows. They share one vocabulary, in which a word is itself if its share of all tokens reaches WORD_SHARE, else its shape (runs of
-upper case, lower case and digits folded), if that reaches SHAPE_SHARE, else one unknown word; and they share the pairs of
-share PAIR_SHARE or more. These are thresholds on shares of the whole corpus, so at most 1/share entries pass at any size of
-it: that bounds what is broadcast. Counts cover every document. A pair's probability is (its count + STRENGTH times the word's
-probability) / (the first word's count + STRENGTH); the word's is add-one smoothed.
+Two bigram models of one form are counted in the same pass: the target from the rows marked so, the background from all rows.
+Every word is itself and every pair is kept, however rare; a word that was never counted has its shape's place (runs of upper
+case, lower case and digits folded) or the unknown word's, whose counts are zero. A pair's probability is (its count + STRENGTH
+times the word's probability) / (the first word's count + STRENGTH); the word's is add-one smoothed over words, shapes and two.
+
+Counts are Spark tables keyed by 64-bit hashes of the words (two of 100 million words share one with a chance of 3 in 10,000).
+Texts are scored by their pairs, counted per text: pairs of share PAIR_SHARE or more are looked up in a broadcast table (at most
+1/PAIR_SHARE), all others are joined to the counts; no such pair is frequent enough to make a task hot. Words of share
+WORD_SHARE or more are broadcast to the counts in the same way.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
@@ -19,21 +21,21 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from strandline.llm.memories import held
 from strandline.llm.packing import spans
+from strandline.llm.shingles import mix
 from strandline.session import stage
 
-WORD_SHARE, SHAPE_SHARE, PAIR_SHARE = 2e-5, 2e-5, 3e-6
+WORD_SHARE, PAIR_SHARE = 2e-5, 3e-6  # shares from which words and pairs are broadcast; rarer ones are joined
 STRENGTH = 8.0
 STRETCH = 2_000_000  # characters worked on together
 HELD = 400_000  # keys a counting task holds before it passes them on
 CACHE_WORDS = 1_000_000
 BROADCAST_IDS = 8_000_000  # most target ids that are sent to the tasks (about 128 MB); more are joined by a shuffle
-START, UNKNOWN = 0, 1
+START = 0
 _UPPER, _LOWER, _DIGIT = regex.compile(r"\p{Lu}+"), regex.compile(r"\p{Ll}+"), regex.compile(r"\p{N}+")
 
 
@@ -48,39 +50,39 @@ def shape(word: str) -> str:
     return _DIGIT.sub("0", _LOWER.sub("a", _UPPER.sub("A", word)))
 
 
-@dataclass
-class Vocabulary:
-    """Numbers of words and shapes; 0 stands before a text, 1 for everything else."""
-
-    words: dict[str, int]
-    shapes: dict[str, int]
-    name: str = field(default_factory=lambda: uuid.uuid4().hex, repr=False)  # tells vocabularies apart in a worker's memory
+class Hashes:
+    """64-bit hashes of words, remembered up to CACHE_WORDS; `shapes`, if given, gathers the shapes of the words met anew."""
 
-    def __len__(self) -> int:
-        return 2 + len(self.words) + len(self.shapes)
+    def __init__(self, known: dict[str, int] | None = None, shapes: set[str] | None = None):
+        self.known = {} if known is None else known
+        self.shapes = shapes
 
-    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of all tokens of the texts in one array, and the number of tokens of each text."""
+    def pairs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the words before all tokens (START at a text's first) and of the tokens, and the tokens of each text."""
         split = [t.split() for t in texts]
-        known = held(("words", self.name), dict)
-        new = set(chain.from_iterable(split)).difference(known)
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
+        new = set(chain.from_iterable(split)).difference(self.known)
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.known.clear()
             new = set(chain.from_iterable(split))
-        for w in new:
-            at = self.words.get(w)
-            known[w] = self.shapes.get(shape(w), UNKNOWN) if at is None else at
+        if new:
+            words = list(new)
+            self.known.update(zip(words, hashed(words).tolist()))
+            if self.shapes is not None:
+                self.shapes.update(map(shape, words))
         counts = np.array([len(s) for s in split])
-        return np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum())), counts
+        words = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        before = np.empty_like(words)
+        before[1:] = words[:-1]
+        before[(np.cumsum(counts) - counts)[counts > 0]] = START
+        return before, words, counts
 
-    def pairs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pair keys (number before, number) of all tokens, the tokens' numbers, and the tokens of each text."""
-        numbers, counts = self.numbers(texts)
-        before = np.empty_like(numbers)
-        before[1:] = numbers[:-1]
-        starts = (np.cumsum(counts) - counts)[counts > 0]
-        before[starts] = START
-        return before * len(self) + numbers, numbers, counts
+
+def hashed(words: list[str]) -> np.ndarray:
+    return pd.util.hash_array(np.array(words, object), categorize=False).view(np.int64)
+
+
+def _key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(before.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + word.view(np.uint64))
 
 
 def _whole(texts) -> Iterator[tuple[slice, list[str]]]:
@@ -89,79 +91,84 @@ def _whole(texts) -> Iterator[tuple[slice, list[str]]]:
         yield at, whole[at]
 
 
-def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Word counts of a partition's rows, passed on whenever HELD words are held."""
-    seen: Counter = Counter()
-
-    def out() -> pd.DataFrame:
-        frame = pd.DataFrame({"token": list(seen), "n": np.fromiter(seen.values(), np.int64, len(seen))})
-        seen.clear()
-        return frame
-
-    for batch in batches:
-        for text in batch["text"]:
-            seen.update((text or "").split())
-            if len(seen) > HELD:
-                yield out()
-    if seen:
-        yield out()
-
+def _count_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of the pairs of a partition's rows, passed on whenever HELD are held; a row of n = 0 names a shape (as b)."""
+    shapes: set[str] = set()
+    words = Hashes(shapes=shapes)  # its own: what a task passes on must not depend on tasks before it
+    held: list[tuple[np.ndarray, ...]] = []
 
-def _pair_counter(vocabulary: Vocabulary):
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    def merged() -> tuple[np.ndarray, ...]:
+        a, b, n, aimed = (np.concatenate(x) for x in zip(*held))
+        _, first, at = np.unique(_key(a, b), return_index=True, return_inverse=True)
+        return a[first], b[first], np.bincount(at, n).astype(np.int64), np.bincount(at, aimed).astype(np.int64)
 
-        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            keys, n, aimed = (np.concatenate(x) for x in zip(*held))
-            unique, at = np.unique(keys, return_inverse=True)
-            return (unique, np.bincount(at, n, len(unique)).astype(np.int64), np.bincount(at, aimed, len(unique)).astype(np.int64))
+    def frame(part) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(("a", "b", "n", "n_target"), part)))
 
-        def frame(part) -> pd.DataFrame:
-            return pd.DataFrame(dict(zip(("pair", "n", "n_target"), part)))
+    def named() -> pd.DataFrame:
+        b = hashed(list(shapes))
+        shapes.clear()
+        return frame((b, b, np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)))
 
-        for batch in batches:
-            for at, texts in _whole(batch["text"]):
-                pairs, _, counts = vocabulary.pairs(texts)
-                aimed = np.repeat(batch["target"].to_numpy(bool)[at], counts)
-                held.append((pairs, np.ones(len(pairs), np.int64), aimed.astype(np.int64)))
-                if sum(len(k) for k, _, _ in held) > 4 * HELD:
-                    held = [merged()]
-                    if len(held[0][0]) > HELD:
-                        yield frame(held[0])
-                        held = []
-        if held:
-            yield frame(merged())
-
-    return count
+    for batch in batches:
+        for at, texts in _whole(batch["text"]):
+            a, b, counts = words.pairs(texts)
+            aimed = np.repeat(batch["target"].to_numpy(bool)[at], counts)
+            held.append((a, b, np.ones(len(a), np.int64), aimed.astype(np.int64)))
+            if sum(len(h[0]) for h in held) > 4 * HELD:
+                held = [merged()]
+                if len(held[0][0]) > HELD:
+                    yield frame(held[0])
+                    held = []
+            if len(shapes) > HELD:
+                yield named()
+    if held and sum(len(h[0]) for h in held):
+        yield frame(merged())
+    if shapes:
+        yield named()
 
 
 @dataclass
 class DifferenceModel:
-    """Both models over one vocabulary. Arrays are by word number, or by the sorted pair keys kept; row 0 is the target."""
-
-    vocabulary: Vocabulary
-    word_p: np.ndarray  # model, word
-    before_n: np.ndarray  # model, word: how often something follows it
-    pairs: np.ndarray
-    pair_n: np.ndarray  # model, pair
-
-    def losses(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Mean loss per token (nats) of each text under both models; 0 for a text without tokens. And the token counts."""
-        keys, numbers, counts = self.vocabulary.pairs(texts)
-        out = np.zeros((2, len(texts)))
-        if not len(keys):
-            return out, counts
-        at = np.searchsorted(self.pairs, keys)
-        at[at == len(self.pairs)] = 0
-        met = self.pairs[at] == keys if len(self.pairs) else np.zeros(len(keys), bool)
-        before = keys // len(self.vocabulary)
-        some = counts > 0
-        starts = (np.cumsum(counts) - counts)[some]
-        for m in range(2):
-            n = np.where(met, self.pair_n[m][at], 0) if len(self.pairs) else 0
-            p = (n + STRENGTH * self.word_p[m][numbers]) / (self.before_n[m][before] + STRENGTH)
-            out[m, some] = np.add.reduceat(-np.log(p), starts) / counts[some]
-        return out, counts
+    """Both models. `counts` (a, b, n, n_target) has every pair, `words` (w, n, n_target, n_before, n_target_before) every word;
+    `often_*` are the frequent pairs, sorted by key, with their losses (row 0: the target)."""
+
+    counts: DataFrame
+    words: DataFrame
+    total: int
+    total_target: int
+    size: int
+    often_key: np.ndarray
+    often_a: np.ndarray
+    often_b: np.ndarray
+    often_loss: np.ndarray
+    name: str = field(default_factory=lambda: uuid.uuid4().hex, repr=False)  # tells models apart in a worker's memory
+
+    def losses(self, n: str = "n", n_target: str = "n_target") -> list[Column]:
+        """Losses of a pair from its counts and its words' (columns w_n, w_n_target, before_n, before_n_target; null is 0)."""
+        out = []
+        for pair, word, before, total, name in ((n_target, "w_n_target", "before_n_target", self.total_target, "target_loss"),
+                                                (n, "w_n", "before_n", self.total, "background_loss")):
+            count = [F.coalesce(F.col(c), F.lit(0)) for c in (pair, word, before)]
+            word_p = (count[1] + 1) / F.lit(float(total + self.size))
+            out.append((-F.ln((count[0] + STRENGTH * word_p) / (count[2] + STRENGTH))).alias(name))
+        return out
+
+    def with_words(self, pairs: DataFrame) -> DataFrame:
+        """`pairs` (a, b, ...) with the counts of their words. Frequent words are broadcast; rows that have them are spread by
+        a key that meets no word, so that none of them makes a task of the join hot."""
+        often = (F.col("n") >= F.lit(WORD_SHARE * self.total)) | (F.col("n_before") >= F.lit(WORD_SHARE * self.total))
+        for side, columns in (("a", {"n_before": "before_n", "n_target_before": "before_n_target"}),
+                              ("b", {"n": "w_n", "n_target": "w_n_target"})):
+            # At most 2/WORD_SHARE words are frequent.
+            near = self.words.where(often).select(F.col("w").alias("near"), *[F.col(c).alias(f"near_{c}") for c in columns])
+            far = self.words.where(~often).select(F.col("w").alias("far"), *[F.col(c).alias(f"far_{c}") for c in columns])
+            pairs = pairs.join(F.broadcast(near), F.col(side) == F.col("near"), "left").withColumn(
+                "spread", F.when(F.col("near").isNull(), F.col(side)).otherwise(F.xxhash64("a", "b")))
+            pairs = pairs.join(far, F.col("spread") == F.col("far"), "left").select(
+                *[c for c in pairs.columns if c not in ("near", "spread") and not c.startswith("near_")],
+                *[F.coalesce(f"near_{c}", f"far_{c}").alias(to) for c, to in columns.items()])
+        return pairs
 
 
 def fit(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DifferenceModel:
@@ -176,29 +183,56 @@ def fit(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str =
     few = aimed.count() <= BROADCAST_IDS
     marked = rows.join(F.broadcast(aimed) if few else aimed, "doc_id", "left").select(
         "text", F.coalesce("target", F.lit(False)).alias("target"))
-    shapes_of = pandas_udf(lambda words: words.map(shape), "string")
-
-    tokens = stage(rows.select("text").mapInPandas(_count_words, "token string, n long").groupBy("token").agg(
-        F.sum("n").alias("n")), "tokens")
-    total = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    # At most 1/WORD_SHARE words and 1/SHAPE_SHARE shapes can pass.
-    words = sorted(r["token"] for r in tokens.where(F.col("n") >= F.lit(WORD_SHARE * total)).select("token").collect())
-    folded = tokens.groupBy(shapes_of("token").alias("token")).agg(F.sum("n").alias("n"))
-    shapes = sorted(r["token"] for r in folded.where(F.col("n") >= F.lit(SHAPE_SHARE * total)).select("token").collect())
-    vocabulary = Vocabulary({w: i + 2 for i, w in enumerate(words)}, {s: i + 2 + len(words) for i, s in enumerate(shapes)})
-    size = len(vocabulary)
-
-    counted = stage(marked.mapInPandas(_pair_counter(vocabulary), "pair long, n long, n_target long")
-                    .groupBy("pair").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")), "pairs")
-    word_n, before_n = np.zeros((2, size)), np.zeros((2, size))
-    for by, into in ((F.col("pair") % size, word_n), (F.floor(F.col("pair") / F.lit(size)), before_n)):
-        for r in counted.groupBy(by.cast("long").alias("w")).agg(F.sum("n_target").alias("t"), F.sum("n").alias("b")).collect():
-            into[0, r["w"]], into[1, r["w"]] = r["t"], r["b"]
+    counted = stage(marked.mapInPandas(_count_pairs, "a long, b long, n long, n_target long")
+                    .groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")), "pairs")
+    counts = counted.where("n > 0")
+    sides = [counts.groupBy(F.col(side).alias("w")).agg(*[
+        (F.sum(c) if side == of else F.lit(0).cast("long")).alias(c + ("_before" if of == "a" else ""))
+        for of in "ba" for c in ("n", "n_target")]) for side in "ba"]
+    words = stage(sides[0].unionByName(sides[1]).groupBy("w").agg(*[
+        F.sum(c).alias(c) for c in ("n", "n_target", "n_before", "n_target_before")]), "words")
+    whole = words.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "n_target")],
+                      F.count(F.when(F.col("n") > 0, 1)).alias("words")).first()
+    size = 2 + whole["words"] + counted.where("n = 0").count()
+    model = DifferenceModel(counts, words, whole["n"], whole["n_target"], size, *[np.empty(0)] * 4)
     # At most 1/PAIR_SHARE pairs can pass.
-    often = counted.where(F.col("n") >= F.lit(PAIR_SHARE * total)).orderBy("pair").toPandas()
-    word_p = (word_n + 1) / (word_n.sum(1, keepdims=True) + size)
-    return DifferenceModel(vocabulary, word_p, before_n, often["pair"].to_numpy(np.int64),
-                           np.stack([often["n_target"].to_numpy(np.float64), often["n"].to_numpy(np.float64)]))
+    often = model.with_words(counts.where(F.col("n") >= F.lit(PAIR_SHARE * model.total))).select("a", "b", *model.losses()).toPandas()
+    a, b = (often[c].to_numpy(np.int64) for c in "ab")
+    key = _key(a, b)
+    order = np.argsort(key)
+    model.often_key, model.often_a, model.often_b = key[order], a[order], b[order]
+    model.often_loss = np.stack([often[c].to_numpy(np.float64)[order] for c in ("target_loss", "background_loss")])
+    return model
+
+
+def _pair_scorer(shared, name: str):
+    """One line per text (b null) with its tokens and the losses of its frequent pairs, and one per other pair of a text."""
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        often_key, often_a, often_b, often_loss = shared.value
+        words = Hashes(held(("words", name), dict))
+        for batch in batches:
+            for at, texts in _whole(batch["text"]):
+                row, ids = batch["row"].to_numpy()[at], batch["doc_id"].iloc[at]
+                a, b, counts = words.pairs(texts)
+                key, of = _key(a, b), np.repeat(np.arange(len(texts)), counts)
+                place = np.searchsorted(often_key, key)
+                place[place == len(often_key)] = 0
+                met = ((often_a[place] == a) & (often_b[place] == b)) if len(often_key) else np.zeros(len(a), bool)
+                sums = [np.bincount(of[met], loss[place[met]], len(texts)) for loss in often_loss] if len(often_key) else [
+                    np.zeros(len(texts))] * 2
+                a, b, of = a[~met], b[~met], of[~met]
+                _, first, n = np.unique(mix(key[~met] + of.astype(np.uint64)), return_index=True, return_counts=True)
+                none = pd.array([pd.NA] * len(first), "Int64")
+                yield pd.concat([
+                    pd.DataFrame({"row": row, "doc_id": pd.array(ids, "Int64"), "n_tokens": pd.array(counts, "Int64"), "a": row,
+                                  "b": pd.array([pd.NA] * len(texts), "Int64"), "times": 1, "target_loss": sums[0],
+                                  "background_loss": sums[1]}),
+                    pd.DataFrame({"row": row[of[first]], "doc_id": none, "n_tokens": none, "a": a[first],
+                                  "b": pd.array(b[first], "Int64"), "times": n, "target_loss": 0.0, "background_loss": 0.0})],
+                    ignore_index=True)
+
+    return score
 
 
 def scored(docs: DataFrame, model: DifferenceModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -208,17 +242,26 @@ def scored(docs: DataFrame, model: DifferenceModel, doc_id: str = "doc_id", text
     Null, empty and blank texts have no tokens and all zeros. Null ids stay null, repeated rows are answered each, an empty
     table gives no rows, other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    @pandas_udf("n_tokens long, target_loss double, background_loss double")
-    def score(texts: pd.Series) -> pd.DataFrame:
-        parts = [shared.value.losses(part) for _, part in _whole(texts)]
-        if not parts:
-            return pd.DataFrame({"n_tokens": [], "target_loss": [], "background_loss": []})
-        losses = np.concatenate([p[0] for p in parts], axis=1)
-        return pd.DataFrame({"n_tokens": np.concatenate([p[1] for p in parts]), "target_loss": losses[0],
-                             "background_loss": losses[1]})
-
-    return (docs.select(F.col(doc_id).cast("long").alias("doc_id"), score(F.col(text).cast("string")).alias("s"))
-            .select("doc_id", "s.n_tokens", "s.target_loss", "s.background_loss",
-                    (F.col("s.target_loss") - F.col("s.background_loss")).alias("difference")))
+    shared = docs.sparkSession.sparkContext.broadcast((model.often_key, model.often_a, model.often_b, model.often_loss))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"),
+                       F.col(text).cast("string").alias("text"))
+    lines = rows.mapInPandas(_pair_scorer(shared, model.name), "row long, doc_id long, n_tokens long, a long, b long, times long, "
+                                                               "target_loss double, background_loss double")
+    rest = model.counts.where(F.col("n") < F.lit(PAIR_SHARE * model.total))
+    known = model.with_words(rest).select("a", "b", *[c.alias(f"pair_{i}") for i, c in enumerate(model.losses())])
+    losses = ("target_loss", "background_loss")
+    # A pair that was never counted is kept aside with its text: at most the text's tokens.
+    by_text = stage(lines.join(known, ["a", "b"], "left").groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"),
+        *[F.sum(F.col(c) + F.coalesce(F.col("times") * F.col(f"pair_{i}"), F.lit(0.0))).alias(c) for i, c in enumerate(losses)],
+        F.collect_list(F.when(F.col("b").isNotNull() & F.col("pair_0").isNull(), F.struct("a", "b", "times"))).alias("unmet")),
+        "losses")
+    if by_text.where(F.size("unmet") > 0).limit(1).count():
+        unmet = model.with_words(by_text.select("row", F.explode("unmet").alias("u")).select(
+            "row", "u.*", F.lit(0).alias("n"), F.lit(0).alias("n_target")))
+        more = unmet.select("row", "times", *model.losses()).groupBy("row").agg(
+            *[F.sum(F.col("times") * F.col(c)).alias(f"more_{c}") for c in losses])
+        by_text = by_text.join(more, "row", "left").select("doc_id", "n_tokens", *[
+            (F.col(c) + F.coalesce(f"more_{c}", F.lit(0.0))).alias(c) for c in losses])
+    return (by_text.select("doc_id", "n_tokens", *[(F.col(c) / F.greatest("n_tokens", F.lit(1))).alias(c) for c in losses])
+            .withColumn("difference", F.col("target_loss") - F.col("background_loss")))

@@ -129,3 +129,34 @@ def test_difference_against_plain_counts(spark, odd_documents):
     assert odd.count() == odd_documents.count()
     empty = docs.limit(0)
     assert lm_scores.scored(empty, lm_scores.fit(empty, target)).count() == 0
+
+
+def test_difference_keeps_rare_and_target_only_pairs(spark, monkeypatch):
+    """Shares so high that most words and pairs are none of the broadcast ones; texts of the fit and texts it never saw."""
+    monkeypatch.setattr(lm_scores, "WORD_SHARE", 0.02)
+    monkeypatch.setattr(lm_scores, "PAIR_SHARE", 0.004)
+    rows = [(i, prose("en" if i % 4 else "de", 40, i) + (f" rare{i} Only{i}x tail" if i % 2 else f" good{i} only pair")) for i in range(60)]
+    good, new = {i for i in range(0, 60, 4)}, [(100, "the rare1 unseen tail of"), (101, "never Met"), (102, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = lm_scores.fit(docs, spark.createDataFrame([(i,) for i in good], "doc_id long"))
+    assert 0 < len(model.often_key) < model.counts.count() / 4
+    words = {w for _, t in rows for w in t.split()}
+    size, k = 2 + len(words) + len({lm_scores.shape(w) for w in words}), lm_scores.STRENGTH
+    got = {r["doc_id"]: r for r in lm_scores.scored(docs.union(spark.createDataFrame(new, docs.schema)), model).collect()}
+    assert len(got) == 63 and got[102]["n_tokens"] == got[102]["difference"] == 0
+    for column, chosen in (("target_loss", good), ("background_loss", set(range(60)))):
+        uni, bi, ctx = Counter(), Counter(), Counter()
+        for i, t in rows:
+            if i in chosen:
+                for a, b in zip(["", *t.split()], t.split()):
+                    uni[b], bi[a, b], ctx[a] = uni[b] + 1, bi[a, b] + 1, ctx[a] + 1
+        n = sum(uni.values())
+
+        def p(a, b):
+            return (bi[a, b] + k * (uni[b] + 1) / (n + size)) / (ctx[a] + k)
+
+        some = next(iter(words))
+        assert abs(sum(p(some, b) for b in words) + (size - len(words)) * p(some, "-") - 1) < 1e-9
+        for i, t in rows + new[:2]:
+            want = np.mean([-math.log(p(a, b)) for a, b in zip(["", *t.split()], t.split())])
+            assert abs(got[i][column] - want) < 1e-9, (i, column)
