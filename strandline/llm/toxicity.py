@@ -2,7 +2,7 @@
 
 `fit` takes a bounded sample of labelled documents. A token of a toxic document is a toxic token if one of its features (the
 word, its first four or five characters) is found in toxic documents so much more often than in clean ones that chance is
-ruled out (Chernoff bound over all features of the sample); every other token is clean. These labelled tokens train a chain
+ruled out (Chernoff bound over all features of the sample); every other token is clean. All the sample's tokens train a chain
 of two states: a weight per feature, per transition and per start, by gradient steps on the chain's likelihood.
 
 `spans_column` gives per text the score (the greatest marginal of the toxic state over its tokens, 0 without tokens) and the
@@ -29,7 +29,7 @@ from strandline.llm.packing import spans
 from strandline.llm.shingles import mix, shingle_set
 
 SAMPLE = {1: 800, 0: 2400}  # most labelled documents of a class that a fit sees
-CHAINS = 300  # most documents of a class among them that train the chain
+CHUNK = 200_000  # tokens whose chains a training step holds at once
 STRETCH = 2_000_000  # characters scored together
 CACHE_WORDS = 500_000
 PURE = 0.95  # least share of toxic documents among those that have a feature tied to them
@@ -200,7 +200,6 @@ def train(docs: list[tuple[list[str], int]], rounds: int = 30, ridge: float = 1e
     """Chain weights from documents (lower-case words, toxic or not); without both classes every token is clean."""
     docs = [(w, y) for w, y in without_copies(docs) if w]
     tied = token_rule(docs)
-    docs = [d for y in (1, 0) for d in [d for d in docs if d[1] == y][:CHAINS]]
     if not tied or not docs:
         return ToxicityModel({}, -12.0, np.zeros((2, 2)), 0.0)
     words = sorted({w for ws, _ in docs for w in ws})
@@ -212,25 +211,30 @@ def train(docs: list[tuple[list[str], int]], rounds: int = 30, ridge: float = 1e
         for f in features(w):
             owner.append(i), name.append(names.setdefault(f, len(names)))
     owner, name = np.array(owner), np.array(name)
-    stream = np.array([number[w] for ws, _ in docs for w in ws])
-    lengths = np.array([len(ws) for ws, _ in docs])
-    starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    toxic = np.repeat(np.array([y for _, y in docs], bool), lengths)
-    gold = (bad[stream] & toxic).astype(np.float64)
-    inner = np.ones(len(stream), bool)
-    inner[starts] = False
-    pairs = np.zeros((2, 2))
-    np.add.at(pairs, (gold[:-1].astype(int)[inner[1:]], gold[1:].astype(int)[inner[1:]]), 1)
+    parts, pairs = [], np.zeros((2, 2))
+    for at in spans([len(ws) for ws, _ in docs], CHUNK):
+        stream = np.array([number[w] for ws, _ in docs[at] for w in ws])
+        lengths = np.array([len(ws) for ws, _ in docs[at]])
+        starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+        gold = (bad[stream] & np.repeat(np.array([y for _, y in docs[at]], bool), lengths)).astype(np.float64)
+        inner = np.ones(len(stream), bool)
+        inner[starts] = False
+        np.add.at(pairs, (gold[:-1].astype(int)[inner[1:]], gold[1:].astype(int)[inner[1:]]), 1)
+        parts.append((stream, starts, gold))
 
     theta, bias, move, first = np.zeros(len(names)), -3.0, np.zeros((2, 2)), 0.0
     step = [np.full(len(names), 0.5), np.full(1, 0.5), np.full((2, 2), 0.1), np.full(1, 0.1)]
     before = [np.zeros_like(s) for s in step]
     for _ in range(rounds):
         word_score = bias + np.bincount(owner, theta[name], len(words))
-        marginal, pair = chain_marginals(word_score[stream], starts, move, first, pairs=True)
-        miss = np.bincount(stream, gold - marginal, len(words))
+        miss, at_start, pair = np.zeros(len(words)), 0.0, np.zeros((2, 2))
+        for stream, starts, gold in parts:
+            marginal, met = chain_marginals(word_score[stream], starts, move, first, pairs=True)
+            miss += np.bincount(stream, gold - marginal, len(words))
+            at_start += (gold - marginal)[starts].sum()
+            pair += met
         slopes = [np.bincount(name, miss[owner], len(names)) - ridge * len(docs) * theta,
-                  np.array([miss.sum()]), pairs - pair, np.array([(gold - marginal)[starts].sum()])]
+                  np.array([miss.sum()]), pairs - pair, np.array([at_start])]
         # Resilient steps: each weight's own step grows while its slope keeps its sign.
         moves = []
         for s, old, new in zip(step, before, slopes):
@@ -248,7 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         sample: dict[int, int] | None = None) -> ToxicityModel:
     """Model from a bounded sample of the labelled rows (`sample`: most rows by class, the smallest hashes of their ids).
 
-    Rows with null id, text or label teach nothing.
+    All of them, without near copies, train the chain. Rows with null id, text or label teach nothing.
     """
     sample = sample or SAMPLE
     wanted = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(

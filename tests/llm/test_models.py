@@ -97,6 +97,18 @@ def test_toxic_spans_and_scores(spark, toxic_rows, odd_documents):
     assert all(r["predicted"] == 0 for r in toxicity.scored(docs, clean).collect())
 
 
+def test_toxic_words_of_late_texts_train_the_chain():
+    """Toxic documents that sort first would fill any place given by text order; the words of the last ones count as well."""
+    docs = [([f"aa{i}", *prose("en", 30, i).split(), "grobjan"], 1) for i in range(400)]
+    docs += [([f"zz{i}", *prose("de", 30, i).split(), "scumble"], 1) for i in range(60)]
+    docs += [([f"mm{i}", *prose(["en", "de"][i % 2], 30, 1000 + i).split()], 0) for i in range(900)]
+    model = toxicity.train(sorted(docs))
+    for word in ("grobjan", "scumble"):
+        score, spans = model.score([f"the river {word} walking"], toxicity.THRESHOLD)[0]
+        assert score >= toxicity.THRESHOLD and [s[:2] for s in spans] == [(10, 17)], word
+    assert model.score(["the river green walking"], toxicity.THRESHOLD)[0][1] == []
+
+
 def test_difference_against_plain_counts(spark, odd_documents):
     rows = [(i, prose("en" if i % 3 else "de", 50, i)) for i in range(60)] + [(60, None), (61, ""), (None, "the the"), (3, prose("en", 50, 3))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
