@@ -183,3 +183,41 @@ def test_licence_scan_of_planted_and_odd_texts(spark, odd_documents):
     odd = licences.scan(odd_documents)
     assert odd.count() == odd_documents.count() and odd.where("licence IS NOT NULL").count() == 0
     assert licences.scan(odd_documents.limit(0)).count() == 0
+
+
+def test_nearest_neighbours_of_many_copies(spark, monkeypatch):
+    """A third of the rows are equal, another third ties with them: no meeting holds more than a chunk's classes, ids break ties."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(neighbours, "CHUNK", 16)
+    x = vectors(600)
+    x[200:400] = x[7]
+    x[400:] = np.round(x[400:]) + 0.0
+    x[400:, 0] += 9
+    placed, clustered = [], neighbours.clustered
+    monkeypatch.setattr(neighbours, "clustered", lambda df, *keys: placed.append((df, keys)) or clustered(df, *keys))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(None, x[7].tolist())]
+    out = neighbours.nearest(frame(spark, rows), 20, (F.col("vec_id") % 20 == 0) | F.col("vec_id").between(200, 260)).toPandas()
+    [(meetings, keys)] = placed
+    assert meetings.groupBy(*keys, "query").count().agg(F.max("count")).first()[0] <= 4 * neighbours.CHUNK
+    queries = sorted({*range(0, 600, 20), *range(200, 261)})
+    assert sorted(out["query_id"].unique().tolist()) == queries and len(out) == 20 * len(queries)
+    ids = np.arange(601)
+    whole, hit = np.vstack([x, x[7:8]]), 0
+    for q in queries:
+        score = (whole * x[q]).sum(1)
+        score[q] = -np.inf
+        want = np.lexsort((np.where(ids == 600, -1, ids), -score))[:20]
+        found = out[out["query_id"] == q].sort_values("rank")
+        got = [600 if np.isnan(v) else int(v) for v in found["vec_id"].astype(float)]
+        assert q not in got and len(set(got)) == 20
+        hit += len(set(got) & set(want.tolist()))
+        if 200 <= q < 400:  # copies that are in the list are those of the least ids, in order
+            copies = [i for i in got if (whole[i] == x[7]).all()]
+            assert copies == [i for i in [600, 7, *range(200, 400)] if i != q][:len(copies)]
+    assert hit / (20 * len(queries)) >= 0.9
+
+
+def test_blocks_without_rows_are_stepped_over():
+    inside, to = neighbours._steps(np.array([0, 40, 63]), np.array([0, 41, 63]), -1)
+    assert inside.tolist() == [False, True, True] and to.tolist() == [40, 40]
