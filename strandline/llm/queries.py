@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import byte_bpe, cap_filters, html_text, jaccard, language, licences, lm_scores, neighbours, packing, toxicity
+from strandline.llm import byte_bpe, cap_filters, html_text, jaccard, language, licences, lm_scores, neighbours, packing, piece_bpe, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -95,3 +96,8 @@ def cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     good = table(spark, sf_dir, "labels").where("quality = 1")
     return lm_scores.scored(docs, lm_scores.fit(docs, good))
+
+
+@query("op11_piece_bpe")
+def piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.digests(table(spark, sf_dir, "documents"), PIECES)
