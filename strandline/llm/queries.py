@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import byte_bpe, cap_filters, html_text, jaccard, language, licences, lm_scores, neighbours, packing, piece_bpe, toxicity
+from strandline.llm import (byte_bpe, cap_filters, html_text, jaccard, language, licences, lm_scores, neighbours, packing, piece_bpe,
+                            sketch_search, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,3 +102,8 @@ def cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_piece_bpe")
 def piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.digests(table(spark, sf_dir, "documents"), PIECES)
+
+
+@query("op12_ranked_search", sketch_search.search_sql())
+def ranked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
