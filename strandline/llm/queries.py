@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import (byte_bpe, cap_filters, html_text, jaccard, language, licences, lm_scores, neighbours, packing, piece_bpe,
-                            sketch_search, toxicity)
+from strandline.llm import (byte_bpe, cap_filters, html_text, jaccard, language, licences, lm_scores, manifest, neighbours, packing,
+                            piece_bpe, sketch_search, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,3 +107,8 @@ def piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_ranked_search", sketch_search.search_sql())
 def ranked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_merkle_manifest", manifest.verified_sql())
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verified(table(spark, sf_dir, "documents"))

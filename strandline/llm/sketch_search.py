@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.packing import spans
 
-WIDTH = 4096  # coordinates of a sketch
+WIDTH = 16384  # coordinates of a sketch
 BLOCK = 1000  # about so many items are searched in one pass over the documents
 STRETCH = 1_000_000  # characters of documents in a task's hands
 BUCKETS = 64  # first step of the ranking: tasks by remainder
