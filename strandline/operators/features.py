@@ -127,12 +127,16 @@ def peer_statistics(rows: DataFrame) -> DataFrame:
 
 
 def cross_section(rows: DataFrame) -> DataFrame:
-    """Add the nine cross-sectional and calendar features."""
+    """Add the nine cross-sectional and calendar features. The statistics are those of `peer_statistics`, taken over the rows of
+    a date in place: a join would plan and compute the rows a second time."""
     def flag(condition):
         return F.when(condition, 1.0).otherwise(0.0)
 
-    day = F.dayofmonth("date")
-    return (rows.join(peer_statistics(rows).drop("n_peers"), "date", "left")
+    day, peers = F.dayofmonth("date"), Window.partitionBy("date")
+    usable = F.col("ret1").isNotNull() & F.col("ret5").isNotNull()
+    enough = F.count(F.when(usable, 1)).over(peers) >= MIN_PEERS
+    values = {"peerRet1": F.col("ret1"), "peerRet5": F.col("ret5"), "peerUpShare": flag(F.col("ret1") > 0)}
+    return (rows.withColumns({name: F.when(enough, F.avg(F.when(usable, value)).over(peers)) for name, value in values.items()})
             .withColumns({
                 "relRet1": F.col("ret1") - F.col("peerRet1"), "relRet5": F.col("ret5") - F.col("peerRet5"),
                 "monday": flag(F.dayofweek("date") == 2), "friday": flag(F.dayofweek("date") == 6),

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.scalar import tdiv
-from strandline.session import spread
 
 # Daily price limit with tolerance, split ratios and how near a jump must be to one.
 JUMP_UP, JUMP_DOWN = 1.31, 0.69
@@ -92,15 +91,30 @@ def asof_join(left: DataFrame, right: DataFrame, value: str, on: str = "date", b
             .where("_left").select(*left_cols, out))
 
 
-def align_series(bars: DataFrame, series: DataFrame, out: str, strict: bool = False,
-                 by: str = "index_name") -> DataFrame:
-    """Attach a market-wide series (index or FX) as known at each bar's date.
+def align_calendar(bars: DataFrame, series: list[tuple[DataFrame, str, bool]], by: str = "index_name") -> DataFrame:
+    """Attach market-wide series (index, FX), each given as (series, name of the new column, strict): the latest close on or
+    before (strict: before) each bar's date.
 
-    The as-of step runs on the distinct dates, not on the bars: the calendar is small and the same for all tickers."""
+    All series and the bars' distinct dates are one tagged union under one sort, so any number of series costs one shuffle. It
+    runs on the calendar, which is small and the same for all tickers; bars then meet it by equality."""
+    names = [out for _, out, _ in series]
     dates = bars.select(by, "date").distinct()
-    aligned = asof_join(dates, series.select(by, "date", F.col("close").alias("_close")), "_close",
-                        by=[by], strict=strict, out=out)
-    return bars.join(aligned, [by, "date"], "left")
+    # On one day the facts that may be seen come before the probe, the others after it.
+    parts = [dates.select(by, "date", F.lit(1).alias("_side"), *[F.lit(None).cast("double").alias(n) for n in names])]
+    parts += [frame.select(by, "date", F.lit(2 if strict else 0).alias("_side"),
+                           *[(F.col("close") if n == out else F.lit(None)).cast("double").alias(n) for n in names])
+              for frame, out, strict in series]
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionByName(part)
+    upto = Window.partitionBy(by).orderBy("date", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    known = union.select(by, "date", "_side", *[F.last(n, ignorenulls=True).over(upto).alias(n) for n in names]).where("_side = 1")
+    return bars.join(known.drop("_side"), [by, "date"], "left")
+
+
+def align_series(bars: DataFrame, series: DataFrame, out: str, strict: bool = False, by: str = "index_name") -> DataFrame:
+    """One series of `align_calendar`."""
+    return align_calendar(bars, [(series, out, strict)], by)
 
 
 def join_flows(bars: DataFrame, flows: DataFrame) -> DataFrame:
@@ -109,7 +123,6 @@ def join_flows(bars: DataFrame, flows: DataFrame) -> DataFrame:
 
 
 def log_returns(bars: DataFrame) -> DataFrame:
-    bars = spread(bars, "ticker")
     w = Window.partitionBy("ticker").orderBy("date")
     prev_idx = F.lag("idx").over(w)
     return (bars.withColumn("ret", F.ln(tdiv("close", F.lag("close").over(w))))

@@ -10,57 +10,62 @@ from pyspark.sql import functions as F
 
 from strandline.operators import features as ft
 from strandline.operators import panel
-from strandline.plans.registry import ctes, query, rounded, sql_rnd, sql_rounded, stable, table
+from strandline.plans.registry import ctes, query, rounded, sql_rnd, sql_rounded, stable, staged, table
+from strandline.session import spread
 
 INDEX = "ALL"
 
 
-def priced_lines(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "lineitem").select(
-        "l_partkey", F.to_date("l_shipdate").alias("date"), F.col("l_quantity").cast("long").alias("qty"),
-        F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"), "l_returnflag")
-    parts = table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("ticker"))
-    return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
-        "ticker", "date", "qty", "cents", "l_returnflag")
+def daily(spark: SparkSession, sf: str) -> DataFrame:
+    """(index_name, ticker, date, qty, cents, foreign_flow, organ_flow): the one pass over the lines. A line without a part has no
+    ticker and counts for the index alone."""
+    def build() -> DataFrame:
+        lines = table(spark, sf, "lineitem").select(
+            "l_partkey", F.to_date("l_shipdate").alias("date"), F.col("l_quantity").cast("long").alias("qty"),
+            F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"), "l_returnflag")
+        parts = table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("ticker"))
+        signed = F.when(F.col("l_returnflag") == "R", F.col("qty")).when(F.col("l_returnflag") == "N", -F.col("qty"))
+        return (lines.join(parts, F.col("l_partkey") == F.col("p_partkey"), "left").groupBy("ticker", "date")
+                .agg(F.sum("qty").alias("qty"), F.sum("cents").alias("cents"), F.sum(signed).cast("double").alias("foreign_flow"),
+                     F.sum(F.when(F.col("l_returnflag") == "A", F.col("qty"))).cast("double").alias("organ_flow"))
+                .select(F.lit(INDEX).alias("index_name"), "*"))
+
+    return staged(spark, sf, "daily_lines", build)
 
 
-def running_bars(daily: DataFrame, key: str) -> DataFrame:
-    """Bars from daily (qty, cents): close is the running average price."""
+def running_bars(rows: DataFrame, key: str, *others: str) -> DataFrame:
+    """Bars from daily (qty, cents): close is the running average price. Other columns named are kept."""
     run = Window.partitionBy(key).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     order = Window.partitionBy(key).orderBy("date")
-    priced = (daily.withColumn("close", stable(F.sum("cents").over(run) / F.sum("qty").over(run) / 100, 4))
+    priced = (rows.withColumn("close", stable(F.sum("cents").over(run) / F.sum("qty").over(run) / 100, 4))
               .withColumn("open", F.lag("close").over(order)))
     return priced.select(key, "date", "open", F.greatest("open", "close").alias("high"),
-                         F.least("open", "close").alias("low"), "close", F.col("qty").cast("double").alias("volume"))
+                         F.least("open", "close").alias("low"), "close", F.col("qty").cast("double").alias("volume"), *others)
+
+
+def listed(spark: SparkSession, sf: str) -> DataFrame:
+    return daily(spark, sf).where("ticker IS NOT NULL")
 
 
 def raw_bars(spark: SparkSession, sf: str) -> DataFrame:
-    daily = priced_lines(spark, sf).groupBy("ticker", "date").agg(F.sum("qty").alias("qty"), F.sum("cents").alias("cents"))
-    return running_bars(daily, "ticker").withColumn("index_name", F.lit(INDEX))
+    return running_bars(listed(spark, sf), "ticker", "index_name")
 
 
 def index_bars(spark: SparkSession, sf: str) -> DataFrame:
-    daily = (table(spark, sf, "lineitem")
-             .groupBy(F.to_date("l_shipdate").alias("date"))
-             .agg(F.sum(F.col("l_quantity").cast("long")).alias("qty"),
-                  F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"))
-             .withColumn("index_name", F.lit(INDEX)))
-    return running_bars(daily, "index_name").select("index_name", "date", "close")
+    total = daily(spark, sf).groupBy("index_name", "date").agg(F.sum("qty").alias("qty"), F.sum("cents").alias("cents"))
+    return running_bars(total, "index_name").select("index_name", "date", "close")
 
 
 def fx_bars(spark: SparkSession, sf: str) -> DataFrame:
-    daily = (table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("date"))
+    total = (table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("date"))
              .agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"), F.count("*").alias("qty"))
              .withColumn("index_name", F.lit(INDEX)))
     run = Window.partitionBy("index_name").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return daily.select("index_name", "date", stable(F.sum("cents").over(run) / F.sum("qty").over(run) / 100, 4).alias("close"))
+    return total.select("index_name", "date", stable(F.sum("cents").over(run) / F.sum("qty").over(run) / 100, 4).alias("close"))
 
 
 def flows(spark: SparkSession, sf: str) -> DataFrame:
-    signed = F.when(F.col("l_returnflag") == "R", F.col("qty")).when(F.col("l_returnflag") == "N", -F.col("qty"))
-    return priced_lines(spark, sf).groupBy("ticker", "date").agg(
-        F.sum(signed).cast("double").alias("foreign"),
-        F.sum(F.when(F.col("l_returnflag") == "A", F.col("qty"))).cast("double").alias("organ"))
+    return listed(spark, sf).select("ticker", "date", F.col("foreign_flow").alias("foreign"), F.col("organ_flow").alias("organ"))
 
 
 def bars(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,11 +73,11 @@ def bars(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ready_bars(spark: SparkSession, sf: str) -> DataFrame:
-    """Adjusted bars with index, FX, flows and returns attached."""
-    adjusted = bars(spark, sf)
-    with_idx = panel.align_series(adjusted, index_bars(spark, sf), "idx")
-    with_fx = panel.align_series(with_idx, fx_bars(spark, sf), "fx", strict=True)
-    return panel.log_returns(panel.join_flows(with_fx, flows(spark, sf)))
+    """Adjusted bars with index, FX, flows and returns attached. The calendar is met first; all that follows runs by ticker under
+    one shuffle and one sort."""
+    market = panel.align_calendar(listed(spark, sf), [(index_bars(spark, sf), "idx", False), (fx_bars(spark, sf), "fx", True)])
+    priced = running_bars(spread(market, "ticker"), "ticker", "index_name", "idx", "fx", "foreign_flow", "organ_flow")
+    return panel.log_returns(panel.adjust_corporate_actions(priced))
 
 
 # ---- the same inputs in SQL --------------------------------------------------------------------------------------

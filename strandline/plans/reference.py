@@ -178,7 +178,7 @@ def facts_revenue(spark, sf):
 
 @query("second_half", ctes(mk.SQL_RAW) + f""", h AS (SELECT ticker, year(date) AS y, sum(cents) AS yr, sum(CASE WHEN month(date) <= 6 THEN cents END) AS h1 FROM daily GROUP BY 1, 2) SELECT ticker AS company, true AS consolidated, make_date(CAST(y AS INTEGER), 12, 31) AS period_end, {sql_rnd('CAST(yr - h1 AS DOUBLE)', 0)} AS revenue FROM h WHERE h1 IS NOT NULL""")
 def second_half(spark, sf):
-    daily = mk.priced_lines(spark, sf).groupBy(F.col("ticker").alias("company"), F.year("date").alias("y"), F.when(F.month("date") <= 6, 1).otherwise(2).alias("h")).agg(F.sum("cents").alias("c"))
+    daily = mk.listed(spark, sf).groupBy(F.col("ticker").alias("company"), F.year("date").alias("y"), F.when(F.month("date") <= 6, 1).otherwise(2).alias("h")).agg(F.sum("cents").alias("c"))
     year = daily.groupBy("company", "y").agg(F.sum("c").alias("revenue")).select("company", F.lit(12).alias("months"), F.make_date("y", F.lit(12), F.lit(31)).alias("period_end"), F.col("revenue").cast("double").alias("revenue"))
     half = daily.where("h = 1").select("company", F.lit(6).alias("months"), F.make_date("y", F.lit(6), F.lit(30)).alias("period_end"), F.col("c").cast("double").alias("revenue"))
     return rounded(fl.second_half(year.unionByName(half).withColumn("consolidated", F.lit(True))), ["company", "consolidated", "period_end"], ["revenue"], 0)

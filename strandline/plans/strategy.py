@@ -202,7 +202,7 @@ def build_candidates(spark, sf) -> DataFrame:
     trailing = eps.select(F.col("q").alias("run_id"), "ticker", F.sum("eps").over(order.rowsBetween(-3, 0)).alias("current_eps"),
                           F.sum("eps").over(order.rowsBetween(-4, -1)).alias("prior_eps"),
                           F.lag("q", 4).over(order).alias("_q4")).where(F.col("_q4") == F.col("run_id") - 4)
-    dates = mk.priced_lines(spark, sf).groupBy("ticker", quarter_index("date").alias("run_id")).agg(
+    dates = mk.listed(spark, sf).groupBy("ticker", quarter_index("date").alias("run_id")).agg(
         F.sum("cents").alias("c"), F.sum("qty").alias("v"), F.countDistinct("date").alias("d"))
     traded = dates.select(*RUN, (F.col("c").cast("double") / F.col("d")).alias("adtv"), (F.col("c").cast("double") / F.col("v")).alias("price"))
     codes = er.invalid_schedules(schedule, run_quarters, RUN).groupBy(*RUN).agg(F.min("code").alias("schedule_code"))

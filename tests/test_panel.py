@@ -144,3 +144,24 @@ def test_windows_schedule_and_backtest_on_a_planted_signal(spark):
     assert 0.55 < stats["accuracy"] < 0.75 and stats["edge"] == "detected"
     stacked = fd.stack(oos, o)
     assert stacked.count() == oos.count() and stacked.where("p is null or p <= 0 or p >= 1").count() == 0
+
+
+def test_calendar_series_are_seen_on_or_before_and_strictly_before(spark):
+    bars = spark.createDataFrame([("a", "x", 1), ("b", "x", 2), ("a", "x", 4), ("a", "y", 2), ("c", "x", 2)], "ticker string, index_name string, d int")
+    bars = bars.selectExpr("ticker", "index_name", "date_add(DATE '2025-01-01', d) AS date", "7 AS idx_extra")
+    index = spark.createDataFrame([("x", 0, 10.0), ("x", 2, 12.0), ("x", 3, None), ("y", 3, 99.0)], "index_name string, d int, close double")
+    index = index.selectExpr("index_name", "date_add(DATE '2025-01-01', d) AS date", "close")
+    out = panel.align_calendar(bars, [(index, "idx", False), (index, "fx", True)])
+    got = sorted((r["ticker"], r["index_name"], r["date"].day, r["idx"], r["fx"]) for r in out.collect())
+    assert got == [("a", "x", 2, 10.0, 10.0), ("a", "x", 5, 12.0, 12.0), ("a", "y", 3, None, None), ("b", "x", 3, 12.0, 10.0), ("c", "x", 3, 12.0, 10.0)]
+    assert panel.align_calendar(bars.where("false"), [(index, "idx", False)]).count() == 0
+
+
+def test_samples_take_one_scan_of_the_lines_and_few_shuffles(spark):
+    from strandline import plans
+    from strandline.plans import market
+    from strandline.operators import features as ft
+    plans.load()
+    plan = ft.samples(market.ready_bars(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan and plan.count("Exchange hashpartitioning") < 12
+    assert market.daily(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
