@@ -122,18 +122,16 @@ def calibrate_returns(rows: DataFrame, keys: list[str], min_rows: int = 100) ->
 def range_coverage(oos: DataFrame, o: FoldOptions = FoldOptions()) -> DataFrame:
     """Share of realised returns inside an 80% range built only from outcomes closed strictly before the row's date.
 
-    Per fold the calibration line comes from sums, the band from quantiles of its residuals, both over one row per prediction."""
+    Per fold the calibration line comes from sums per block of rows added along the folds, the band from quantiles of its residuals
+    over one row per prediction."""
     schedule = stage(fold_schedule(oos, o.calibration_min_rows, o.step, strict=True), "coverage-folds")
     days = fm.fold_days(fold_table(schedule))
     units = unit_moves(oos)
     rows = stage(units.select("horizon", F.unix_date("end_date").alias("end_day"), "zr", "za"), "coverage-rows")
 
-    def moments(h, c, known):
-        w = (known & ~np.isnan(c["zr"] + c["za"])[:, None]).astype(float)
-        x, y = np.nan_to_num(c["zr"]), np.nan_to_num(c["za"])
-        return {"n": known.sum(0), "m": w.sum(0), "x": w.T @ x, "y": w.T @ y, "xx": w.T @ (x * x), "xy": w.T @ (x * y)}
-
-    sums, line = fm.fold_sums(rows, days, moments, ["n", "m", "x", "y", "xx", "xy"], strict=True), {}
+    x, y = F.when(F.col("za").isNotNull(), F.col("zr")), F.when(F.col("zr").isNotNull(), F.col("za"))
+    sums = fm.prefix_sums(rows, days, {"n": F.lit(1), "m": F.when((x + y).isNotNull(), 1), "x": x, "y": y, "xx": x * x, "xy": x * y}, strict=True)
+    line = {}
     for h, s in sums.items():
         m = np.maximum(s["m"], 1)
         mx, my = s["x"] / m, s["y"] / m

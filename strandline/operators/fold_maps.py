@@ -1,8 +1,10 @@
 """Sums and quantiles per walk-forward fold over one row per prediction.
 
-A prediction belongs to every later fold. Instead of copying it to each, a task holds its batch as a matrix of rows by folds
-(numpy), reduces it, and passes on one small row per fold; Spark adds those. The folds themselves, a few numbers each, are a
-calendar's worth and travel with the task.
+A prediction belongs to every later fold. What does not depend on the fold is summed or counted once per block (the rows that one
+fold is the first to know) and added up along the folds: `prefix_sums`, `prefix_quantiles`; work grows with rows plus folds. What
+depends on the fold's own fit needs rows by folds: a task holds a stretch of its batch as a matrix (numpy), reduces it, and passes
+on one small row per fold: `fold_sums`, `fold_quantiles`. The folds, a few numbers each, are a calendar's worth and travel with
+the task.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BINS = 256  # cells of a bracket per pass
@@ -25,6 +27,100 @@ def fold_days(folds: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return {h: (g["fold"].to_numpy(), g["day"].to_numpy()) for h, g in rows.groupby("horizon")}
 
 
+def blocked(rows: DataFrame, days: dict, strict: bool = False) -> DataFrame:
+    """Add `block`: the place of the first fold that knows the row (by horizon and end_day); rows known to no fold go. The table
+    of days is a calendar's worth."""
+    table, before = [], {}
+    for h, (_, day) in days.items():
+        span = np.arange(day[0] - 1, day[-1] + 1)
+        at = np.searchsorted(day, span, side="right" if strict else "left")
+        table += [(int(h), int(d), int(i)) for d, i in zip(span, at) if i < len(day)]
+        before[int(h)] = int(day[0]) - 1
+    lookup = rows.sparkSession.createDataFrame(table, "horizon int, _day int, block int")
+    earliest = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
+    day = F.greatest(F.col("end_day"), F.try_element_at(earliest, F.col("horizon").cast("int"))).cast("int")
+    keyed = rows.where("end_day IS NOT NULL").withColumn("_day", day)
+    return keyed.join(F.broadcast(lookup), ["horizon", "_day"]).drop("_day")
+
+
+def prefix_sums(rows: DataFrame, days: dict, values: dict[str, Column], strict: bool = False) -> dict[int, dict[str, np.ndarray]]:
+    """Per horizon and name: the sum of a value over the rows known at each fold; nulls count for nothing."""
+    if not days:
+        return {}
+    per_block = blocked(rows, days, strict).groupBy("horizon", "block").agg(*[F.sum(v.cast("double")).alias(n) for n, v in values.items()]).toPandas()
+    out = {h: {n: np.zeros(len(f)) for n in values} for h, (f, _) in days.items()}
+    for h, part in per_block.groupby("horizon"):
+        for n in values:
+            out[h][n][part["block"].to_numpy()] = np.nan_to_num(part[n].to_numpy(float))
+    return {h: {n: v.cumsum() for n, v in sums.items()} for h, sums in out.items()}
+
+
+def prefix_quantiles(rows: DataFrame, days: dict, value: str, probs: dict[str, float], strict: bool = False) -> dict[int, dict[str, np.ndarray]]:
+    """Exact interpolated quantiles of a column over the rows known at each fold; NaN for a fold that knows none.
+
+    Values fall into cells; blocks count them, and the counts added along the folds say in which cells the order statistics of
+    each fold lie. Only those cells are cut finer, until their values are few enough to be ranked (equal ones as one)."""
+    if not days:
+        return {}
+    column = F.col(value).cast("double")
+    kept = blocked(rows, days, strict).select("horizon", "block", column.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    ends = {r["horizon"]: (r["lo"], r["hi"]) for r in kept.groupBy("horizon").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
+    edges = {h: np.unique(np.linspace(lo, hi, BINS)) for h, (lo, hi) in ends.items()}  # a cell reaches from its edge up to the next
+    ps, out = np.array(list(probs.values())), {h: {n: np.full(len(f), np.nan) for n in probs} for h, (f, _) in days.items()}
+
+    def counts() -> dict[int, np.ndarray]:
+        def histogram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for h, part in batch.groupby("horizon"):
+                    cell = np.searchsorted(edges[h], part["v"], side="right") - 1
+                    key, n = np.unique(part["block"].to_numpy(np.int64) * len(edges[h]) + cell, return_counts=True)
+                    yield pd.DataFrame({"horizon": h, "block": key // len(edges[h]), "cell": key % len(edges[h]), "n": n})
+
+        got = kept.mapInPandas(histogram, "horizon int, block int, cell int, n long").groupBy("horizon", "block", "cell").agg(F.sum("n").alias("n")).toPandas()
+        tables = {h: np.zeros((len(days[h][0]), len(edges[h])), np.int64) for h in edges}
+        for h, part in got.groupby("horizon"):
+            tables[h][part["block"], part["cell"]] = part["n"]
+        return {h: t.cumsum(0) for h, t in tables.items()}
+
+    for last in (False, False, False, False, False, True):
+        table, needed = counts(), {}
+        for h, t in table.items():
+            upto, place = t.cumsum(1), ps[:, None] * np.maximum(t.sum(1) - 1, 0)[None, :]
+            ranks = np.stack([np.floor(place), np.ceil(place)])
+            at = np.stack([[[np.searchsorted(upto[i], r, side="right") for i, r in enumerate(of)] for of in rank] for rank in ranks])
+            at = at[..., t.sum(1) > 0]
+            needed[h] = np.unique(at)
+        cut = {h: [c for c in cells if table[h][-1, c] > FEW and c + 1 < len(edges[h])] for h, cells in needed.items()}
+        if last or not any(cut.values()):
+            break
+        finer = {h: np.unique(np.concatenate([edges[h], *[np.linspace(edges[h][c], edges[h][c + 1], BINS + 1) for c in cut[h]]])) for h in edges}
+        if all(len(finer[h]) == len(edges[h]) for h in edges):
+            break
+        edges = finer
+
+    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for h, part in batch.groupby("horizon"):
+                cell = np.searchsorted(edges[h], part["v"], side="right") - 1
+                yield part.assign(cell=cell)[np.isin(cell, needed[h])]
+
+    few = kept.mapInPandas(members, "horizon int, block int, v double, cell int").groupBy("horizon", "cell", "v", "block").agg(F.count("*").alias("n")).toPandas()
+    for h, part in few.groupby("horizon"):
+        t = table[h]
+        under, inside = t.cumsum(1) - t, {c: g.sort_values("v") for c, g in part.groupby("cell")}
+        for i in np.flatnonzero(t.sum(1)):
+            def ranked(k: float) -> float:
+                c = np.searchsorted(under[i] + t[i], k, side="right")
+                g = inside[c][inside[c]["block"] <= i]
+                return g["v"].to_numpy()[np.searchsorted(under[i, c] + g["n"].cumsum().to_numpy(), k, side="right")]
+
+            for name, p in probs.items():
+                place = p * (t[i].sum() - 1)
+                low, high = ranked(np.floor(place)), ranked(np.ceil(place))
+                out[h][name][i] = low + (high - low) * (place - np.floor(place))
+    return out
+
+
 def fold_sums(rows: DataFrame, days: dict, kernel: Callable[[int, dict[str, np.ndarray], np.ndarray], dict[str, np.ndarray]],
               names: list[str], strict: bool = False) -> dict[int, dict[str, np.ndarray]]:
     """Per horizon an array over its folds for each name: what the kernel gives for a batch, added up.

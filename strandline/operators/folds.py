@@ -206,9 +206,36 @@ def fold_date_weights(rows: DataFrame, folds: DataFrame, half_life: float) -> Da
     return raw.withColumn("weight", F.col("_raw") / mean).select("horizon", "fold", "fold_date", "date", "weight")
 
 
+def _moments(rows: DataFrame, days: dict, weights) -> dict[int, dict[str, np.ndarray]]:
+    """Sums per fold of counts, weights, ups and the products of the return regression: moments per (date, end date), a calendar's
+    worth, weighted by what each fold gives the date."""
+    terms = [F.col("r"), F.col("m_move"), F.lit(1.0)]
+    sums = {f"h{i}_{j}": terms[i] * terms[j] for i in range(3) for j in range(i + 1)} | {f"c{i}": F.col("actual") * t for i, t in enumerate(terms)}
+    cells = (rows.where("end_day IS NOT NULL").groupBy("horizon", "day", "end_day")
+             .agg(F.count("*").cast("double").alias("n"), F.sum("up").alias("up"), *[F.sum(v).alias(k) for k, v in sums.items()]).toPandas())
+    out = {}
+    for h, (folds, fold_day) in days.items():
+        part = {c: v.to_numpy() for c, v in cells[cells["horizon"] == h].items()}
+        known = part["end_day"][:, None] <= fold_day[None, :]
+        w = weights(h, part, known)
+        out[h] = {"n": known.T @ part["n"], "w": w.T @ part["n"], **{k: w.T @ part[k].astype(float) for k in ("up", *sums)}}
+    return out
+
+
+def _coarse(rows: DataFrame, span: int = 40) -> dict[int, dict[str, np.ndarray]]:
+    """Predictions in cells of their inputs: stretches of days, eight classes of log-odds, both signs. A cell has its number of
+    rows, its ups, its mean log-odds and one of its days."""
+    inputs = rows.where("end_day IS NOT NULL").withColumn("_class", F.floor(F.greatest(F.least(F.col("m_logit") * 8, F.lit(3.0)), F.lit(-4.0))))
+    cells = (inputs.groupBy("horizon", F.floor(F.col("day") / span), F.floor(F.col("end_day") / span), "_class", "m_past", "m_last")
+             .agg(F.count("*").cast("double").alias("n"), F.sum("up").alias("up"), F.avg("m_logit").alias("m_logit"),
+                  F.max("day").alias("day"), F.max("end_day").alias("end_day"), F.avg("r").alias("r")).toPandas())
+    return {h: {c: v.to_numpy() for c, v in part.items()} for h, part in cells.groupby("horizon")}
+
+
 def fit_meta(oos: DataFrame, folds: DataFrame, o: FoldOptions) -> DataFrame:
     """Stage-two coefficients per (horizon, fold) on all rows known at the fold: a ridge on the clipped return and Newton steps of a
-    logistic regression, from sums per fold over one row per prediction."""
+    logistic regression. The regression comes from moments per date, with rows beyond the clipping limits put right one by one; the
+    Newton steps begin near the end, so few passes hold rows against folds."""
     folds = stage(folds.select("horizon", "fold", "fold_date"), "meta-folds")
     days = fm.fold_days(folds)
     inputs = meta_inputs(oos).withColumns({"day": F.unix_date("date"), "end_day": F.unix_date("end_date")})
@@ -227,22 +254,30 @@ def fit_meta(oos: DataFrame, folds: DataFrame, o: FoldOptions) -> DataFrame:
         at = np.minimum(np.searchsorted(dates, c["day"]), len(dates) - 1)
         return table[np.where(dates[at] == c["day"], at, len(dates))] * known
 
-    limits = fm.fold_quantiles(rows, days, lambda h, c: c["actual"][:, None], {"lo": 0.01, "hi": 0.99})
+    limits = fm.prefix_quantiles(rows, days, "actual", {"lo": 0.01, "hi": 0.99})
     reg_terms = lambda c: np.column_stack([c["r"], c["m_move"], np.ones(len(c["r"]))])
     cls_terms = lambda c: np.column_stack([c["m_logit"], c["m_past"], c["m_last"], np.ones(len(c["r"]))])
 
     def products(w, x):
         return {f"h{i}_{j}": w.T @ (x[:, i] * x[:, j]) for i in range(x.shape[1]) for j in range(i + 1)}
 
-    def ridge_sums(h, c, known):
-        w, x = weights(h, c, known), reg_terms(c)
-        y = np.clip(c["actual"][:, None], limits[h]["lo"][None, :], limits[h]["hi"][None, :])
-        rhs = (w * np.where(known, y, 0)).T @ x
-        return {"n": known.sum(0), "w": w.sum(0), "up": w.T @ c["up"], **products(w, x), **{f"c{i}": rhs[:, i] for i in range(3)}}
+    def tail_sums(h, c, known):
+        """What clipping takes from or adds to the sums of a row beyond a fold's limits."""
+        y = c["actual"][:, None]
+        moved = np.clip(y, limits[h]["lo"][None, :], limits[h]["hi"][None, :]) - y
+        rhs = (weights(h, c, known) * np.where(known, moved, 0)).T @ reg_terms(c)
+        return {f"c{i}": rhs[:, i] for i in range(3)}
 
     names = lambda k: [f"h{i}_{j}" for i in range(k) for j in range(i + 1)]
-    base = fm.fold_sums(rows, days, ridge_sums, ["n", "w", "up", *names(3), "c0", "c1", "c2"])
     matrix = lambda s, k: np.stack([np.stack([s[f"h{max(i, j)}_{min(i, j)}"] for j in range(k)], -1) for i in range(k)], -2)
+    base = _moments(rows, days, weights)
+    beyond = F.lit(False)
+    for h, part in limits.items():
+        if np.isfinite(part["lo"]).any():
+            beyond = beyond | ((F.col("horizon") == int(h)) & ((F.col("actual") < float(np.nanmax(part["lo"]))) | (F.col("actual") > float(np.nanmin(part["hi"])))))
+    for h, tails in fm.fold_sums(rows.where(beyond), days, tail_sums, ["c0", "c1", "c2"]).items():
+        for name, values in tails.items():
+            base[h][name] = base[h][name] + values
     used = {h: s["n"] >= max(1, o.meta_min_rows) for h, s in base.items()}
     reg, cls = {}, {}
     for h, s in base.items():
@@ -252,19 +287,40 @@ def fit_meta(oos: DataFrame, folds: DataFrame, o: FoldOptions) -> DataFrame:
         cls[h] = np.zeros((len(rate), 4))
         cls[h][:, 3] = [learners.log_odds(r) for r in rate]
 
+    def newton(h, sums, start, live):
+        penalty = 1e-3 * base[h]["n"][:, None] * np.array([1.0, 1.0, 1.0, 0.0])
+        curve = matrix(sums, 4) + penalty[:, :, None] * np.eye(4) + ~live[:, None, None] * np.eye(4)
+        move = np.linalg.solve(curve, (np.stack([sums[f"g{i}"] for i in range(4)], -1) + penalty * start)[..., None])[..., 0]
+        move[~live] = 0
+        return move
+
+    def slopes(w, x, times, up, coef):
+        """Curvature and slope sums of rows that stand for `times` rows with `up` ups."""
+        p = 1 / (1 + np.exp(-np.clip(x @ coef.T, -700, 700)))
+        slope = ((p * times[:, None] - up[:, None]) * w).T @ x
+        return {**products(np.maximum(1e-6, p * (1 - p)) * times[:, None] * w, x), **{f"g{i}": slope[:, i] for i in range(4)}}
+
+    # Coarse cells of the calendar and the inputs bring the coefficients near; the passes over the rows then are few. Folds of
+    # which the cells tell too little, or whose steps do not settle, start from the base rate.
+    for h, c in _coarse(rows).items():
+        if h in cls:
+            near = weights(h, c, c["end_day"][:, None] <= days[h][1][None, :])
+            live = used[h] & ((near > 0).T @ c["n"] >= 0.7 * base[h]["n"])
+            coef, move = cls[h], np.ones_like(cls[h])
+            for _ in range(12):
+                move = newton(h, slopes(near, cls_terms(c), c["n"], c["up"], coef), coef, live)
+                coef = coef - move
+                live = live & (np.abs(coef).max(1) < 20)
+            settled = live & (np.abs(move).max(1) < 1e-3)
+            cls[h] = np.where(settled[:, None], coef, cls[h])
+
     def newton_sums(h, c, known):
-        w, x = weights(h, c, known), cls_terms(c)
-        p = 1 / (1 + np.exp(-np.clip(x @ cls[h].T, -700, 700)))
-        slope = ((p - c["up"][:, None]) * w).T @ x
-        return {**products(np.maximum(1e-6, p * (1 - p)) * w, x), **{f"g{i}": slope[:, i] for i in range(4)}}
+        return slopes(weights(h, c, known), cls_terms(c), np.ones(len(c["up"])), c["up"], cls[h])
 
     for _ in range(30):
         sums, largest = fm.fold_sums(rows, days, newton_sums, [*names(4), "g0", "g1", "g2", "g3"]), 0.0
         for h, s in sums.items():
-            penalty = 1e-3 * base[h]["n"][:, None] * np.array([1.0, 1.0, 1.0, 0.0])
-            curve = matrix(s, 4) + penalty[:, :, None] * np.eye(4) + ~used[h][:, None, None] * np.eye(4)
-            move = np.linalg.solve(curve, (np.stack([s[f"g{i}"] for i in range(4)], -1) + penalty * cls[h])[..., None])[..., 0]
-            move[~used[h]] = 0
+            move = newton(h, s, cls[h], used[h])
             cls[h] = cls[h] - move
             largest = max(largest, float(np.abs(move).max()) if move.size else 0.0)
         if largest < 1e-8:

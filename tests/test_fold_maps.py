@@ -34,6 +34,25 @@ def test_fold_quantiles_equal_numpy(spark, predictions, monkeypatch, few):
             np.testing.assert_allclose([got[k][i] for k in "abc"], np.quantile(v, [0.01, 0.5, 0.9]), atol=1e-9)
 
 
+@pytest.mark.parametrize("few", [2000, 5])
+def test_prefix_sums_and_quantiles_equal_numpy(spark, predictions, monkeypatch, few):
+    monkeypatch.setattr(fm, "FEW", few)
+    pdf, df = predictions
+    rows = df.select("horizon", F.unix_date("end_date").alias("end_day"), "actual", F.round("r", 1).alias("r"))
+    rows = rows.unionByName(rows.limit(3).withColumns({"end_day": F.lit(None).cast("int")})).unionByName(rows.limit(2).withColumn("horizon", F.lit(9)))
+    days = {1: (np.arange(6), np.array([-5, 3, 20, 60, 61, 119]))}
+    for strict in (False, True):
+        sums = fm.prefix_sums(rows, days, {"n": F.lit(1), "a": F.col("actual")}, strict)[1]
+        for column, series in (("actual", pdf["actual"]), ("r", pdf["r"].round(1))):
+            got = fm.prefix_quantiles(rows, days, column, {"a": 0.01, "b": 0.5, "c": 0.99}, strict)[1]
+            for i, day in enumerate(days[1][1]):
+                known = pdf["end_day"] < day if strict else pdf["end_day"] <= day
+                assert sums["n"][i] == known.sum() and abs(sums["a"][i] - pdf["actual"][known].sum()) < 1e-9
+                want = np.quantile(series[known], [0.01, 0.5, 0.99]) if known.any() else np.full(3, np.nan)
+                np.testing.assert_allclose([got[k][i] for k in "abc"], want, atol=1e-12)
+    assert fm.prefix_sums(rows, {}, {"n": F.lit(1)}) == {} and fm.prefix_quantiles(rows, {}, "r", {"a": 0.5}) == {}
+
+
 def test_second_stage_equals_a_fit_per_fold(spark, predictions):
     pdf, df = predictions
     o = fd.FoldOptions(meta_min_rows=100, step=20)
