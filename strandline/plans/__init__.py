@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["market", "forecasting", "strategy", "valuing", "reference", "text", "feeds", "estimates", "sources", "grounded"]
+MODULES = ["market", "forecasting", "strategy", "valuing", "reference", "text", "feeds", "estimates", "sources", "grounded", "datasets"]
 
 
 def load() -> None:

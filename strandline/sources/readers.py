@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from strandline.functions import nested
 from strandline.functions.scalar import parse_amount, parse_quarter, signed_amount, strip_tags, valid_date
 from strandline.operators import valuation as va
 from strandline.operators.rules import union_all
@@ -84,6 +86,52 @@ def read_datasets(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(DATASET).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
+def read_dataset_files(spark: SparkSession, path: str, name: str = r"(\d{6})\.json$") -> tuple[DataFrame, DataFrame]:
+    """(datasets with `file`, faults (file, code)): one nested JSON document per file, named by its ticker; `name` finds the ticker
+    in the path. A bad file is a fault by itself and does not stop the others: CORRUPT (no JSON of the schema), TICKER_MISMATCH
+    (another company's, or none), NOT_A_DATASET (the name holds no ticker; such a file is left out)."""
+    rows = (spark.read.schema(DATASET + ", _bad string").option("multiLine", True).option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", "_bad").option("recursiveFileLookup", True).json(path).withColumn("file", F.col("_metadata.file_path")))
+    expected = F.regexp_extract("file", name, 1)
+    fault = (F.when(expected == "", "NOT_A_DATASET").when(F.col("_bad").isNotNull() | F.col("company").isNull(), "CORRUPT")
+             .when(~F.coalesce(F.col("company.ticker") == expected, F.lit(False)), "TICKER_MISMATCH"))
+    judged = rows.withColumn("_fault", fault)
+    return (judged.where(F.col("_fault").isNull()).drop("_bad", "_fault"),
+            judged.where(F.col("_fault").isNotNull()).select("file", F.col("_fault").alias("code")).distinct())
+
+
+def walk_sources(datasets: DataFrame) -> DataFrame:
+    """(ds_id, pos, path, title, url, reference, published_at): every source of a dataset in the order of the document, wherever the
+    schema has one. `reference` is the url or, without one, the manual reference."""
+    kind = datasets.select(*[c for c in datasets.columns if c != "file"]).schema
+    found = nested.nodes(F.struct(*[F.col(f.name) for f in kind.fields]), kind, nested.structs_with("title", "publishedAt"))
+    rows = datasets.select(F.col("company.ticker").alias("ds_id"), F.posexplode(found).alias("pos", "n"))
+    return rows.select("ds_id", "pos", "n.path", "n.value.title", "n.value.url", F.col("n.value.manualReference").alias("manual_reference"),
+                       F.coalesce("n.value.url", "n.value.manualReference").alias("reference"), F.col("n.value.publishedAt").alias("published_at"))
+
+
+def dataset_provenance(sources: DataFrame) -> DataFrame:
+    """Distinct sources (title, reference, date) of each dataset in order of first appearance, with the path they first appear at
+    and how often they appear."""
+    distinct = sources.groupBy("ds_id", "title", "reference", "published_at").agg(
+        F.min("pos").alias("_first"), F.min_by("path", "pos").alias("first_path"), F.count("*").alias("n"))
+    order = Window.partitionBy("ds_id").orderBy("_first")
+    return distinct.withColumn("rank", F.row_number().over(order)).drop("_first")
+
+
+def resolvable_sources(datasets: DataFrame) -> DataFrame:
+    """`walk_sources` with what stands beside each source: its rationale, and whether an estimate does; as the source rules
+    (`grounding.resolve_sources`) take them."""
+    kind = datasets.select(*[c for c in datasets.columns if c != "file"]).schema
+    texts = nested.nodes(F.struct(*[F.col(f.name) for f in kind.fields]), kind, lambda t: isinstance(t, StringType))
+    beside = datasets.select(F.col("company.ticker").alias("ds_id"), F.explode(texts).alias("n")).select(
+        "ds_id", F.regexp_extract("n.path", r"^(.*)\.(?:rationale|estimate\.method)$", 1).alias("_parent"),
+        F.when(F.col("n.path").endswith(".rationale"), F.col("n.value")).alias("rationale"), F.col("n.path").endswith(".estimate.method").alias("_estimate"))
+    beside = beside.where("_parent <> ''").groupBy("ds_id", "_parent").agg(F.max("rationale").alias("rationale"), F.max("_estimate").alias("_estimate"))
+    sources = walk_sources(datasets).withColumn("_parent", F.regexp_replace("path", r"\.source$", ""))
+    return (sources.join(beside, ["ds_id", "_parent"], "left").withColumn("has_estimate", F.coalesce("_estimate", F.lit(False))).drop("_parent", "_estimate"))
+
+
 def _tri(df: DataFrame, keys: list[str], values: dict[str, str]) -> DataFrame:
     rows = F.explode(F.array(*[F.struct(F.lit(s).alias("scenario"), *[F.col(f"{path}.{s}").alias(name) for name, path in values.items()]) for s in va.SCENARIOS]))
     return df.select(*keys, rows.alias("_s")).select(*keys, "_s.*")

@@ -170,3 +170,36 @@ def test_delimited_and_markup_files(spark, tmp_path):
     (tmp_path / "html").mkdir()
     (tmp_path / "html" / "p.html").write_text("<article><p>한글</p></article>", encoding="utf-8")
     assert co.articles(rd.read_html_files(spark, str(tmp_path / "html"))).first()["text"] == "한글"
+
+
+def test_a_bad_file_fails_by_itself(spark, tmp_path):
+    (tmp_path / "111110.json").write_text(json.dumps(dataset(), indent=1))
+    (tmp_path / "222220.json").write_text("{not json")
+    (tmp_path / "333330.json").write_text(json.dumps(dataset()))
+    (tmp_path / "444440.json").write_text(json.dumps({"schemaVersion": 1}))
+    (tmp_path / "notes.json").write_text(json.dumps({"any": "thing"}))
+    good, faults = rd.read_dataset_files(spark, str(tmp_path))
+    assert [r["company"]["ticker"] for r in good.collect()] == ["111110"]
+    assert sorted((r["file"].rsplit("/", 1)[1], r["code"]) for r in faults.collect()) == [
+        ("222220.json", "CORRUPT"), ("333330.json", "TICKER_MISMATCH"), ("444440.json", "CORRUPT"), ("notes.json", "NOT_A_DATASET")]
+    assert rd.normalise_datasets(good).market.count() == 1
+
+
+def test_sources_are_walked_in_document_order_and_first_appearance_wins(spark, tmp_path):
+    data = dataset()
+    web = {"title": "t", "url": "https://x.example.com", "publishedAt": "2026-01-10"}
+    data["quote"]["source"] = web
+    data["markets"][0]["observations"][1] |= {"source": {"title": "t", "manualReference": "MODEL_ESTIMATE: x", "publishedAt": "2026-01-10"},
+                                              "estimate": {"method": "share_implied", "basedOn": ["a"], "rationale": "r"}}
+    data["markets"][0]["cyclical"] = None
+    (tmp_path / "111110.json").write_text(json.dumps(data))
+    good, _ = rd.read_dataset_files(spark, str(tmp_path))
+    rows = rd.resolvable_sources(good).orderBy("pos").collect()
+    paths = [r["path"] for r in rows]
+    assert paths[:6] == ["company.sources[0]", "quote.source", "shares.source", "fx[0].source", "financials.source", "markets[0].observations[0].source"]
+    assert paths[-1] == "valuation.peMultiple.source" and "markets[0].cyclical.source" not in paths and len(paths) == len(set(paths)) == 20
+    by = {r["path"]: r for r in rows}
+    assert by["markets[0].observations[1].source"]["has_estimate"] and by["earningsBridge.source"]["rationale"] == "r" and not by["quote.source"]["has_estimate"]
+    found = rd.dataset_provenance(rd.walk_sources(good)).orderBy("rank").collect()
+    assert [(r["reference"], r["first_path"]) for r in found][:3] == [("m", "company.sources[0]"), ("https://x.example.com", "quote.source"), ("m", "shares.source")]
+    assert sum(r["n"] for r in found) == 20 and [r["rank"] for r in found] == list(range(1, len(found) + 1))
