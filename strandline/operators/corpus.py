@@ -327,6 +327,36 @@ def fair_level(demands: Column, limit: Column) -> Column:
     return F.coalesce(end.level, F.array_max(ordered))
 
 
+# Fixed value: what a cut statement ends with.
+TRUNCATED = "\n[TRUNCATED]"
+
+
+def fitting_lines(lines: Column, budget: Column) -> Column:
+    """Lines in order as long as each, with its line end, fits what is left of the budget: one too long is left out, a shorter one
+    after it may still fit."""
+    start = F.struct(budget.cast("double").alias("left"), F.array().cast("array<string>").alias("kept"))
+    return F.aggregate(lines, start, lambda acc, line: F.when(F.length(line) + 1 <= acc.left, F.struct(
+        (acc.left - F.length(line) - 1).alias("left"), F.concat(acc.kept, F.array(line)).alias("kept"))).otherwise(acc), lambda acc: acc.kept)
+
+
+def truncate_statement(head: Column, categories: list[Column], limit: Column) -> Column:
+    """(text, truncated, omitted) of a statement: whole if it fits the limit, else its head and, per category (an array of lines, null
+    as empty), the lines that fit the category's share by water-filling, with a mark at the end. A head beyond the limit is cut."""
+    head = F.coalesce(head, F.lit(""))
+    categories = [F.coalesce(c, F.array().cast("array<string>")) for c in categories]
+    full = F.array_join(F.concat(F.array(head), *categories), "\n")
+    room = F.greatest(F.lit(0), limit - len(TRUNCATED))
+    kept_head = F.when(F.length(head) <= room, head).otherwise(F.substring(head, F.lit(1), room))
+    demands = [F.aggregate(c, F.lit(0.0), lambda acc, line: acc + F.length(line) + 1) for c in categories]
+    level = fair_level(F.filter(F.array(*demands), lambda d: d > 0), room - F.length(kept_head))
+    kept = [fitting_lines(c, F.least(d, level)) for c, d in zip(categories, demands)]
+    text = F.concat(F.array_join(F.concat(F.array(kept_head), *kept), "\n"), F.lit(TRUNCATED))
+    size = lambda arrays: sum((F.size(a) for a in arrays), F.lit(0))
+    whole = F.struct(full.alias("text"), F.lit(False).alias("truncated"), F.lit(0).alias("omitted"))
+    return F.when(F.length(full) <= limit, whole).otherwise(F.struct(
+        F.substring(text, F.lit(1), limit).alias("text"), F.lit(True).alias("truncated"), (size(categories) - size(kept)).alias("omitted")))
+
+
 def statement_row_budget(rows: DataFrame, budgets: dict[str, int]) -> DataFrame:
     """Row caps per statement document and category, funding rows first."""
     cap = F.lit(0)

@@ -197,6 +197,33 @@ def fair_truncation(spark, sf):
     return rounded(per.select("source", co.fair_level(F.col("ds"), F.col("lim")).alias("level")), ["source"], ["level"], 3)
 
 
+_STATUSES, _MARK = ("F", "O", "P"), "chr(10) || '[TRUNCATED]'"
+_LINE = "o_orderpriority || ' order ' || o_orderkey || ' ' || repeat('x', CAST(o_orderkey % 37 AS INTEGER))"
+
+
+@query("truncated_statements", f"""WITH RECURSIVE ln AS (SELECT o_custkey AS k, o_orderstatus AS c, {_LINE} AS t, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS i FROM orders),
+h AS (SELECT c_custkey AS k, c_name || ' statement' AS head, CAST(c_custkey % 9 * 90 + 15 AS BIGINT) AS lim FROM customer WHERE c_custkey IN (SELECT k FROM ln)),
+f AS (SELECT h.k, head, lim, head || chr(10) || string_agg(t, chr(10) ORDER BY c, i) AS whole, substring(head, 1, lim - 12) AS cut FROM h JOIN ln ON h.k = ln.k GROUP BY 1, 2, 3),
+d AS (SELECT ln.k, c, sum(length(t) + 1) AS n, lim - 12 - length(cut) AS room FROM ln JOIN f ON f.k = ln.k WHERE length(whole) > lim GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n, c) - 1 AS p, count(*) OVER (PARTITION BY k) AS m, coalesce(sum(n) OVER (PARTITION BY k ORDER BY n, c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum FROM d),
+lv AS (SELECT k, coalesce(arg_min((room - cum) / (m - p), p) FILTER (WHERE n > (room - cum) / (m - p)), max(n)) AS level FROM r GROUP BY k),
+fold(k, c, i, remaining, kept) AS (SELECT d.k, c, CAST(0 AS BIGINT), CAST(least(n, level) AS DOUBLE), CAST([] AS VARCHAR[]) FROM d JOIN lv ON lv.k = d.k
+  UNION ALL SELECT fold.k, fold.c, fold.i + 1, CASE WHEN length(t) + 1 <= remaining THEN remaining - length(t) - 1 ELSE remaining END, CASE WHEN length(t) + 1 <= remaining THEN list_append(kept, t) ELSE kept END
+  FROM fold JOIN ln ON ln.k = fold.k AND ln.c = fold.c AND ln.i = fold.i + 1),
+e AS (SELECT k, c, arg_max(kept, i) AS kept FROM fold GROUP BY 1, 2),
+o AS (SELECT k, string_agg(CASE WHEN len(kept) > 0 THEN array_to_string(kept, chr(10)) END, chr(10) ORDER BY c) AS body, sum(len(kept)) AS n FROM e GROUP BY k),
+z AS (SELECT k, count(*) AS n FROM ln GROUP BY k)
+SELECT f.k AS id, CASE WHEN length(whole) <= lim THEN whole ELSE substring(cut || coalesce(chr(10) || body, '') || {_MARK}, 1, lim) END AS text, length(whole) > lim AS truncated, CASE WHEN length(whole) <= lim THEN 0 ELSE z.n - o.n END AS omitted
+FROM f JOIN z ON z.k = f.k LEFT JOIN o ON o.k = f.k""")
+def truncated_statements(spark, sf):
+    """Orders of a customer as a statement of three categories, cut to a limit."""
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("c"), F.struct("o_orderkey", F.expr(_LINE).alias("t")).alias("x"))
+    lines = o.groupBy("id").agg(*[F.array_sort(F.collect_list(F.when(F.col("c") == s, F.col("x"))))["t"].alias(s) for s in _STATUSES])
+    heads = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.concat("c_name", F.lit(" statement")).alias("head"), (F.col("c_custkey") % 9 * 90 + 15).cast("int").alias("lim"))
+    cut = co.truncate_statement(F.col("head"), [F.col(s) for s in _STATUSES], F.col("lim"))
+    return heads.join(lines, "id").select("id", cut.alias("r")).select("id", "r.text", "r.truncated", F.col("r.omitted").cast("long").alias("omitted"))
+
+
 KINDS = list(co.KIND_SHARE)
 
 

@@ -69,3 +69,46 @@ def test_sections_of_financing_topics_and_unit(spark):
     assert got == [("committed_financing", 1), ("restricted_cash", 1), ("business", 1)]
     unit = spark.createDataFrame([("none", "(단위 : 백만원)")], "a string, b string").select(co.unit_near(F.col("a"), F.col("b")).alias("u")).first()["u"]
     assert unit == "백만원"
+
+
+def cut_by_hand(head, categories, limit):
+    """Water-filling and first fit, step by step."""
+    mark = "\n[TRUNCATED]"
+    full = "\n".join([head, *[x for c in categories for x in c]])
+    if len(full) <= limit:
+        return full, False, 0
+    head = head[:max(0, limit - len(mark))]
+    left, shares = max(0, limit - len(head) - len(mark)), {}
+    open_ = {i: sum(len(x) + 1 for x in c) for i, c in enumerate(categories) if c}
+    while open_:
+        share = left / len(open_)
+        low = {i: n for i, n in open_.items() if n <= share}
+        if not low:
+            shares |= dict.fromkeys(open_, share)
+            break
+        shares |= low
+        left -= sum(low.values())
+        open_ = {i: n for i, n in open_.items() if i not in low}
+    kept = []
+    for i, c in enumerate(categories):
+        for x in c:
+            if len(x) + 1 <= shares.get(i, 0):
+                shares[i] -= len(x) + 1
+                kept.append(x)
+    return ("\n".join([head, *kept]) + mark)[:limit], True, sum(map(len, categories)) - len(kept)
+
+
+def test_statements_are_cut_by_shares_and_first_fit(spark):
+    import random
+    draw = random.Random(2)
+    rows = []
+    for i in range(300):
+        cats = [["가" * draw.randint(0, 30) for _ in range(draw.choice([0, 1, 4, 9]))] for _ in range(3)]
+        rows.append((i, "h" * draw.choice([0, 5, 40]), *cats, draw.choice([0, 5, 12, 13, 40, 90, 200, 2000])))
+    df = spark.createDataFrame(rows, "id long, head string, a array<string>, b array<string>, c array<string>, lim int")
+    out = df.select("id", co.truncate_statement(F.col("head"), [F.col(x) for x in "abc"], F.col("lim")).alias("r")).collect()
+    got = {r["id"]: tuple(r["r"]) for r in out}
+    for i, head, a, b, c, limit in rows:
+        assert got[i] == cut_by_hand(head, [a, b, c], limit), rows[i]
+    null = spark.createDataFrame([(None, None, 5)], "head string, a array<string>, lim int").select(co.truncate_statement(F.col("head"), [F.col("a")], F.col("lim")).alias("r")).first()
+    assert tuple(null["r"]) == ("", False, 0)
