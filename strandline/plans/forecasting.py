@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +15,8 @@ from strandline.operators import forecast as fc
 from strandline.operators import panel
 from strandline.plans import market as mk
 from strandline.plans.registry import ctes, query, rounded, sql_rnd, stable, staged, table
-from strandline.session import stage
+from strandline.session import stage, stage_dir
+from strandline.sources import publish as pb
 
 def sample_rows(spark, sf) -> DataFrame:
     return staged(spark, sf, "samples", lambda: fd.long_samples(ft.samples(mk.ready_bars(spark, sf))))
@@ -295,3 +298,38 @@ def history_failures(spark, sf):
     wanted = (table(spark, sf, "part").select(F.col("p_brand").alias("ticker"))
               .unionByName(table(spark, sf, "nation").select(F.col("n_name").alias("ticker"))))
     return fc.failures(wanted, mk.bars(spark, sf))
+
+
+# ---- daily job -----------------------------------------------------------------------------------------------------
+
+
+def daily(spark, sf) -> str:
+    """Folder of a daily job over the last session of each ticker, run, broken off, and run again for the same day."""
+    def entries(log):
+        return log.select("ticker", "as_of_date", F.explode("horizons").alias("h")).select("ticker", "as_of_date", "h.*")
+
+    log, bars = rule_log(spark, sf), mk.bars(spark, sf).select("ticker", "date", "close")
+    last = entries(log.where("seq = 2").groupBy("ticker").agg(F.max_by(F.struct("as_of_date", "horizons"), "as_of_date").alias("x")).select("ticker", "x.*"))
+    forecasts = staged(spark, sf, "daily_forecasts", lambda: last.join(bars.withColumnsRenamed({"date": "as_of_date", "close": "last_close"}), ["ticker", "as_of_date"])
+                       .withColumnsRenamed({"range_lo": "range80_lo_pct", "range_hi": "range80_hi_pct"}))
+    names = bars.select("ticker").distinct().withColumn("exchange", F.when(F.substring("ticker", -1, 1).cast("int") % 2 == 0, "KOSPI").otherwise("KOSDAQ"))
+    path = f"{stage_dir(spark).rstrip('/')}/daily-{uuid.uuid4().hex}"
+    past = log.where("seq = 2").select("seq", "ticker", "as_of_date", "horizons")
+    pb.daily_job(forecasts.where("horizon = 1 AND probability_up > 2"), names, past, bars, path, "2002-01-01")
+    pb.daily_job(forecasts, names, past, bars, path, "2002-01-01")
+    pb.write_run({"ranking": forecasts.limit(1)}, path)
+    return path
+
+
+@query("daily_ranking", ctes(SQL_LOG) + f""", t AS (SELECT ticker, max(date) AS d FROM bars GROUP BY 1)
+SELECT CASE WHEN CAST(right(e.ticker, 1) AS INTEGER) % 2 = 0 THEN 'KOSPI' ELSE 'KOSDAQ' END AS exchange, e.ticker, {sql_rnd('probability_up')} AS probability_up,
+  CAST(row_number() OVER (PARTITION BY CAST(right(e.ticker, 1) AS INTEGER) % 2 ORDER BY probability_up DESC, predicted_return_pct DESC, e.ticker) AS INTEGER) AS rank FROM entries e JOIN t ON t.ticker = e.ticker AND t.d = as_of_date WHERE horizon = 1""")
+def daily_ranking(spark, sf):
+    return pb.published(spark, daily(spark, sf), "ranking").select("exchange", "ticker", stable("probability_up").alias("probability_up"), "rank")
+
+
+@query("daily_summary", ctes(SQL_LOG) + """, t AS (SELECT DISTINCT ticker FROM bars)
+SELECT 'ranked' AS section, CASE WHEN CAST(right(ticker, 1) AS INTEGER) % 2 = 0 THEN 'KOSPI' ELSE 'KOSDAQ' END AS name, count(*) AS n FROM t GROUP BY 2
+UNION ALL SELECT 'scores', status, count(*) FROM scores GROUP BY 2""")
+def daily_summary(spark, sf):
+    return pb.published(spark, daily(spark, sf), "summary")
