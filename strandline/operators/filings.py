@@ -257,6 +257,47 @@ def classify_securities(rows: DataFrame) -> DataFrame:
     return rows.withColumn("rejections", F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(code)) for code, c in tests])))
 
 
+def screen_names(rows: DataFrame) -> DataFrame:
+    """Add `rejections`, an array of (code, matched): why an instrument is not a common share, judged by all names of a listing
+    (columns ticker, names array, instrument, industry, check_suffix). `matched` is the first name that a pattern fits, null where
+    no name decided. Blank and null names count for nothing; an unknown `check_suffix` is true."""
+    names = F.filter(F.transform(F.coalesce("names", F.array().cast("array<string>")), lambda n: F.trim(n)), lambda n: F.length(n) > 0)
+    named = lambda pattern: F.get(F.filter(names, lambda n: n.rlike(pattern)), F.lit(0))
+    kind = F.col("instrument")
+    other, fund = F.coalesce(F.lower(kind) != "stock", F.lit(False)), F.coalesce(kind.rlike("(?i)^et[fn]$"), F.lit(False))
+    suffix = F.coalesce("check_suffix", F.lit(True)) & F.coalesce(F.col("ticker").rlike(r"^\d{6}$") & ~F.col("ticker").endswith("0"), F.lit(False))
+    none = F.lit(None).cast("string")
+
+    def found(code: str, pattern: str, before: Column | None = None, instead: Column | None = None) -> Column:
+        """A rejection by `before` (no name needed), else by a name that fits, else by `instead`."""
+        hit = named(pattern)
+        reject = lambda matched: F.struct(F.lit(code).alias("code"), matched.alias("matched"))
+        out = F.when(hit.isNotNull(), reject(hit)) if before is None else F.when(before, reject(none)).when(hit.isNotNull(), reject(hit))
+        return out if instead is None else out.when(instead, reject(none))
+
+    typed = F.when(other, F.struct(F.when(fund, "ETF_ETN").otherwise("NON_STOCK").alias("code"), none.alias("matched"))).otherwise(found("ETF_ETN", ETF_NAME))
+    tests = [typed, found("PREFERRED_STOCK", PREFERRED_NAME, before=suffix), found("REIT", REIT_NAME),
+             found("INFRA_FUND", INFRA_NAME, instead=F.coalesce(F.col("industry").rlike(FUND_INDUSTRY), F.lit(False))), found("SPAC", SPAC_NAME), found("SHIP_FUND", SHIP_NAME)]
+    return rows.withColumn("rejections", F.array_compact(F.array(*tests)))
+
+
+def list_companies(datasets: DataFrame, search: str | None = None) -> DataFrame:
+    """(ticker, name, exchange, sector) of nested datasets; a search term keeps tickers that begin with it and names that hold it."""
+    rows = datasets.select("company.ticker", "company.name", "company.exchange", "company.sector")
+    term = (search or "").strip().lower()
+    return rows.where(F.col("ticker").startswith(term) | F.lower("name").contains(term)) if term else rows
+
+
+def company_profiles(datasets: DataFrame) -> DataFrame:
+    """One row per nested dataset: who it is, its sources, products (id, name, market), markets with the quarter of their last
+    observation, quarter of the financials, quote."""
+    markets = F.transform("markets", lambda m: F.struct(m["id"].alias("id"), m["name"].alias("name"), m["scope"].alias("scope"), m["currency"].alias("currency"),
+                                                        F.try_element_at(m["observations"], F.lit(-1))["quarter"].alias("latest_observation")))
+    products = F.transform("products", lambda p: F.struct(p["id"].alias("id"), p["name"].alias("name"), p["marketId"].alias("market_id")))
+    return datasets.select("company.ticker", "company.name", "company.exchange", "company.sector", "company.description", F.col("company.sources").alias("sources"),
+                           products.alias("products"), markets.alias("markets"), F.col("financials.quarter").alias("financials_quarter"), "quote")
+
+
 def universe(rows: DataFrame) -> DataFrame:
     """Common stocks with a valid code, one row per ticker, sorted by exchange and size (a range-partitioned sort)."""
     good = classify_securities(rows).where((F.size("rejections") == 0) & F.col("ticker").rlike(TICKER_PATTERN)).drop("rejections")

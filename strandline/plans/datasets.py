@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.scalar import format_quarter
+from strandline.operators import filings as fl
 from strandline.operators import grounding as gr
 from strandline.operators import valuation as va
 from strandline.plans import valuing as vl
@@ -172,3 +173,18 @@ def dataset_source_rules(spark, sf):
     supplied = sources.where("url IS NOT NULL AND url NOT LIKE '%/fx'").select("url", "published_at").distinct()
     found = gr.resolve_sources(sources, supplied, vl.as_of())
     return found.select(F.col("ds_id").cast("int").alias("ds_id"), "code", "path")
+
+
+@query("dataset_companies", "SELECT lpad(CAST(s AS VARCHAR), 6, '0') AS ticker, 'Company ' || lpad(CAST(s AS VARCHAR), 6, '0') AS name, 'KOSPI' AS exchange FROM (SELECT DISTINCT s_nationkey AS s FROM supplier) WHERE lpad(CAST(s AS VARCHAR), 6, '0') LIKE '%01%'")
+def dataset_companies(spark, sf):
+    """Companies whose name holds the term; no ticker begins with it."""
+    return fl.list_companies(dataset_files(spark, sf)[0], " 01 ").select("ticker", "name", "exchange")
+
+
+@query("dataset_profiles", ctes(vl.SQL_VAL) + """, m AS (SELECT ds_id, market_id, max(q) AS q FROM obs0 GROUP BY 1, 2), p AS (SELECT ds_id, count(DISTINCT product_id) AS products, min(product_id) AS first_product FROM own GROUP BY 1)
+SELECT m.ds_id, m.market_id, (q // 4) || 'Q' || (q % 4 + 1) AS latest_observation, p.products, p.first_product, '2001Q4' AS financials_quarter, CAST(50000 + 1000 * m.ds_id AS DOUBLE) AS price FROM m JOIN p ON p.ds_id = m.ds_id""")
+def dataset_profiles(spark, sf):
+    rows = fl.company_profiles(dataset_files(spark, sf)[0])
+    each = rows.select(F.col("ticker").cast("int").alias("ds_id"), F.explode("markets").alias("m"), F.size("products").cast("long").alias("products"),
+                       F.array_min(F.transform("products", lambda p: p["id"])).alias("first_product"), "financials_quarter", F.col("quote.priceKRW").alias("price"))
+    return each.select("ds_id", F.col("m.id").alias("market_id"), F.col("m.latest_observation").alias("latest_observation"), "products", "first_product", "financials_quarter", "price")

@@ -247,6 +247,19 @@ def classify_securities(spark, sf):
     return fl.classify_securities(listing(spark, sf)).select("ticker", F.array_join("rejections", ",").alias("rejections"))
 
 
+@query("screen_names", """SELECT p_partkey AS id, array_to_string(list_filter([CASE WHEN p_partkey % 7 = 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 'ETF_ETN:' ELSE 'NON_STOCK:' END WHEN p_partkey % 11 = 0 THEN 'ETF_ETN:KODEX ' || p_name END,
+  CASE WHEN p_partkey % 10 <> 0 AND p_partkey % 3 <> 0 THEN 'PREFERRED_STOCK:' END, CASE WHEN p_partkey % 13 = 0 THEN 'REIT:' || p_brand || ' 리츠' END,
+  CASE WHEN p_partkey % 17 = 0 THEN 'INFRA_FUND:' END, CASE WHEN p_partkey % 19 = 0 THEN 'SPAC:' || p_brand || ' 스팩' END], lambda x: x IS NOT NULL), ',') AS rejections FROM part""")
+def screen_names(spark, sf):
+    """Parts as listings of up to five names, the deciding one never first."""
+    k, brand = F.col("p_partkey"), F.col("p_brand")
+    rows = table(spark, sf, "part").select(
+        k.alias("id"), F.lpad((k % 1000000).cast("string"), 6, "0").alias("ticker"), F.when(k % 7 == 0, F.when(k % 2 == 0, "ETF").otherwise("warrant")).when(k % 5 == 0, "Stock").alias("instrument"),
+        F.array(F.lit(" "), brand, F.when(k % 11 == 0, F.concat(F.lit(" KODEX "), "p_name")), F.when(k % 13 == 0, F.concat(brand, F.lit(" 리츠"))), F.when(k % 19 == 0, F.concat(brand, F.lit(" 스팩")))).alias("names"),
+        F.when(k % 17 == 0, "64201").otherwise("26110").alias("industry"), F.when(k % 3 == 0, False).alias("check_suffix"))
+    return fl.screen_names(rows).select("id", F.array_join(F.transform("rejections", lambda r: F.concat(r["code"], F.lit(":"), F.coalesce(r["matched"], F.lit("")))), ",").alias("rejections"))
+
+
 @query("universe", ctes(SQL_LISTING) + "SELECT ticker, exchange, c_acctbal AS market_cap FROM cl WHERE len(rejections) = 0 ORDER BY exchange, market_cap DESC, ticker")
 def universe(spark, sf):
     return fl.universe(listing(spark, sf)).select("ticker", "exchange", "market_cap")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strandline.operators import corpus as co
 from strandline.operators import earnings as er
+from strandline.operators import filings as fl
 from strandline.operators import quality_rules as qr
 from strandline.operators import replay as rp
 from strandline.operators import screen as sc
@@ -203,3 +204,25 @@ def test_sources_are_walked_in_document_order_and_first_appearance_wins(spark, t
     found = rd.dataset_provenance(rd.walk_sources(good)).orderBy("rank").collect()
     assert [(r["reference"], r["first_path"]) for r in found][:3] == [("m", "company.sources[0]"), ("https://x.example.com", "quote.source"), ("m", "shares.source")]
     assert sum(r["n"] for r in found) == 20 and [r["rank"] for r in found] == list(range(1, len(found) + 1))
+
+
+def test_any_name_of_a_listing_can_reject_it(spark):
+    rows = [("005930", ["Good Corp", None, " "], "Stock", "26110", None, []), ("005935", ["Good Corp"], None, None, None, [("PREFERRED_STOCK", None)]),
+            ("005935", ["Good Corp"], None, None, False, []), ("005930", ["Good Corp", "굿 우선주"], None, None, None, [("PREFERRED_STOCK", "굿 우선주")]),
+            ("100000", ["Plain", "KODEX 200"], None, None, None, [("ETF_ETN", "KODEX 200")]), ("100000", ["KODEX 200"], "ETN", None, None, [("ETF_ETN", None)]),
+            ("100000", ["KODEX 200"], "Warrant", None, None, [("NON_STOCK", None)]), ("100000", ["A", "에이 리츠", "비 스팩"], None, "64201", None,
+                                                                                [("REIT", "에이 리츠"), ("INFRA_FUND", None), ("SPAC", "비 스팩")]),
+            ("100000", None, None, None, None, []), (None, [], None, None, None, [])]
+    df = spark.createDataFrame([(i, *r[:5]) for i, r in enumerate(rows)], "id int, ticker string, names array<string>, instrument string, industry string, check_suffix boolean")
+    got = {r["id"]: [tuple(x) for x in r["rejections"]] for r in fl.screen_names(df).collect()}
+    assert [got[i] for i in range(len(rows))] == [r[5] for r in rows]
+
+
+def test_companies_are_listed_by_ticker_or_name_and_profiled(spark, tmp_path):
+    (tmp_path / "111110.json").write_text(json.dumps(dataset()))
+    good, _ = rd.read_dataset_files(spark, str(tmp_path))
+    found = lambda term: [r["ticker"] for r in fl.list_companies(good, term).collect()]
+    assert found(None) == found(" TEST ") == found("1111") == ["111110"] and found("110") == found("9") == []
+    profile = fl.company_profiles(good).first()
+    assert [m["latest_observation"] for m in profile["markets"]] == ["2025Q4"] and [p["market_id"] for p in profile["products"]] == ["m1"]
+    assert profile["financials_quarter"] == "2025Q4" and profile["quote"]["priceKRW"] == 50000 and len(profile["sources"]) == 1
