@@ -114,12 +114,27 @@ def dedupe_log(log: DataFrame, seq: str = "seq") -> DataFrame:
     return latest_by(log, ["ticker", "as_of_date"], [F.col(seq)])
 
 
-def score_log(log: DataFrame, bars: DataFrame) -> DataFrame:
-    """One row per logged horizon against the h-th later session of the same series."""
+def session_windows(bars: DataFrame) -> DataFrame:
+    """Each session with its close and, per horizon, the later session and its close."""
     order = Window.partitionBy("ticker").orderBy("date")
-    base = bars.select("ticker", F.col("date").alias("as_of_date"), F.col("close").alias("c0"), *[
+    return bars.select("ticker", F.col("date").alias("as_of_date"), F.col("close").alias("c0"), *[
         F.struct(F.lead("date", h).over(order).alias("date"), F.lead("close", h).over(order).alias("close")).alias(f"t{h}")
         for h in HORIZONS])
+
+
+def session_windows_of(flat: DataFrame) -> DataFrame:
+    """The same from rows that carry their later sessions (ticker, date, close, date1, close1, ...)."""
+    return flat.select("ticker", F.col("date").alias("as_of_date"), F.col("close").alias("c0"), *[
+        F.struct(F.col(f"date{h}").alias("date"), F.col(f"close{h}").alias("close")).alias(f"t{h}") for h in HORIZONS])
+
+
+def score_log(log: DataFrame, bars: DataFrame) -> DataFrame:
+    """One row per logged horizon against the h-th later session of the same series."""
+    return score_sessions(log, session_windows(bars))
+
+
+def score_sessions(log: DataFrame, base: DataFrame) -> DataFrame:
+    """One row per logged horizon against the sessions given as `session_windows` does."""
     rows = log.select("ticker", "as_of_date", F.explode("horizons").alias("h")).select("ticker", "as_of_date", "h.*")
     joined = rows.join(base, ["ticker", "as_of_date"], "left")
     target = F.lit(None)

@@ -1,91 +1,130 @@
 """Structured Streaming jobs. Each equals its batch operator on the same input.
 
-A micro-batch writes its own folder, named by its id and replaced on a retry. It reads only folders of earlier batches, so what a
-failed attempt of itself left behind changes nothing. Folders are parted by a hash of the key: a batch reads the parts of the
-keys it touches."""
+What a batch must know of earlier ones is keyed state (`streaming.state`, or a streaming aggregate), so its input is its own rows. A
+micro-batch writes one folder, named by its id and replaced on a retry. `compact_bars` and `compact_scores` fold the folders written
+so far into one table; one last row moves readers to it."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from strandline.functions.scalar import content_hash
 from strandline.operators import forecast as fc
 from strandline.operators import panel
-from strandline.operators import records as rc
+from strandline.streaming import state
 
-PARTS = 64
 SCORE_KEYS = ["ticker", "as_of_date", "horizon"]
+POINTER = "run string, through long"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def _state_store(spark: SparkSession):
+    """Streams started inside keep their state in RocksDB, which keyed processors need; the session's own choice comes back after."""
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, before)
 
 
-def _part(key: str) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int")
+def _start(rows: DataFrame, step, checkpoint: str, trigger: dict) -> StreamingQuery:
+    with _state_store(rows.sparkSession):
+        return rows.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def _write(df: DataFrame, path: str, batch_id: int, key: str) -> None:
-    df.withColumn("part", _part(key)).write.mode("overwrite").partitionBy("part").parquet(f"{path}/batch={batch_id}")
+def _write(df: DataFrame, path: str, batch_id: int) -> None:
+    df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
-def _stored(spark: SparkSession, path: str, schema: StructType, before: int | None = None, touched: DataFrame | None = None,
-            key: str = "ticker") -> DataFrame:
-    """Rows of earlier batches with their `batch`, of the parts that `touched` keys fall in; empty before the first."""
-    full = StructType([*schema.fields]).add("batch", "long").add("part", "integer")
+def _read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows of a folder, none before it is written."""
     try:
-        rows = spark.read.schema(full).option("basePath", path).parquet(path)
+        return spark.read.schema(schema).option("basePath", path).parquet(path)
     except Exception as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        rows = spark.createDataFrame([], full)
-    if before is not None:
-        rows = rows.where(F.col("batch") < before)
-    if touched is not None:
-        rows = rows.where(F.col("part").isin([r[0] for r in touched.select(_part(key)).distinct().collect()]))  # at most PARTS
-    return rows.drop("part")
+        return spark.createDataFrame([], schema)
+
+
+def _stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Rows with the `batch` that wrote them: the compacted table in view and the folders of later batches."""
+    full = StructType([*schema.fields]).add("batch", "long")
+    newest = _read(spark, f"{path}-current", StructType.fromDDL(POINTER)).agg(F.max(F.struct("through", "run"))).first()[0]
+    rows = _read(spark, path, full)
+    if newest is None:
+        return rows
+    return spark.read.schema(full).parquet(f"{path}-base/{newest['run']}").unionByName(rows.where(F.col("batch") > newest["through"]))
+
+
+def _compact(spark: SparkSession, path: str, rows: DataFrame, through: int) -> None:
+    """Write the folded rows to a folder of their own, then one pointer row. A crash between leaves the earlier state in view."""
+    run = uuid.uuid4().hex
+    rows.where(F.col("batch") <= through).write.mode("errorifexists").parquet(f"{path}-base/{run}")
+    spark.createDataFrame([(run, through)], POINTER).coalesce(1).write.mode("append").parquet(f"{path}-current")
+
+
+def compact_bars(spark: SparkSession, path: str, schema: StructType, through: int) -> None:
+    """Fold the bars of batches up to `through` (a committed batch) to one row per ticker and date."""
+    rows = _stored(spark, path, schema).where(F.col("batch") <= through)
+    _compact(spark, path, panel.latest_by(rows, ["ticker", "date"], [F.col("ingest_seq"), F.col("batch")]), through)
+
+
+def compact_scores(spark: SparkSession, path: str, schema: StructType, through: int) -> None:
+    """Fold the scores of batches up to `through` (a committed batch) to the latest of each forecast and horizon."""
+    rows = _stored(spark, path, schema).where(F.col("batch") <= through)
+    _compact(spark, path, panel.latest_by(rows, SCORE_KEYS, [F.col("batch")]), through)
 
 
 def ingest_bars(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Append arriving bars (ticker, date, ..., ingest_seq), one row per batch, ticker and date; late and repeated bars
-    are kept in the log and resolved by `current_bars`, so no watermark drops them."""
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        _write(panel.last_arrival(batch).select(*batch.columns), path, batch_id, "ticker")
+    """Keep the last arrival of each ticker and date as bars (ticker, date, ..., ingest_seq) come in, late and repeated ones too.
 
-    return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    The last arrivals are the state of a streaming aggregate, combined before its shuffle; a batch writes the bars it touched."""
+    bars = panel.latest_by(stream, ["ticker", "date"], [F.col("ingest_seq")]).select(*stream.columns)
+    return _start(bars, lambda batch, batch_id: _write(batch, path, batch_id), checkpoint, trigger)
 
 
-def current_bars(spark: SparkSession, path: str, schema: StructType, now=None, through: int | None = None,
-                 touched: DataFrame | None = None) -> DataFrame:
+def current_bars(spark: SparkSession, path: str, schema: StructType, now=None) -> DataFrame:
     """Bars as of now: last arrival per ticker and date, today's unfinished session held back."""
-    stored = _stored(spark, path, schema, None if through is None else through + 1, touched)
-    rows = panel.last_arrival(stored.drop("batch"))
+    rows = panel.latest_by(_stored(spark, path, schema), ["ticker", "date"], [F.col("ingest_seq"), F.col("batch")]).drop("batch")
+    rows = rows.select(*[f.name for f in schema])
     return rows if now is None else panel.drop_unfinished_session(rows, now)
 
 
-def current_scores(spark: SparkSession, path: str, schema: StructType, before: int | None = None,
-                   touched: DataFrame | None = None) -> DataFrame:
+def current_scores(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """The latest score of each forecast and horizon: a later batch replaces what late bars changed."""
-    rows = _stored(spark, path, schema, before, touched)
-    latest = rows.groupBy(*SCORE_KEYS).agg(F.max_by(F.struct(*[f.name for f in schema]), "batch").alias("_row"))
-    return latest.select("_row.*")
+    return panel.latest_by(_stored(spark, path, schema), SCORE_KEYS, [F.col("batch")]).select(*[f.name for f in schema])
 
 
 def score_arrivals(stream: DataFrame, log: DataFrame, bars_path: str, scores_path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Score logged forecasts as their sessions arrive, and again where a late bar changes a score. A batch writes the scores of
-    its tickers that are new or differ from the latest ones; read them by `current_scores`."""
-    schema = stream.schema
+    """Score logged forecasts as their sessions arrive, and again where a late bar changes a score; read by `current_scores`.
+
+    The sessions of a ticker are keyed state, which returns those whose bar or later bars changed. A batch writes them, then scores
+    the forecasts made at them. Bars are stored as (ticker, date, close, ingest_seq); rows without ticker or date take no part."""
     scored_schema = score_schema(log)
+    bars = stream.where("ticker IS NOT NULL AND date IS NOT NULL").select(
+        "ticker", "date", F.col("close").cast("double").alias("close"), F.col("ingest_seq").cast("long").alias("ingest_seq"))
+    windows = (bars.mapInPandas(state.combine_bars, state.BARS).groupBy("ticker")
+               .transformWithState(state.Sessions(), state.WINDOWS, "Update", "None"))
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        _write(panel.last_arrival(batch).select(*batch.columns), bars_path, batch_id, "ticker")
-        touched = batch.select("ticker").distinct()
-        known = current_scores(spark, scores_path, scored_schema, batch_id, touched)
-        bars = current_bars(spark, bars_path, schema, through=batch_id, touched=touched).join(touched, "ticker", "left_semi")
-        scores = fc.score_log(log.join(touched, "ticker", "left_semi"), bars).where(F.col("status") == "scored")
-        _write(scores.select(*scored_schema.names).subtract(known.select(*scored_schema.names)), scores_path, batch_id, "ticker")
+        _write(batch, bars_path, batch_id)
+        moved = batch.sparkSession.read.schema(batch.schema).parquet(f"{bars_path}/batch={batch_id}")
+        scores = fc.score_sessions(log.join(moved.select("ticker").distinct(), "ticker", "left_semi"), fc.session_windows_of(moved))
+        _write(scores.where(F.col("status") == "scored").select(*scored_schema.names), scores_path, batch_id)
 
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    return _start(windows, step, checkpoint, trigger)
 
 
 def score_schema(log: DataFrame) -> StructType:
@@ -96,14 +135,17 @@ def ingest_records(stream: DataFrame, payload: list[str], times: list[str], path
                    **trigger) -> StreamingQuery:
     """Store new records with their hash; repeated ids and forward records from the future go to the reject folder.
 
-    Ids are checked against the stored records, so no stream state grows with them."""
-    schema = stream.withColumn("content_hash", content_hash(payload)).schema
+    Stored ids are keyed state. A record from the future is not stored, so its id may come again."""
+    late = (F.col("mode") == "forward") & (F.array_max(F.array(*times)) > F.col("recorded_at"))
+    rows = stream.withColumn("content_hash", content_hash(payload))
+    schema = StructType([*rows.schema.fields])
+    judged = (rows.withColumn("_late", F.coalesce(late, F.lit(False))).groupBy("id")
+              .transformWithState(state.FirstOfId(schema), StructType([*schema.fields]).add("code", StringType()), "Update", "None"))
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        stored = _stored(batch.sparkSession, path, schema, batch_id, batch.select("id"), "id")
-        accepted, conflicts = rc.append(stored, rc.with_hash(batch, payload))
-        late = rc.time_guard(accepted, times)
-        _write(accepted.join(late.select("id"), "id", "left_anti").select(*[f.name for f in schema]), path, batch_id, "id")
-        _write(conflicts.select("id", "code").unionByName(late), rejects_path, batch_id, "id")
+        batch = batch.persist()  # two folders from one run of the state
+        _write(batch.where("code IS NULL").drop("code"), path, batch_id)
+        _write(batch.where("code IS NOT NULL").select("id", "code"), rejects_path, batch_id)
+        batch.unpersist()
 
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    return _start(judged, step, checkpoint, trigger)

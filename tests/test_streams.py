@@ -101,3 +101,32 @@ def test_a_late_bar_rescores_its_session(spark, tmp_path):
     got = jobs.current_scores(spark, f"{tmp_path}/scores", jobs.score_schema(log)).collect()
     want = fc.score_log(log, spark.createDataFrame([r for b in batches for r in b], BARS)).collect()
     assert [round(r["actual_return_pct"], 4) for r in got] == [round(r["actual_return_pct"], 4) for r in want] == [-50.0]
+
+
+def test_compaction_moves_readers_and_keeps_rows(spark, tmp_path):
+    batches = [[("A", day(0), 1.0, 1), ("A", day(2), 3.0, 2)], [("A", day(2), 5.0, 3)], [("A", day(1), 2.0, 4)]]
+    stream = feed(spark, tmp_path, batches, BARS)
+    path = f"{tmp_path}/bars"
+    jobs.ingest_bars(stream, path, f"{tmp_path}/cp", availableNow=True).awaitTermination()
+    read = lambda: sorted(tuple(r) for r in jobs.current_bars(spark, path, stream.schema).collect())
+    whole = read()
+    jobs.compact_bars(spark, path, stream.schema, 1)
+    assert read() == whole and [r[2] for r in whole] == [1.0, 2.0, 5.0]
+    files = jobs.current_bars(spark, path, stream.schema).inputFiles()
+    assert any("bars-base" in f for f in files) and spark.read.parquet(f"{path}-current").count() == 1
+    jobs.compact_bars(spark, path, stream.schema, 2)
+    assert read() == whole
+
+
+def test_sessions_far_back_and_equal_arrivals(spark, tmp_path):
+    newer = [("A", day(i), 100.0 + i, i) for i in range(10, 20)]
+    batches = [newer, [("A", day(1), 50.0, 30), ("A", day(12), 60.0, 31), ("A", day(12), 61.0, 31), ("B", day(3), None, None)], [("A", day(1), 40.0, 29), (None, day(1), 1.0, 1)]]
+    stream = feed(spark, tmp_path, batches, BARS)
+    entries = F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(0.7).alias("probability_up"), F.lit("up").alias("direction"), F.lit("low").alias("confidence"),
+                                 F.lit(5.0).alias("expected_return_pct"), F.lit(-1.0).alias("range_lo"), F.lit(20.0).alias("range_hi")) for h in (1, 2, 3)])
+    log = spark.createDataFrame([("A", day(i)) for i in range(20)], "ticker string, as_of_date date").withColumn("horizons", entries)
+    jobs.score_arrivals(stream, log, f"{tmp_path}/bars", f"{tmp_path}/scores", f"{tmp_path}/cp", availableNow=True).awaitTermination()
+    bars = {r[1]: r[2] for r in newer} | {day(1): 50.0, day(12): 61.0}
+    want = fc.score_log(log, spark.createDataFrame([("A", d, c) for d, c in bars.items()], "ticker string, date date, close double")).where("status = 'scored'")
+    got = jobs.current_scores(spark, f"{tmp_path}/scores", jobs.score_schema(log))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want.collect())
