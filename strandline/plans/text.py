@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strandline.operators import corpus as co
 from strandline.operators import grounding as gr
+from strandline.operators import markup as mk
 
 from strandline.functions.scalar import format_quarter, quarter_index
 from strandline.plans import valuing as vl
@@ -114,6 +115,51 @@ def page_table_lines(spark, sf):
     return co.table_lines(co.table_rows(page_bodies(spark, sf))).select("page_id", "table_no", "text")
 
 
+# Statements of units before the lists of a page: in reach of the list, out of reach behind two more lines, or none.
+UNIT_LINES = {0: "<p>(단위 : 백만원)</p>", 1: "<p>(단위: %)</p><p>one</p><p>two</p>"}
+
+
+def stated_pages(spark, sf) -> DataFrame:
+    """Pages with a unit stated before their lists, by page."""
+    notes = F.when(F.col("page_id") % 3 == 0, UNIT_LINES[0]).when(F.col("page_id") % 3 == 1, UNIT_LINES[1]).otherwise("")
+    return table(spark, sf, "pages").select("page_id", F.replace("html", F.lit("<ul"), F.concat(notes, F.lit("<ul"))).alias("html"))
+
+
+def sql_items(body: str) -> str:
+    marked = f"regexp_replace(replace(replace(coalesce({body}, ''), chr(1), ''), chr(2), ''), '(?is)(<(?:table|ul|ol)\\b[^>]*>.*?</(?:table|ul|ol)>)', chr(1) || chr(2) || '\\1' || chr(1), 'g')"
+    return f"flatten(list_transform(string_split({marked}, chr(1)), lambda s: CASE WHEN starts_with(s, chr(2)) THEN [s] ELSE {sql_lines('s').replace('lambda s:', 'lambda z:').replace('trim(regexp_replace(s,', 'trim(regexp_replace(z,').replace('z: s <>', 'z: z <>')} END))"
+
+
+SQL_STATED = f"""
+sp AS (SELECT page_id, replace(html, '<ul', CASE page_id % 3 WHEN 0 THEN '{UNIT_LINES[0]}' WHEN 1 THEN '{UNIT_LINES[1]}' ELSE '' END || '<ul') AS html FROM pages)
+"""
+_CELL = sql_lines("r").replace("lambda s:", "lambda z:").replace("trim(regexp_replace(s,", "trim(regexp_replace(z,").replace("z: s <>", "z: z <>")
+_ROWS = f"list_filter(list_transform(regexp_extract_all(item, '(?is)<(?:tr|li)\\b[^>]*>(.*?)</(?:tr|li)>', 1), lambda r: array_to_string({_CELL}, ' ')), lambda c: c <> '')"
+
+
+def _sql_unit(text: str) -> str:
+    return f"nullif(trim(regexp_replace(regexp_extract({text}, '{co.UNIT_NEAR}', 1), '\\s+', ' ', 'g')), '')"
+
+
+@query("table_units", ctes(SQL_STATED) + f""", p AS (SELECT page_id, unnest(string_split(regexp_replace(regexp_replace(html, '{_DROP}', '', 'g'), '(?i)(<(?:h[1-6]|title)\\b)', chr(1) || '\\1', 'g'), chr(1))) AS part, generate_subscripts(string_split(regexp_replace(regexp_replace(html, '{_DROP}', '', 'g'), '(?i)(<(?:h[1-6]|title)\\b)', chr(1) || '\\1', 'g'), chr(1)), 1) - 1 AS pos FROM sp),
+t AS (SELECT page_id, pos, part, array_to_string({sql_lines("regexp_extract(part, '" + _HEAD + "', 1)")}, ' ') AS title FROM p WHERE regexp_matches(part, '(?i)^<(?:h[1-6]|title)\\b')),
+c AS (SELECT page_id, pos, CASE WHEN regexp_matches(title, '\\p{{L}}{{12,}}') THEN 'long' ELSE 'short' END AS category, {sql_items("regexp_replace(part, '(?is)^<(?:h[1-6]|title)\\b[^>]*>.*?</(?:h[1-6]|title)>', '')")} AS items FROM t WHERE title <> ''),
+i AS (SELECT page_id, pos, category, unnest(items) AS item, generate_subscripts(items, 1) - 1 AS item_no FROM c),
+b AS (SELECT *, lag(item, 1) OVER w AS b1, lag(item, 2) OVER w AS b2 FROM i WINDOW w AS (PARTITION BY page_id, pos ORDER BY item_no)),
+r AS (SELECT page_id, pos, category, item_no, {_ROWS} AS rs, CASE WHEN NOT starts_with(b1, chr(2)) THEN b1 END AS b1, CASE WHEN NOT starts_with(b2, chr(2)) THEN b2 END AS b2 FROM b WHERE starts_with(item, chr(2))),
+u AS (SELECT *, coalesce({_sql_unit("array_to_string(rs, chr(10))")}, {_sql_unit("b1")}, {_sql_unit("b2")}) AS unit, row_number() OVER (PARTITION BY page_id, category ORDER BY pos, item_no) AS table_n FROM r WHERE len(rs) > 0)
+SELECT page_id, CAST(pos AS INTEGER) AS pos, category, CAST(item_no AS INTEGER) AS item_no, CAST(table_n AS INTEGER) AS table_n, unit, unnest(rs) AS line, CAST(generate_subscripts(rs, 1) - 1 AS INTEGER) AS row_no FROM u""")
+def table_units(spark, sf):
+    rows = mk.table_rows(co.sections(stated_pages(spark, sf), categories=SECTION_KINDS))
+    return rows.select("page_id", "pos", "category", "item_no", "table_n", "unit", F.array_join("cells", " | ").alias("line"), "row_no")
+
+
+@query("disclosure_texts", ctes(SQL_STATED) + f""", i AS (SELECT page_id, {sql_items("html")} AS items FROM sp)
+SELECT page_id, array_to_string(list_filter(list_transform(items, lambda item: CASE WHEN starts_with(item, chr(2)) THEN array_to_string({_ROWS}, ' / ') ELSE item END), lambda x: x <> ''), chr(10)) AS text FROM i""")
+def disclosure_texts(spark, sf):
+    return mk.disclosure_text(stated_pages(spark, sf))
+
+
 @query("product_candidates", ctes(SQL_TABLES) + r"""SELECT DISTINCT page_id, lower(c) AS key FROM (SELECT *, min(row_no) OVER (PARTITION BY page_id, table_no) AS f FROM cell WHERE c <> '') WHERE row_no > f AND length(c) BETWEEN 2 AND 40 AND regexp_matches(c, '\p{L}') AND NOT regexp_matches(c, '^(합\s*계|총\s*계|소\s*계|계|기타|구분|합계|해당\s*없음|-)$')""")
 def product_candidates(spark, sf):
     return co.product_candidates(co.table_rows(page_bodies(spark, sf))).select("page_id", "key")
