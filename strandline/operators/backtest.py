@@ -4,10 +4,11 @@ actual, past). Per-ticker and pooled results come from one grouping-sets aggrega
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.quantiles import grouped_quantiles
+from strandline.functions.ranks import first_sums
 from strandline.functions.scalar import clamp, logit, p_value_above, pct, tdiv
 from strandline.operators import fold_maps as fm
 from strandline.operators.folds import FoldOptions, fold_schedule, fold_table
@@ -37,28 +38,17 @@ def _named(df: DataFrame) -> DataFrame:
 def confident_hits(oos: DataFrame) -> DataFrame:
     """Hit rate of the 30% of predictions farthest from one half (ties in (date, ticker) order), per ticker and pooled.
 
-    The pooled rows are not ranked in one task: counts per narrow distance bin locate the bin holding the cut, and only
-    that bin's rows are ordered."""
+    The rows are not ranked: counts per narrow distance bin locate the bin holding the cut, counts per distance and date
+    inside it the date, and its tickers are counted last."""
     far = F.abs(F.col("p") - 0.5)
     rows = oos.select("horizon", "ticker", "date", far.alias("far"), F.floor(far * DISTANCE_BINS).alias("bin"),
                       _flag((F.col("p") > 0.5) == (F.col("actual") > 0)).alias("hit"),
                       F.explode(F.array(F.col("ticker"), F.lit(POOLED))).alias("grp"))
     keys = ["horizon", "grp"]
-    cells = rows.groupBy(*keys, "bin").agg(F.count("*").alias("c"), F.sum("hit").alias("h"))
-    group = Window.partitionBy(*keys)
-    upto = group.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
-    sized = (cells.withColumn("take", F.greatest(F.lit(1), F.floor(F.sum("c").over(group) * CONFIDENT_SHARE)))
-             .withColumn("upto", F.sum("c").over(upto)))
-    whole = (sized.where(F.col("upto") <= F.col("take")).groupBy(*keys)
-             .agg(F.sum("h").alias("h"), F.sum("c").alias("c")))
-    edge = (sized.where((F.col("upto") > F.col("take")) & (F.col("upto") - F.col("c") < F.col("take")))
-            .select(*keys, "bin", (F.col("take") - F.col("upto") + F.col("c")).alias("need")))
-    nearest = Window.partitionBy(*keys).orderBy(F.desc("far"), "date", "ticker")
-    part = (rows.join(edge, [*keys, "bin"]).withColumn("rn", F.row_number().over(nearest))
-            .where(F.col("rn") <= F.col("need")).groupBy(*keys).agg(F.sum("hit").alias("h"), F.count("*").alias("c")))
-    return (whole.unionByName(part).groupBy(*keys).agg(F.sum("h").alias("h"), F.sum("c").alias("confident_n"))
-            .select("horizon", F.col("grp").alias("ticker"), (F.col("h") / F.col("confident_n")).alias("confident_accuracy"),
-                    "confident_n"))
+    need = rows.groupBy(*keys).agg(F.greatest(F.lit(1), F.floor(F.count("*") * CONFIDENT_SHARE)).alias("need"))
+    cut = first_sums(rows, keys, need, [[("bin", True)], [("far", True), ("date", False)], [("ticker", False)]], "hit")
+    return cut.select("horizon", F.col("grp").alias("ticker"), (F.col("sum") / F.col("n")).alias("confident_accuracy"),
+                      F.col("n").alias("confident_n"))
 
 
 def backtest_stats(oos: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.ranks import ranked
 from strandline.functions.scalar import logit, pct, sigmoid
 from strandline.operators import backtest as bt
 from strandline.operators import folds as fd
@@ -84,8 +85,7 @@ def ranking(forecasts: DataFrame, horizon: int, names: DataFrame | None = None)
     if names is not None:
         rows = rows.join(names, "ticker", "left")
     group = ["exchange"] if "exchange" in rows.columns else ["horizon"]
-    order = Window.partitionBy(*group).orderBy(F.desc("probability_up"), F.desc("expected_return_pct"), "ticker")
-    return rows.withColumn("rank", F.row_number().over(order))
+    return ranked(rows, group, [F.desc("probability_up"), F.desc("expected_return_pct"), F.asc("ticker")])
 
 
 def failures(wanted: DataFrame, bars: DataFrame) -> DataFrame:
