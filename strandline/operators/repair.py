@@ -73,3 +73,25 @@ def relax(t: va.Tables, as_of) -> tuple[va.Tables, DataFrame]:
     step = replace(step, product=product)
     residual, r6 = assume_residual(step)
     return replace(step, residual_tri=residual), union_all([r1, r2, r3, r4, r5, r6])
+
+
+def replace_verified(facts: DataFrame, verified: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Facts (ds_id, exchange, price, price_as_of, price_source, ...) with exchange and quote replaced by verified ones (ds_id, exchange,
+    close, traded_on, source; one row a dataset), and the log (ds_id, code, old, new).
+
+    A null verified exchange or close replaces nothing. Price and date go together with their source; a null fact differs from any
+    verified one."""
+    known = verified.select("ds_id", F.col("exchange").alias("_exchange"), F.col("close").alias("_close"), F.col("traded_on").alias("_on"),
+                            F.col("source").alias("_source"))
+    joined = facts.join(known, "ds_id", "left")
+    moved = F.col("_exchange").isNotNull() & ~F.col("exchange").eqNullSafe(F.col("_exchange"))
+    quoted = F.col("_close").isNotNull() & ~(F.col("price").eqNullSafe(F.col("_close")) & F.col("price_as_of").eqNullSafe(F.col("_on")))
+    marked = joined.withColumns({"_moved": moved, "_quoted": quoted})
+    new = {"exchange": ("_moved", "_exchange"), "price": ("_quoted", "_close"), "price_as_of": ("_quoted", "_on"), "price_source": ("_quoted", "_source")}
+    out = marked.select(*[F.when(F.col(new[c][0]), F.col(new[c][1])).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in facts.columns])
+    quote = lambda price, on: F.concat_ws(" @ ", F.col(price).cast("string"), F.col(on).cast("string"))
+    entries = F.array(F.when(F.col("_moved"), F.struct(F.lit("DATASET_EXCHANGE_REPLACED").alias("code"), F.col("exchange").alias("old"), F.col("_exchange").alias("new"))),
+                      F.when(F.col("_quoted"), F.struct(F.lit("DATASET_QUOTE_REPLACED").alias("code"), quote("price", "price_as_of").alias("old"),
+                                                        quote("_close", "_on").alias("new"))))
+    log = marked.select("ds_id", F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("_e")).select("ds_id", "_e.*")
+    return out, log
