@@ -405,3 +405,31 @@ SELECT ds_id, scenario, 0.0 AS annual_growth, {sql_rnd('least(0.6, greatest(-0.5
 def assumed_residual(spark, sf):
     out, _ = ry.relax(tables(spark, sf), as_of())
     return rounded(out.residual_tri, ["ds_id", "scenario"], ["annual_growth", "margin"])
+
+
+def proposed_and_verified(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Per customer the first order as the proposed quote and the last one as the collected quote; every third has no listing."""
+    when = F.struct(F.to_date("o_orderdate").alias("on"), "o_orderkey")
+    quotes = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("ds_id")).agg(
+        F.min(F.struct(when.alias("w"), F.col("o_totalprice").alias("p"))).alias("first"), F.max(F.struct(when.alias("w"), F.col("o_totalprice").alias("p"))).alias("last"))
+    side = F.when(F.col("ds_id") % 2 == 0, "KOSPI").otherwise("KOSDAQ")
+    facts = quotes.select("ds_id", side.alias("exchange"), F.col("first.p").alias("price"), F.col("first.w.on").alias("price_as_of"), F.lit("proposed").alias("price_source"))
+    return facts, quotes.select("ds_id", F.when(F.col("ds_id") % 3 > 0, "KOSPI").alias("exchange"), F.col("last.p").alias("close"), F.col("last.w.on").alias("traded_on"), F.lit("collected").alias("source"))
+
+
+SQL_VERIFIED = """
+vq AS (SELECT o_custkey AS ds_id, CASE WHEN o_custkey % 2 = 0 THEN 'KOSPI' ELSE 'KOSDAQ' END AS exchange, arg_min(o_totalprice, (CAST(o_orderdate AS DATE), o_orderkey)) AS p0, min(CAST(o_orderdate AS DATE)) AS d0,
+  arg_max(o_totalprice, (CAST(o_orderdate AS DATE), o_orderkey)) AS p1, max(CAST(o_orderdate AS DATE)) AS d1 FROM orders GROUP BY 1, 2)
+"""
+
+
+@query("verified_facts", ctes(SQL_VERIFIED) + "SELECT ds_id, CASE WHEN ds_id % 3 > 0 THEN 'KOSPI' ELSE exchange END AS exchange, p1 AS price, d1 AS price_as_of, CASE WHEN p0 = p1 AND d0 = d1 THEN 'proposed' ELSE 'collected' END AS price_source FROM vq")
+def verified_facts(spark, sf):
+    return ry.replace_verified(*proposed_and_verified(spark, sf))[0]
+
+
+@query("replacement_log", ctes(SQL_VERIFIED) + "SELECT ds_id, 'DATASET_EXCHANGE_REPLACED' AS code, exchange AS old, 'KOSPI' AS new FROM vq WHERE ds_id % 3 > 0 AND exchange <> 'KOSPI' UNION ALL SELECT ds_id, 'DATASET_QUOTE_REPLACED', CAST(d0 AS VARCHAR), CAST(d1 AS VARCHAR) FROM vq WHERE p0 <> p1 OR d0 <> d1")
+def replacement_log(spark, sf):
+    """The log; a quote is shown by its date."""
+    log = ry.replace_verified(*proposed_and_verified(spark, sf))[1]
+    return log.select("ds_id", "code", *[F.element_at(F.split(c, " @ "), -1).alias(c) for c in ("old", "new")])
