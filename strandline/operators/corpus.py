@@ -377,55 +377,94 @@ def evidence_rank(docs: DataFrame, metrics: DataFrame, words: tuple[str, ...], k
     return ranked if keep is None else ranked.where(F.col("rank") <= keep)
 
 
-SELECTED = "company string, doc_id long, kind string, chars int, truncated boolean"
+SELECTED = "company string, doc_id long, kind string, priority long, chars int, truncated boolean, round int"
+CUT_ROOM = 14  # fixed value: what a cut text leaves of its limit for the mark
+REASONS = ("document_count_cap", "news_cap", "character_budget")  # fixed values
+SPREAD = 32  # parts of one company's candidates while they meet its ledger
 
 
 def select_documents(cands: DataFrame, total_chars: int = TOTAL_CHARS, doc_chars: int = DOC_CHARS, max_docs: int = MAX_DOCS,
                      max_news: int = MAX_NEWS, shares: dict[str, float] | None = None) -> DataFrame:
-    """Budgeted choice per company: a guaranteed share per kind first, leftovers in priority order.
+    """Budgeted choice per company: a guaranteed share per kind first (round 1), leftovers in priority order (round 2).
 
-    Within a kind the admitted documents are always a priority prefix of at most `max_docs`, so only that prefix (its
-    lengths, not its text) reaches the sequential step: kinds x max_docs rows per company, whatever the corpus."""
+    A text beyond its limit is cut and marked; `chars` is its length with the mark. `priority` is a whole number, ties go by
+    id and kind; a null text counts as empty. Within a kind the admitted documents are always a priority prefix of at most
+    `max_docs`, so only that prefix (its lengths, not its text) reaches the sequential step: kinds x max_docs rows per
+    company, whatever the corpus."""
     shares = shares or KIND_SHARE
     prefix = Window.partitionBy("company", "kind").orderBy("priority", "doc_id")
-    short = (cands.select("company", "doc_id", "kind", "priority", F.length("text").alias("n"))
+    short = (cands.select("company", "doc_id", "kind", F.col("priority").cast("long").alias("priority"), F.coalesce(F.length("text"), F.lit(0)).alias("n"))
              .withColumn("_r", F.row_number().over(prefix)).where(F.col("_r") <= max_docs))
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         used, by_kind, news, out, later = 0, {}, 0, [], []
-        rows = list(pdf.sort_values(["priority", "doc_id"]).itertuples(index=False))
+        rows = list(pdf.sort_values(["priority", "doc_id", "kind"]).itertuples(index=False))
 
-        def admit(row, room):
+        def admit(row, room, in_round):
             nonlocal used, news
-            chars = int(min(row.n, doc_chars, room))
+            limit = min(doc_chars, room)
+            cut = row.n > limit
+            chars = int(limit - CUT_ROOM) + len(TRUNCATED) if cut else int(row.n)
             used += chars
             by_kind[row.kind] = by_kind.get(row.kind, 0) + chars
             news += row.kind == "news"
-            out.append((row.company, row.doc_id, row.kind, chars, chars < row.n))
+            out.append((row.company, row.doc_id, row.kind, row.priority, chars, cut, in_round))
 
-        for first_pass, queue in ((True, rows), (False, later)):
+        for in_round, queue in ((1, rows), (2, later)):
             for row in queue:
                 if len(out) >= max_docs or (row.kind == "news" and news >= max_news):
                     continue
                 room = total_chars - used
-                if first_pass:
+                if in_round == 1:
                     room = min(room, total_chars * shares.get(row.kind, 0.0) - by_kind.get(row.kind, 0))
                 if room >= MIN_ROOM:
-                    admit(row, room)
-                elif first_pass:
+                    admit(row, room, in_round)
+                elif in_round == 1:
                     later.append(row)
-        return pd.DataFrame(out, columns=["company", "doc_id", "kind", "chars", "truncated"])
+        return pd.DataFrame(out, columns=[c.split()[0] for c in SELECTED.split(", ")])
 
     return short.groupBy("company").applyInPandas(choose, SELECTED)
 
 
-def evidence_inventory(cands: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Per company and kind: documents, newest date, chosen, characters, omitted."""
-    picked = chosen.select("company", "doc_id", "kind", "chars")
-    return (cands.select("company", "doc_id", "kind", "published_at").join(picked, ["company", "doc_id", "kind"], "left")
-            .groupBy("company", "kind").agg(F.count("*").alias("documents"), F.max("published_at").alias("newest"), F.count("chars").alias("chosen"),
-                                            F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"))
-            .withColumn("omitted", F.col("documents") - F.col("chosen")))
+def selected_texts(cands: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Chosen documents with the text that is passed on: whole, or cut to `chars` with the mark at its end."""
+    picked = chosen.select("company", "doc_id", "kind", "chars", "truncated")
+    text = F.when(F.col("truncated"), F.concat(F.substring("text", F.lit(1), F.col("chars") - len(TRUNCATED)), F.lit(TRUNCATED))).otherwise(F.col("text"))
+    return cands.join(picked, ["company", "doc_id", "kind"]).withColumn("text", text)
+
+
+def omission_reasons(cands: DataFrame, chosen: DataFrame, max_docs: int = MAX_DOCS, max_news: int = MAX_NEWS) -> DataFrame:
+    """Every candidate (company, doc_id, kind, published_at) with its `chars` if chosen, else the `reason` of its omission.
+
+    A cap shuts at the document that fills it, so one row per company tells every reason: the last admitted place of each
+    round, for all documents and for news. A document behind the place at which round 1 filled a cap meets that cap; any other
+    is put off to round 2, where it meets a cap filled before it, else the spent budget. No candidate list is walked."""
+    place = F.struct(F.col("priority").cast("long").alias("p"), F.col("doc_id").cast("long").alias("d"), F.col("kind").alias("k"))
+    ledger = chosen.groupBy("company").agg(*[
+        f(F.when(cond & (F.col("round") == r), x)).alias(f"{name}_{what}{r}")
+        for name, cond in (("all", F.lit(True)), ("news", F.col("kind") == "news")) for r in (1, 2)
+        for what, f, x in (("n", F.count, F.lit(1)), ("last", F.max, place))])
+    ledger = ledger.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    rows = (cands.select("company", "doc_id", "kind", "published_at", place.alias("at"), F.pmod(F.xxhash64("doc_id", "kind"), F.lit(SPREAD)).cast("int").alias("part"))
+            .join(chosen.select("company", "doc_id", "kind", "chars"), ["company", "doc_id", "kind"], "left").join(ledger, ["company", "part"], "left"))
+
+    def shut(name: str, cap: int):
+        n1, n2 = (F.coalesce(f"{name}_n{r}", F.lit(0)) for r in (1, 2))
+        behind = lambda r: F.coalesce(F.col("at") > F.col(f"{name}_last{r}"), F.lit(True))
+        return (n1 >= cap) & behind(1), (n1 >= cap) | ((n1 + n2 >= cap) & behind(2))
+
+    (all1, all2), (news1, news2) = shut("all", max_docs), shut("news", max_news)
+    news = F.col("kind") == "news"
+    reason = F.when(all1, REASONS[0]).when(news & news1, REASONS[1]).when(all2, REASONS[0]).when(news & news2, REASONS[1]).otherwise(REASONS[2])
+    return rows.select("company", "doc_id", "kind", "published_at", "chars", F.when(F.col("chars").isNull(), reason).alias("reason"))
+
+
+def evidence_inventory(cands: DataFrame, chosen: DataFrame, max_docs: int = MAX_DOCS, max_news: int = MAX_NEWS) -> DataFrame:
+    """Per company and kind: documents, newest date, chosen, characters, omitted, and the omitted by reason."""
+    return (omission_reasons(cands, chosen, max_docs, max_news).groupBy("company", "kind").agg(
+        F.count("*").alias("documents"), F.max("published_at").alias("newest"), F.count("chars").alias("chosen"),
+        F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"), F.count("reason").alias("omitted"),
+        *[F.count(F.when(F.col("reason") == r, 1)).alias(f"omitted_{r}") for r in REASONS]))
 
 
 def evidence_documents(parts: list[DataFrame]) -> DataFrame:

@@ -273,13 +273,40 @@ def truncated_statements(spark, sf):
 KINDS = list(co.KIND_SHARE)
 
 
-def evidence(spark, sf) -> DataFrame:
-    """Documents as evidence of their source, kinds by id, assembled from one part per kind."""
+def evidence(spark, sf, company: str = "source") -> DataFrame:
+    """Documents as evidence of their source (or another column), kinds by id, in one scan."""
     kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), (F.col("doc_id") % len(KINDS) + 1).cast("int"))
     rows = table(spark, sf, "documents").select(
-        F.col("source").alias("company"), "doc_id", kind.alias("kind"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
+        F.col(company).alias("company"), "doc_id", kind.alias("kind"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
         F.concat(F.lit("https://"), "source", F.lit(".example.com/"), "doc_id").alias("url"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 700).cast("int")).alias("published_at"), "text")
-    return co.evidence_documents([rows.where(F.col("kind") == k) for k in KINDS])
+    return co.evidence_documents([rows])
+
+
+def sql_choice(company: str) -> str:
+    """Both rounds of the choice as one walk over all candidates of a company, a row per visit with its outcome."""
+    shares = "[" + ", ".join(f"CAST({x} AS DOUBLE)" for x in co.KIND_SHARE.values()) + "]"
+    zeros = "[" + ", ".join("0" for _ in KINDS) + "]"
+    return f"""WITH RECURSIVE cand AS (SELECT {company} AS company, doc_id, text, CAST(doc_id % {len(KINDS)} + 1 AS INTEGER) AS kn, {KINDS}[doc_id % {len(KINDS)} + 1] AS kind, length(text) AS n, DATE '2024-01-01' + CAST(doc_id % 700 AS INTEGER) AS published_at,
+  row_number() OVER (PARTITION BY {company} ORDER BY doc_id) AS i, count(*) OVER (PARTITION BY {company}) AS m FROM documents WHERE text <> ''),
+walk(company, i, doc_id, outcome, chars, truncated, used, by_kind, docs, news, later) AS (
+  SELECT DISTINCT company, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), '', CAST(0 AS BIGINT), false, CAST(0 AS BIGINT), CAST({zeros} AS BIGINT[]), 0, 0, CAST([] AS BIGINT[]) FROM cand
+  UNION ALL
+  SELECT company, i, doc_id, outcome, CASE WHEN outcome = 'admit' THEN take END, n > lim, used + CASE WHEN outcome = 'admit' THEN take ELSE 0 END,
+    CASE WHEN outcome = 'admit' THEN list_transform(range(1, {len(KINDS) + 1}), lambda x: by_kind[x] + CASE WHEN x = kn THEN take ELSE 0 END) ELSE by_kind END,
+    docs + CASE WHEN outcome = 'admit' THEN 1 ELSE 0 END, news + CASE WHEN outcome = 'admit' AND kind = 'news' THEN 1 ELSE 0 END,
+    CASE WHEN outcome = 'later' THEN list_append(later, doc_id) ELSE later END
+  FROM (SELECT *, least({co.DOC_CHARS}, room) AS lim, CAST(CASE WHEN n > least({co.DOC_CHARS}, room) THEN floor(least({co.DOC_CHARS}, room) - {co.CUT_ROOM}) + {len(co.TRUNCATED)} ELSE n END AS BIGINT) AS take,
+      CASE WHEN second AND NOT list_contains(later, doc_id) THEN 'done' WHEN docs >= {co.MAX_DOCS} THEN 'document_count_cap' WHEN kind = 'news' AND news >= {co.MAX_NEWS} THEN 'news_cap'
+        WHEN room >= {co.MIN_ROOM} THEN 'admit' WHEN second THEN 'character_budget' ELSE 'later' END AS outcome
+    FROM (SELECT walk.company, walk.i + 1 AS i, cand.doc_id, kind, kn, n, used, by_kind, docs, news, later, walk.i >= m AS second,
+        CAST(CASE WHEN walk.i >= m THEN {co.TOTAL_CHARS} - used ELSE least({co.TOTAL_CHARS} - used, CAST({co.TOTAL_CHARS} AS DOUBLE) * {shares}[kn] - by_kind[kn]) END AS DOUBLE) AS room
+      FROM walk JOIN cand ON cand.company = walk.company AND cand.i = CASE WHEN walk.i >= m THEN walk.i + 1 - m ELSE walk.i + 1 END))),
+outcomes AS (SELECT cand.*, w.outcome, w.chars, w.truncated, CASE WHEN w.i > m THEN 2 ELSE 1 END AS round FROM cand JOIN walk AS w ON w.company = cand.company AND w.doc_id = cand.doc_id WHERE w.outcome NOT IN ('done', 'later'))
+"""
+
+
+SQL_INVENTORY = "SELECT company, kind, count(*) AS documents, max(published_at) AS newest, count(chars) AS chosen, coalesce(sum(chars), 0) AS chars, count(*) - count(chars) AS omitted, " + ", ".join(
+    f"count(*) FILTER (WHERE outcome = '{r}') AS omitted_{r}" for r in co.REASONS) + " FROM outcomes GROUP BY 1, 2"
 
 
 @query("evidence_documents", f"SELECT source AS company, {KINDS}[doc_id % {len(KINDS)} + 1] AS kind, count(*) AS n, max(DATE '2024-01-01' + CAST(doc_id % 700 AS INTEGER)) AS newest FROM documents WHERE text <> '' GROUP BY 1, 2")
@@ -287,21 +314,33 @@ def evidence_documents(spark, sf):
     return evidence(spark, sf).groupBy("company", "kind").agg(F.count("*").alias("n"), F.max("published_at").alias("newest"))
 
 
-def chosen(spark, sf):
-    cands = evidence(spark, sf)
-    return cands, co.select_documents(cands.withColumn("priority", F.col("doc_id")))
+def chosen(spark, sf, company: str = "source"):
+    cands = evidence(spark, sf, company).withColumn("priority", F.col("doc_id"))
+    return cands, co.select_documents(cands)
 
 
-@query("evidence_selection")
+@query("evidence_selection", sql_choice("source") + "SELECT company, doc_id, kind, CAST(chars AS INTEGER) AS chars, truncated, CAST(round AS INTEGER) AS round FROM outcomes WHERE outcome = 'admit'")
 def evidence_selection(spark, sf):
-    return chosen(spark, sf)[1]
+    return chosen(spark, sf)[1].drop("priority")
+
 
+@query("selected_evidence", sql_choice("source") + f"SELECT company, doc_id, kind, CASE WHEN truncated THEN substring(text, 1, chars - {len(co.TRUNCATED)}) || {_MARK} ELSE text END AS text FROM outcomes WHERE outcome = 'admit'")
+def selected_evidence(spark, sf):
+    return co.selected_texts(*chosen(spark, sf)).select("company", "doc_id", "kind", "text")
 
-@query("evidence_inventory")
+
+@query("evidence_inventory", sql_choice("source") + SQL_INVENTORY)
 def evidence_inventory(spark, sf):
     return co.evidence_inventory(*chosen(spark, sf))
 
 
+@query("evidence_omissions", sql_choice("lang") + SQL_INVENTORY.replace(" FROM outcomes", " FROM outcomes WHERE company IS NOT NULL"))
+def evidence_omissions(spark, sf):
+    """The inventory by language, where a group has more documents than both caps admit."""
+    cands, picked = chosen(spark, sf, "lang")
+    return co.evidence_inventory(cands.where("company IS NOT NULL"), picked.where("company IS NOT NULL"))
+
+
 @query("evidence_ranking", ctes(SQL_METRICS) + """, f AS (SELECT doc_id, max(CASE WHEN kind = 'market_share' THEN 3 ELSE 0 END) AS f FROM metric GROUP BY 1), s AS (SELECT d.source AS company, d.doc_id, coalesce(f, 0) + """ + " + ".join(f"CASE WHEN contains(text, '{w}') THEN 1 ELSE 0 END" for w in WORDS) + """ AS score FROM documents d LEFT JOIN f USING (doc_id))
 SELECT company, doc_id, score, CAST(row_number() OVER (PARTITION BY company ORDER BY score DESC, doc_id % 700 DESC, doc_id) AS INTEGER) AS rank FROM s""")
 def evidence_ranking(spark, sf):

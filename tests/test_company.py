@@ -138,28 +138,52 @@ def test_session_source_problems(spark):
 
 
 def brute_selection(docs, total, cap, max_docs, max_news, shares):
-    """Straight reading of the two-pass rule over the whole candidate list."""
-    used, kinds, news, out, later = 0, {}, 0, [], []
+    """Straight reading of the two-round rule over the whole candidate list: (chosen lengths, reasons of the others)."""
+    used, kinds, news, out, later, reasons = 0, {}, 0, {}, [], {}
     for second, queue in ((False, docs), (True, later)):
         for d in queue:
-            if len(out) >= max_docs or (d["kind"] == "news" and news >= max_news):
+            at = (d["doc_id"], d["kind"])
+            if len(out) >= max_docs:
+                reasons[at] = "document_count_cap"
+                continue
+            if d["kind"] == "news" and news >= max_news:
+                reasons[at] = "news_cap"
                 continue
             room = total - used if second else min(total - used, total * shares[d["kind"]] - kinds.get(d["kind"], 0))
             if room < 200:
-                if not second:
+                if second:
+                    reasons[at] = "character_budget"
+                else:
                     later.append(d)
                 continue
-            take = int(min(len(d["text"]), cap, room))
+            limit = min(cap, room)
+            n = len(d["text"] or "")
+            take = int(limit - 14) + 12 if n > limit else n
             used, kinds[d["kind"]], news = used + take, kinds.get(d["kind"], 0) + take, news + (d["kind"] == "news")
-            out.append((d["doc_id"], take))
-    return set(out)
+            out[at] = take
+    return out, reasons
 
 
-def test_selection_equals_the_rule_on_the_whole_list(spark):
+@pytest.mark.parametrize("total, max_docs, max_news, news_share", [
+    (12_000, 25, 4, 9), (12_000, 300, 300, 9), (60_000, 25, 4, 2), (90_000, 60, 12, 2), (1_000, 25, 4, 2), (12_000, 0, 0, 9), (30_000, 40, 1, 3), (9_000, 12, 2, 2)])
+def test_selection_and_reasons_equal_the_rule_on_the_whole_list(spark, total, max_docs, max_news, news_share):
     kinds = list(co.KIND_SHARE)
-    docs = [{"company": "c", "doc_id": i, "kind": kinds[(i * 7) % len(kinds)], "priority": i, "text": "x" * (150 + (i * 137) % 900)} for i in range(300)]
-    got = co.select_documents(spark.createDataFrame(docs), total_chars=12_000, doc_chars=600, max_docs=25, max_news=4).collect()
-    assert {(r["doc_id"], r["chars"]) for r in got} == brute_selection(docs, 12_000, 600, 25, 4, co.KIND_SHARE)
+    docs = [{"company": "c", "doc_id": i, "kind": "news" if i % news_share == 1 else kinds[(i * 7) % len(kinds)], "priority": i // 3, "published_at": i,
+             "text": None if i == 5 else "x" * (150 + (i * 137) % 900)} for i in range(300)]
+    docs += [{"company": "small", "doc_id": 1, "kind": "news", "priority": 1, "published_at": 7, "text": ""}]
+    cands = spark.createDataFrame(docs, "company string, doc_id long, kind string, priority int, published_at int, text string")
+    picked = co.select_documents(cands, total_chars=total, doc_chars=600, max_docs=max_docs, max_news=max_news)
+    got = co.omission_reasons(cands, picked, max_docs, max_news).collect()
+    assert len(got) == len(docs)
+    for company in ("c", "small"):
+        out, reasons = brute_selection([d for d in docs if d["company"] == company], total, 600, max_docs, max_news, co.KIND_SHARE)
+        assert {(r["doc_id"], r["kind"]): r["chars"] for r in got if r["company"] == company and r["reason"] is None} == out
+        assert {(r["doc_id"], r["kind"]): r["reason"] for r in got if r["company"] == company and r["reason"]} == reasons
+    counts = co.evidence_inventory(cands, picked, max_docs, max_news).selectExpr("sum(omitted) a", "sum(omitted_document_count_cap + omitted_news_cap + omitted_character_budget) b").first()
+    assert counts["a"] == counts["b"] == sum(r["reason"] is not None for r in got)
+    for r in co.selected_texts(cands, picked).collect():
+        whole = next(d["text"] for d in docs if (d["company"], d["doc_id"]) == (r["company"], r["doc_id"])) or ""
+        assert len(r["text"] or "") == r["chars"] and (r["text"].endswith("x\n[TRUNCATED]") if r["truncated"] else (r["text"] or "") == whole)
 
 
 def test_delimited_and_markup_files(spark, tmp_path):
