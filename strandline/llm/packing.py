@@ -18,6 +18,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,13 +35,14 @@ FINE_SHARE = 0.08
 LOT = 32
 SLACK = 8
 STRETCH = 1_000_000  # characters encoded together
-CACHE_UNITS, CACHE_WORDS = 700_000, 400_000
+CACHE_UNITS, CACHE_WORDS = 400_000, 400_000
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "sequence_tokens long")
 # Fixed value: the word pattern of the tokenizer, after its normal form (NFC, lower case).
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 # Separators that Python counts as white space and the tokenizer's pattern does not.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+_END_MARK = re.compile(r"[.,;:!?](?<=[^\W_].)(?!\S)")
 
 
 def multiway_difference(sizes: list[int], k: int) -> list[list[int]]:
@@ -97,7 +99,8 @@ def _lower(text: str) -> str:
 class WordTokens:
     """Ids of a text as little-endian 32-bit bytes. The tokenizer's words never span white space and each ends in a token
     that is marked as word end, so stretches between white space are remembered, and their words that are new are encoded
-    together, one line of words a batch. Both memories are bounded; a full one starts afresh."""
+    together, one line of words a batch. Both memories are bounded: full units are set aside and the new memory takes from
+    them what is met again; full words start afresh."""
 
     def __init__(self, path: str):
         import regex
@@ -111,19 +114,15 @@ class WordTokens:
         self.word_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.word_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.units: dict[str, bytes] = {}
+        self.aged: dict[str, bytes] = {}  # the units before the present ones
         self.known: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _split(self, unit: str) -> list[str]:
-        """Words of a unit. Letters alone, or before one plain mark, are told without the pattern."""
-        body, mark = (unit[:-1], unit[-1]) if unit[-1] in ".,;:!?" else (unit, "")
-        if body.isascii() or unicodedata.is_normalized("NFC", unit):
-            lower = _lower(body)
-            if lower.isalpha():
-                return [lower, mark] if mark else [lower]
-        return self.words.findall(_lower(unicodedata.normalize("NFC", unit)))
+        """Words of a unit. Letters alone are told without the pattern."""
+        return [unit] if unit.isalpha() else self.words.findall(unit)
 
     def _learn(self, units: list[str]) -> None:
         split = list(map(self._split, units))
@@ -141,20 +140,32 @@ class WordTokens:
                 known.update(zip(new, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends))))
             else:
                 known.update((w, self.whole(w)) for w in new)
-        self.units.update((u, b"".join([known[w] for w in words])) for u, words in zip(units, split))
+        self.units.update(zip(units, [known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words]) for words in split]))
+
+    @staticmethod
+    def _plain(text: str) -> str:
+        """Normal form of the tokenizer, and a space before each plain mark that ends a word, which the tokenizer cuts off too:
+        fewer different stretches."""
+        if not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
+        return _END_MARK.sub(r" \g<0>", _lower(text))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if _ODD_SPACE.search(t) else t.split() for t in texts]
-        found = [list(map(self.units.get, units or ())) for units in split]
-        missing = {u for units, ids in zip(split, found) if None in ids for u, i in zip(units, ids) if i is None}
+        split = [None if _ODD_SPACE.search(t) else self._plain(t).split() for t in texts]
+        wanted = set(chain.from_iterable(filter(None, split)))
+        missing = wanted.difference(self.units)
+        if len(self.units) + len(missing) > CACHE_UNITS:
+            self.aged, self.units = self.units, {}
+            missing = wanted
+        aged = self.aged
+        met = [u for u in missing if u in aged]
+        if met:
+            self.units.update(zip(met, map(aged.__getitem__, met)))
+            missing = missing.difference(met)
         if missing:
-            if len(self.units) + len(missing) > CACHE_UNITS:
-                self.units = {}
-                missing = {u for units in split if units for u in units}
             self._learn(list(missing))
-        return [self.whole(text) if units is None else
-                b"".join(map(self.units.__getitem__, units) if None in ids else ids)
-                for text, units, ids in zip(texts, split, found)]
+        return [self.whole(text) if units is None else b"".join(map(self.units.__getitem__, units))
+                for text, units in zip(texts, split)]
 
 
 def word_tokens(path: str) -> WordTokens:
