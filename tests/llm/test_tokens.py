@@ -40,6 +40,21 @@ def test_word_tokens_equal_the_library(tokenizer):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_word_tokens_of_any_marks_and_forms_equal_the_library(monkeypatch, tokenizer):
+    """End marks, combining marks, odd spaces and letters of odd case, with memories that fill and age all the time."""
+    monkeypatch.setattr(packing, "CACHE_UNITS", 300)
+    monkeypatch.setattr(packing, "CACHE_WORDS", 200)
+    parts = ["a", "B", "e\u0301", "\u00e9", "\u03a3", "\u0130", "_", "'s", " ", "\n", ".", ",", "!", "?", "1", "\u00b2", "\ud55c", "\u0301", "-",
+             "\u00df", "\u00a0", "\u2003", "\u017f", "\u212a", "\x1c", "x.", "'", ";"]
+    pick = random.Random(5)
+    texts = ["".join(pick.choice(parts) for _ in range(pick.randint(0, 40))) for _ in range(5_000)]
+    own = packing.WordTokens(WORDS)
+    for at in range(0, len(texts), 50):
+        for text, ids in zip(texts[at:at + 50], own.encode(texts[at:at + 50])):
+            assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+    assert own.aged
+
+
 def test_byte_bpe_equals_the_library(reference):
     own = byte_bpe.ByteBpe(RANKS, public_tokenizers.PATTERN)
     texts = noise(3000, 2) + ["a" * 5000, "Ω" * 300 + " " * 300]
