@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.scalar import tdiv
+from strandline.operators.rules import union_all
+from strandline.session import spread
 
 # Daily price limit with tolerance, split ratios and how near a jump must be to one.
 JUMP_UP, JUMP_DOWN = 1.31, 0.69
@@ -136,17 +138,25 @@ def enough_history(bars: DataFrame) -> DataFrame:
 
 
 def peer_pool(universe: DataFrame, targets: DataFrame, count: int) -> DataFrame:
-    """Largest other listings on each target's exchange.
+    """Largest other listings on each target's exchange; a target that comes several times shares its ranks among its copies.
 
-    Only the count+1 largest of an exchange can be anyone's peers, so the list is cut per exchange before the join."""
+    Only the count+1 largest of an exchange can be anyone's peers: they go to the targets as one broadcast row per exchange. Peers of
+    a target on one exchange are a slice of that list; only targets on several exchanges have their peers sorted."""
     by_size = Window.partitionBy("exchange").orderBy(F.desc("market_cap"), "ticker")
     top = (universe.withColumn("_rank", F.row_number().over(by_size)).where(F.col("_rank") <= count + 1)
-           .select("exchange", F.col("ticker").alias("peer"), "market_cap", "_rank"))
-    order = Window.partitionBy("ticker").orderBy("_rank")
-    return (targets.select("ticker", "exchange").join(top, "exchange")
-            .where(F.col("peer") != F.col("ticker"))
-            .withColumn("peer_rank", F.row_number().over(order)).where(F.col("peer_rank") <= count)
-            .select("ticker", "exchange", "peer", "peer_rank", "market_cap"))
+           .groupBy("exchange").agg(F.array_sort(F.collect_list(F.struct("_rank", F.col("ticker").alias("peer"), "market_cap"))).alias("_top")))
+    homes = (spread(targets.where("ticker IS NOT NULL AND exchange IS NOT NULL").select("ticker", "exchange"), "ticker")
+             .groupBy("ticker", "exchange").agg(F.count("*").alias("_copies"))
+             .withColumn("_homes", F.count("*").over(Window.partitionBy("ticker"))).join(F.broadcast(top), "exchange"))
+    others = F.filter("_top", lambda x: x["peer"] != F.col("ticker"))
+    copies = F.least("_copies", F.lit(count)).cast("int")
+    listed = F.slice(F.flatten(F.transform(others, lambda x: F.array_repeat(x, copies))), 1, count)
+    one = (homes.where("_homes = 1").select("ticker", "exchange", F.posexplode(listed).alias("_at", "p"))
+           .withColumn("peer_rank", F.col("_at") + 1))
+    order = Window.partitionBy("ticker").orderBy("p._rank")
+    several = (homes.where("_homes > 1").select("ticker", "exchange", F.explode(listed).alias("p"))
+               .withColumn("peer_rank", F.row_number().over(order)).where(F.col("peer_rank") <= count))
+    return union_all([df.select("ticker", "exchange", "p.peer", "peer_rank", "p.market_cap") for df in (one, several)])
 
 
 def fill_profile(bars: DataFrame, flow_columns=("foreign_flow", "organ_flow")) -> DataFrame:

@@ -165,3 +165,14 @@ def test_samples_take_one_scan_of_the_lines_and_few_shuffles(spark):
     plan = ft.samples(market.ready_bars(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
     assert "lineitem" not in plan and plan.count("Exchange hashpartitioning") < 12
     assert market.daily(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+
+
+def test_peers_are_cut_from_a_list_not_sorted_per_target(spark):
+    rows = spark.createDataFrame([(1, "x", 5.0), (2, "x", 9.0), (3, "x", 9.0), (4, "x", None), (5, "y", 1.0), (6, None, 1.0), (None, "x", 7.0)], "ticker long, exchange string, market_cap double")
+    twice = rows.where("ticker = 3").unionByName(spark.createDataFrame([(1, "y", 0.0)], rows.schema))
+    out = panel.peer_pool(rows, rows.unionByName(twice), 2)
+    got = {t: [(r["exchange"], r["peer"]) for r in sorted(out.collect(), key=lambda r: r["peer_rank"]) if r["ticker"] == t] for t in range(1, 7)}
+    assert sorted(got[1]) == [("x", 2), ("y", 5)] and got[2] == [("x", 3)] and got[3] == [("x", 2), ("x", 2)]
+    assert got[4] == [("x", 2), ("x", 3)] and got[5] == got[6] == []
+    first = out._jdf.queryExecution().optimizedPlan().toString().split("Generate posexplode")[0]
+    assert "posexplode" in out._jdf.queryExecution().optimizedPlan().toString() and "Sort" not in first and "Window" not in first
