@@ -13,7 +13,7 @@ from strandline.operators import filings as fl
 from strandline.operators import records as rc
 from strandline.plans import reference as rf
 from strandline.plans.registry import query, table
-from strandline.session import stage_dir
+from strandline.session import spread, stage_dir
 from strandline.sources import readers as rd
 
 
@@ -108,13 +108,17 @@ SQL_FUNDING = "SELECT c_custkey AS company, CAST((abs(CAST(round(c_acctbal * 100
 
 
 def funding_rows(spark, sf) -> DataFrame:
-    """One annual statement set per customer, amounts as multiples of a base; some have restricted cash or a debt total beside its parts."""
+    """One annual statement set per customer, amounts as multiples of a base; some have restricted cash or a debt total beside its parts.
+
+    Customers are dealt by key before each becomes sixteen rows: the file may be one split, whose rows a single task would sort, and
+    rows dealt by company need no further exchange for sums, windows and joins by company."""
     k = F.col("c_custkey")
     base = (F.abs(F.round(F.col("c_acctbal") * 100).cast("long")) + 1000) * 4
     accounts = [("BS", "현금및현금성자산", 10, 9), ("BS", "단기차입금", 2, 2), ("BS", "장기차입금", 3, 3), ("BS", "매출채권", 3, 2), ("BS", "재고자산", 2, 2), ("BS", "매입채무", 1, 2),
                 ("IS", "영업이익", 4, 4), ("CF", "영업에서 창출된 현금", 6, 6), ("CF", "유형자산의 취득", 2, 2), ("CF", "감가상각비", 1, 1), ("CF", "법인세 납부", 1, 1), ("CF", "이자 지급", 1, 1), ("CF", "배당금 지급", 1, 1),
                 ("BS", "사용제한 현금및현금성자산", 1, 1), ("BS", "차입금 합계", 5, 5), ("BS", "사용제한 예금", 1, 1)]
-    rows = table(spark, sf, "customer").select(k.alias("company"), base.cast("double").alias("b"), F.explode(F.array(*[
+    bases = spread(table(spark, sf, "customer").select(k.alias("company"), base.cast("double").alias("b")), "company")
+    rows = bases.select("company", "b", F.explode(F.array(*[
         F.struct(F.lit(i).alias("pos"), F.lit(s).alias("statement"), F.lit(n).alias("account_name"), F.lit(float(x)).alias("x"), F.lit(float(p)).alias("p")) for i, (s, n, x, p) in enumerate(accounts)])).alias("a"))
     rows = rows.select("company", "b", "a.*").where(((F.col("pos") != 13) | (F.col("company") % 3 == 0)) & ((F.col("pos") != 14) | (F.col("company") % 5 == 0)) & ((F.col("pos") != 15) | (F.col("company") % 7 == 0)))
     return rows.select("company", F.lit("FY").alias("period"), "pos", "statement", F.concat(F.lit("id"), F.col("pos").cast("string")).alias("account_id"), "account_name", F.lit("KRW").alias("currency"),

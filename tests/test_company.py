@@ -250,3 +250,15 @@ def test_companies_are_listed_by_ticker_or_name_and_profiled(spark, tmp_path):
     profile = fl.company_profiles(good).first()
     assert [m["latest_observation"] for m in profile["markets"]] == ["2025Q4"] and [p["market_id"] for p in profile["products"]] == ["m1"]
     assert profile["financials_quarter"] == "2025Q4" and profile["quote"]["priceKRW"] == 50000 and len(profile["sources"]) == 1
+
+
+def test_statement_sets_are_dealt_before_their_rows_are_made(spark, tmp_path):
+    from strandline import plans
+    from strandline.plans import sources
+    plans.load()
+    spark.createDataFrame([(1, 10.0), (2, None), (1, 10.0), (None, 5.0)], "c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    out = sources.funding_plan(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2 and "hashpartitioning(company" in plan and "ENSURE_REQUIREMENTS" not in plan
+    assert sorted((r["company"] or 0, r["opening_cash"], r["unavailable_code"]) for r in out.collect() if r["company"] != 2) == [
+        (0, 60000.0, None), (1, 80000.0, "FUNDING_DEBT_ROWS_AMBIGUOUS")]
