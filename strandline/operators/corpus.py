@@ -302,18 +302,31 @@ def expand_queries(companies: DataFrame, products: DataFrame) -> DataFrame:
 # ---- selection ----------------------------------------------------------------------------------------------------
 
 
+def _once(value: Column, use) -> Column:
+    """`use(value)` with `value` computed once a row, however often `use` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def focus_article(text: Column, limit: int, figure: str, number: str) -> Column:
-    """Lead and figure paragraphs, best first while they fit under `limit`, in original order."""
-    paragraphs = F.filter(F.split(text, "\n"), lambda p: p != "")
-    ranked = F.transform(paragraphs, lambda p, i: F.struct(
-        (-(F.when(i == 0, 3).otherwise(0) + F.when(p.rlike(figure), 1).otherwise(0) + F.when(p.rlike(number), 1).otherwise(0))).alias("r"),
-        i.alias("i"), F.length(p).alias("n")))
-    order = F.array_sort(F.filter(ranked, lambda x: x.r < 0))
-    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<int>").alias("keep"))
-    taken = F.aggregate(order, start, lambda acc, x: F.when(acc.used + x.n + 1 > limit, acc).otherwise(
-        F.struct((acc.used + x.n + 1).alias("used"), F.concat(acc.keep, F.array(x.i)).alias("keep"))))
-    kept = F.array_join(F.filter(F.transform(paragraphs, lambda p, i: F.when(F.array_contains(taken.keep, i), p)), lambda p: p.isNotNull()), "\n")
-    return F.when(F.length(text) <= limit, text).when(kept != "", kept).otherwise(F.substring(text, 1, limit))
+    """Lead and figure paragraphs, best first while they fit under `limit`, in original order.
+
+    Paragraphs are split and chosen once a text: at most `limit` of them are kept, so its cost follows its length."""
+    def taken(paragraphs: Column) -> Column:
+        ranked = F.transform(paragraphs, lambda p, i: F.struct(
+            (-(F.when(i == 0, 3).otherwise(0) + F.when(p.rlike(figure), 1).otherwise(0) + F.when(p.rlike(number), 1).otherwise(0))).alias("r"),
+            i.alias("i"), F.length(p).alias("n")))
+        order = F.array_sort(F.filter(ranked, lambda x: x.r < 0))
+        start = F.struct(F.lit(0).alias("used"), F.array().cast("array<int>").alias("keep"))
+        fill = F.aggregate(order, start, lambda acc, x: F.when(acc.used + x.n + 1 > limit, acc).otherwise(
+            F.struct((acc.used + x.n + 1).alias("used"), F.concat(acc.keep, F.array(x.i)).alias("keep"))))
+        return F.sort_array(fill.keep)
+
+    def joined(paragraphs: Column) -> Column:
+        return F.array_join(F.transform(taken(paragraphs), lambda i: F.get(paragraphs, i)), "\n")
+
+    kept = _once(F.filter(F.split(text, "\n"), lambda p: p != ""), joined)
+    focused = _once(kept, lambda k: F.when(k != "", k).otherwise(F.substring(text, 1, limit)))
+    return F.when(F.length(text) <= limit, text).otherwise(focused)
 
 
 def fair_level(demands: Column, limit: Column) -> Column:

@@ -91,6 +91,18 @@ def test_focus_keeps_lead_and_figures_in_order(spark):
     assert got.split("\n") == [text.split("\n")[i] for i in (0, 2, 3)]
 
 
+def test_focus_splits_a_text_once(spark):
+    text = "\n".join(f"line {i} " + "word " * (i % 7) for i in range(3000))
+    used, keep = 0, []
+    for i, line in sorted(enumerate(text.split("\n")), key=lambda x: (-3 * (x[0] == 0) - ("9" in x[1]), x[0])):
+        if (i == 0 or "9" in line) and used + len(line) + 1 <= 100:
+            used, keep = used + len(line) + 1, sorted([*keep, i])
+    df = spark.createDataFrame([(text,), ("a\n" * 30 + "b" * 90,), ("y" * 200 + "\nz",), (None,)], "t string").select(
+        co.focus_article(F.col("t"), 100, "none", "9").alias("focused"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert [r[0] for r in df.collect()] == ["\n".join(text.split("\n")[i] for i in keep), "a", "y" * 100, None]
+
+
 @pytest.mark.parametrize("demands, limit, level", [([10.0, 50.0, 100.0], 90.0, 40.0), ([10.0, 20.0], 100.0, 20.0), ([100.0, 100.0], 60.0, 30.0)])
 def test_fair_level(spark, demands, limit, level):
     assert one(spark, co.fair_level(F.array(*[F.lit(d) for d in demands]), F.lit(limit)))[0] == pytest.approx(level)
