@@ -135,11 +135,11 @@ def ingest_records(stream: DataFrame, payload: list[str], times: list[str], path
                    **trigger) -> StreamingQuery:
     """Store new records with their hash; repeated ids and forward records from the future go to the reject folder.
 
-    Stored ids are keyed state. A record from the future is not stored, so its id may come again."""
+    Stored ids are keyed state, by buckets of their hash. A record from the future is not stored, so its id may come again."""
     late = (F.col("mode") == "forward") & (F.array_max(F.array(*times)) > F.col("recorded_at"))
     rows = stream.withColumn("content_hash", content_hash(payload))
     schema = StructType([*rows.schema.fields])
-    judged = (rows.withColumn("_late", F.coalesce(late, F.lit(False))).groupBy("id")
+    judged = (rows.withColumns({"_late": F.coalesce(late, F.lit(False)), "_bucket": F.pmod(F.xxhash64("id"), F.lit(state.BUCKETS))}).groupBy("_bucket")
               .transformWithState(state.FirstOfId(schema), StructType([*schema.fields]).add("code", StringType()), "Update", "None"))
 
     def step(batch: DataFrame, batch_id: int) -> None:

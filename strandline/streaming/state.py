@@ -16,6 +16,8 @@ from strandline.operators.features import HORIZONS
 BARS = "ticker string, date date, close double, ingest_seq long"
 WINDOWS = BARS + ", changed boolean, " + ", ".join(f"date{h} date, close{h} double" for h in HORIZONS)
 EPOCH = dt.date(1970, 1, 1)
+BUCKETS = 16_384  # of stored ids: a call to the state store costs as much as many rows, so a bucket is asked, not an id
+FOLDED = 32  # entries of a bucket's list before they are folded
 
 
 def combine_bars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -87,32 +89,48 @@ def _later(bar: tuple, other: tuple) -> bool:
 
 
 class FirstOfId(StatefulProcessor):
-    """Rows of one id with a verdict: the first by recording time and content is stored unless the id is stored already or the row
-    knows of later than its recording; every other row repeats the id. Holds one row, however often an id comes."""
+    """Rows of the ids of one bucket with a verdict: the first of an id by recording time and content is stored unless the id is stored
+    already or the row knows of later than its recording; every other row repeats the id. Holds one row per id of a batch, however
+    often it comes.
+
+    The ids stored in a bucket are a list, one entry per batch that added some, folded to one beyond FOLDED. A bucket is asked once a
+    batch, and reads its own ids only."""
 
     def __init__(self, schema: StructType):
-        self.names = [f for f in schema.names if f not in ("_late", "code")]
+        self.names = [f for f in schema.names if f not in ("_late", "_bucket", "code")]
+        self.kept = f"ids array<{schema['id'].dataType.simpleString()}>"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.stored = handle.getValueState("stored", "yes boolean")
+        self.stored = handle.getListState("stored_ids", self.kept)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        first = None
+        first: dict[object, Row] = {}
         for row in rows:
-            if first is None:
-                first = row
-            elif _order(row) < _order(first):
-                yield self._judged(first, "RECORD_ID_CONFLICT")
-                first = row
+            held = first.get(row.id)
+            if held is None:
+                first[row.id] = row
+            elif _order(row) < _order(held):
+                first[row.id] = row
+                yield self._judged(held, "RECORD_ID_CONFLICT")
             else:
                 yield self._judged(row, "RECORD_ID_CONFLICT")
-        if self.stored.exists():
-            yield self._judged(first, "RECORD_ID_CONFLICT")
-        elif first._late:
-            yield self._judged(first, "RECORD_FROM_FUTURE")
-        else:
-            self.stored.update((True,))
-            yield self._judged(first, None)
+        known, entries = set(), 0
+        for (ids,) in self.stored.get():
+            entries += 1
+            known.update(i for i in ids if i in first)
+        fresh = []
+        for i, row in first.items():
+            if i in known:
+                yield self._judged(row, "RECORD_ID_CONFLICT")
+            elif row._late:
+                yield self._judged(row, "RECORD_FROM_FUTURE")
+            else:
+                fresh.append(i)
+                yield self._judged(row, None)
+        if fresh and entries >= FOLDED:
+            self.stored.put([([i for (ids,) in self.stored.get() for i in ids] + fresh,)])
+        elif fresh:
+            self.stored.appendValue((fresh,))
 
     def _judged(self, row: Row, code: str | None) -> Row:
         return Row(**{name: row[name] for name in self.names}, code=code)

@@ -2,11 +2,13 @@ import datetime as dt
 import os
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from strandline.operators import forecast as fc
 from strandline.operators import panel
-from strandline.streaming import jobs
+from strandline.streaming import jobs, state
 
 BARS = "ticker string, date date, close double, ingest_seq long"
 
@@ -130,3 +132,50 @@ def test_sessions_far_back_and_equal_arrivals(spark, tmp_path):
     want = fc.score_log(log, spark.createDataFrame([("A", d, c) for d, c in bars.items()], "ticker string, date date, close double")).where("status = 'scored'")
     got = jobs.current_scores(spark, f"{tmp_path}/scores", jobs.score_schema(log))
     assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want.collect())
+
+
+def test_state_of_records_is_asked_by_bucket(spark, tmp_path, monkeypatch):
+    """Every bucket holds many ids; each is judged by itself over batches that fold a bucket's list."""
+    at = lambda h: dt.datetime(2026, 1, 1, h)
+    monkeypatch.setattr(state, "BUCKETS", 2)
+    schema = "id string, ticker string, mode string, recorded_at timestamp, known_at timestamp"
+    batches = [[(str(i), "A", "forward", at(5), at(9 if i % 10 == 0 else 4)) for i in range(b * 20, b * 20 + 40)] + [(None, "A", "forward", at(5), at(4)), ("0", "B", "forward", at(6), at(4))]
+               for b in range(3)]
+    stream = feed(spark, tmp_path, batches, schema)
+    jobs.ingest_records(stream, ["ticker"], ["known_at"], f"{tmp_path}/rec", f"{tmp_path}/rej", f"{tmp_path}/cp", availableNow=True).awaitTermination()
+    read = lambda p, s: spark.read.schema(s).option("recursiveFileLookup", True).parquet(f"{tmp_path}/{p}").collect()
+    stored, seen, rejects = set(), [], []
+    for batch in batches:
+        for i in dict.fromkeys(r[0] for r in batch):
+            own = sorted((r for r in batch if r[0] == i), key=lambda r: r[3])
+            code = "RECORD_ID_CONFLICT" if i in stored else "RECORD_FROM_FUTURE" if own[0][4] > own[0][3] else None
+            rejects += ([(i, code)] if code else []) + [(i, "RECORD_ID_CONFLICT")] * (len(own) - 1)
+            if code is None:
+                stored.add(i)
+                seen.append(i)
+    by = lambda x: tuple(v or "" for v in x)
+    assert sorted((r["id"] for r in read("rec", "id string")), key=lambda i: i or "") == sorted(seen, key=lambda i: i or "")
+    assert sorted(((r["id"], r["code"]) for r in read("rej", "id string, code string")), key=by) == sorted(rejects, key=by)
+
+
+def test_stored_ids_of_a_bucket_are_folded():
+    class Kept:
+        entries: list = []
+
+        def get(self):
+            return iter(list(self.entries))
+
+        def put(self, values):
+            self.entries = list(values)
+
+        def appendValue(self, value):
+            self.entries = [*self.entries, value]
+
+    schema = StructType.fromDDL("id string, recorded_at timestamp, content_hash string, _late boolean, _bucket long")
+    judge = state.FirstOfId(schema)
+    judge.stored = Kept()
+    row = Row(*schema.names)
+    for i in range(2 * state.FOLDED):
+        out = list(judge.handleInputRows((0,), iter([row(str(i), None, "h", False, 0), row(str(i // 2), None, "h", False, 0)]), None))
+        assert [r["code"] for r in out] == ([None, "RECORD_ID_CONFLICT"] if i else ["RECORD_ID_CONFLICT", None])
+    assert len(judge.stored.entries) <= state.FOLDED and sorted(int(x) for (ids,) in judge.stored.entries for x in ids) == list(range(2 * state.FOLDED))
