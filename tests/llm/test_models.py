@@ -1,6 +1,7 @@
 import itertools
 import math
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -172,3 +173,30 @@ def test_difference_keeps_rare_and_target_only_pairs(spark, monkeypatch):
         for i, t in rows + new[:2]:
             want = np.mean([-math.log(p(a, b)) for a, b in zip(["", *t.split()], t.split())])
             assert abs(got[i][column] - want) < 1e-9, (i, column)
+
+
+def test_difference_writes_less_than_four_times_its_texts(spark, tmp_path, monkeypatch):
+    """Most pairs are rare: a pair is dealt once, not once to be counted and again, with its words' counts, to be scored."""
+    monkeypatch.setattr(lm_scores, "PAIR_SHARE", 2e-5)
+    chance = np.random.default_rng(7)
+    words = np.array([f"w{i:x}" for i in range(60_000)])
+    rows = [(i, " ".join(words[(len(words) ** chance.random(400)).astype(int) - 1])) for i in range(1200)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "docs"))
+    docs, target = spark.read.parquet(str(tmp_path / "docs")), spark.range(0, 1200, 3).withColumnRenamed("id", "doc_id")
+    folder = Path(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+
+    def written() -> dict[str, int]:
+        local = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        shuffled = {(f := local.apply(i)).getName(): f.length() for i in range(local.size())}
+        return {k: n for k, n in shuffled.items() if k.startswith("shuffle_") and k.endswith(".data")} | {
+            str(f): f.stat().st_size for f in folder.rglob("*.parquet")}
+
+    before, joins = written(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as if the tables were large
+    try:
+        assert len(lm_scores.scored(docs, lm_scores.fit(docs, target)).collect()) == 1200
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", joins)
+    new = sum(n for k, n in written().items() if k not in before)
+    texts = sum(len(t) for _, t in rows)
+    assert 0 < new < 4 * texts, new / texts
