@@ -113,18 +113,22 @@ def _merged(keys: list[str], of: tuple[str, ...]):
 
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Counts of the words of a partition's rows, as a word and as the word before, passed on whenever HELD are held; and the
-    shapes met."""
+    shapes met. Words that follow themselves are marked among the shapes (n_before = 1)."""
     shapes: set[str] = set()
+    doubled: set[int] = set()
     merge = _merged(["w"], WORD_COUNTS)
 
     def named() -> pd.DataFrame:
-        w = hashed(list(shapes))
+        w = np.append(hashed(list(shapes)), np.fromiter(doubled, np.int64, len(doubled)))
+        twice = np.arange(len(w)) >= len(shapes)
         shapes.clear()
-        return pd.DataFrame({"w": w, "shape": True} | dict.fromkeys(WORD_COUNTS, 0))
+        doubled.clear()
+        return pd.DataFrame({"w": w, "shape": True} | dict.fromkeys(WORD_COUNTS, 0) | {"n_before": twice.astype(np.int64)})
 
     for batch in batches:
         for at, texts in _whole(batch["text"]):
             words, counts = tokens(texts, shapes)
+            doubled.update(np.unique(words[preceding(words, counts) == words]).tolist())
             target, filled = batch["target"].to_numpy(bool)[at], counts > 0
             w, place = np.unique(words, return_inverse=True)
             last = place[np.cumsum(counts)[filled] - 1]  # words that no word follows
@@ -135,12 +139,12 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 "n_target_before": np.append(n_target - np.bincount(last, target[filled], len(w)), (filled & target).sum())}))
             if part is not None:
                 yield part.assign(shape=False)
-            if len(shapes) > HELD:
+            if len(shapes) + len(doubled) > HELD:
                 yield named()
     part = merge(None)
     if part is not None:
         yield part.assign(shape=False)
-    if shapes:
+    if shapes or doubled:
         yield named()
 
 
@@ -201,8 +205,10 @@ def fit(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str =
     counted = stage(marked.mapInPandas(_count_words, "w long, shape boolean, " + ", ".join(f"{c} long" for c in WORD_COUNTS))
                     .groupBy("w", "shape").agg(*[F.sum(c).alias(c) for c in WORD_COUNTS]), "words")
     words = counted.where("NOT shape").drop("shape")
+    # A shape whose word follows itself has no place of its own.
+    places = F.when(F.col("shape"), F.col("n_before") == 0).otherwise(F.col("n") > 0)
     whole = counted.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "n_target")],
-                        F.count(F.when(F.col("shape") | (F.col("n") > 0), 1)).alias("places")).first()
+                        F.count(F.when(places, 1)).alias("places")).first()
     # At most 2/PAIR_SHARE words can pass.
     often = words.where(F.greatest("n", "n_before") >= F.lit(PAIR_SHARE * whole["n"])).toPandas().sort_values("w")
     return DifferenceModel(marked, words, whole["n"], whole["n_target"], 2 + whole["places"], often["w"].to_numpy(np.int64),
