@@ -187,14 +187,15 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
     kind = "f4" if dict(df.dtypes)[vector] == "array<float>" else "f8"
     filtered = stage(classes.select("class", "n", "vector").mapInPandas(
         _filtered(codes, kind), "class long, n long, size int, raw binary, filters array<int>, passed binary"), "filters")
+    # The planner sizes exploded rows as if each array held one value, and would broadcast them: both joins are dealt by key.
     passed = filtered.select("class", "size", F.explode("filters").alias("filter"))
     cells = passed.groupBy("filter", "size").agg(F.count("*").alias("c")).where("c > 1").select(
         "filter", "size", F.ceil(F.col("c") / F.lit(CELL)).cast("int").alias("cells"))
-    dealt = (passed.join(cells, ["filter", "size"])
+    dealt = (passed.hint("merge").join(cells, ["filter", "size"])
              .withColumn("cell", F.expr("pmod(xxhash64(class, filter), cells)").cast("int"))
              .withColumn("j", F.explode(F.expr("sequence(0, cells - 1)")))
              .select("class", "filter", F.least("cell", "j").alias("i1"), F.greatest("cell", "j").alias("i2"), "cell"))
-    tiles = clustered(dealt.join(filtered.drop("filters"), "class"), "filter", "size", "i1", "i2")
+    tiles = clustered(dealt.hint("merge").join(filtered.drop("filters"), "class"), "filter", "size", "i1", "i2")
     verified = stage(tiles.mapInPandas(_verifier(similarity, kind), "class long, links long, other long"), "verified")
     members = linked_classes(classes, verified)
     found = keyed.join(classes.select("key", "class"), "key").join(members, "class").select("vec_id", "n_links", F.col(

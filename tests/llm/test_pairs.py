@@ -122,6 +122,15 @@ def test_near_vectors_against_all_pairs(spark, small_cells):
     assert cap_filters.near_duplicates(frame(spark, [], "float")).count() == 0
 
 
+def test_rows_of_filters_are_never_broadcast(spark, monkeypatch):
+    """The planner takes an exploded array for one row, so rows per filter and per tile must meet the others by key."""
+    made, clustered = [], cap_filters.clustered
+    monkeypatch.setattr(cap_filters, "clustered", lambda df, *keys: made.append(df) or clustered(df, *keys))
+    cap_filters.near_duplicates(frame(spark, [(i, v.tolist()) for i, v in enumerate(vectors()[:60])]))
+    [tiles] = made
+    assert "Broadcast" not in tiles._jdf.queryExecution().executedPlan().toString()
+
+
 def test_filters_are_the_directions_over_the_threshold():
     code = cap_filters.ProductCode(10, 9, 0)
     x = vectors(400, 10)
